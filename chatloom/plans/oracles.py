@@ -1 +1,476 @@
-ORACLES = {}
+"""The same queries in SQL, written from their definitions and run by another
+engine over the same tables.  Named pieces are shared as common table expressions."""
+
+from __future__ import annotations
+
+from chatloom.functions import constants as K
+from chatloom.functions import text as T
+from chatloom.plans import catalog as C
+from chatloom.plans.fixtures import query_values
+
+ORACLES: dict[str, str] = {}
+
+SPACE = r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def trim(s: str) -> str:
+    return f"regexp_replace({s}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def u16(s: str) -> str:
+    """UTF-16 length: characters outside the basic plane count twice."""
+    return rf"(length({s}) + length(regexp_replace({s}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+def tokens4(s: str) -> str:
+    return f"CAST(ceil({u16(s)} / 4.0) AS BIGINT)"
+
+
+def fold(s: str) -> str:
+    return f"translate(lower({s}), '{T.ACCENTED}', '{T.PLAIN}')"
+
+
+def terms(s: str) -> str:
+    return rf"regexp_extract_all({fold(s)}, '[\p{{L}}\p{{N}}]+')"
+
+
+def ascii_words(pattern: str) -> str:
+    for look in (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"):
+        pattern = pattern.replace(look, r"\b")
+    return pattern.replace("(?iu)", "(?i)")
+
+
+def message_type(content: str, sender: str) -> str:
+    body = trim(content)
+    any_of = lambda ps: " OR ".join(f"regexp_matches({body}, {lit(ascii_words(p))})" for p in ps)
+    return (
+        f"CASE WHEN {any_of(K.MEDIA_PATTERNS)} THEN 'media' WHEN {any_of(K.SYSTEM_PATTERNS)} THEN 'system' "
+        f"WHEN {sender} IS NULL OR {trim(sender)} = '' THEN 'system' ELSE 'text' END"
+    )
+
+
+def iso(ts: str) -> str:
+    return f"strftime(make_timestamp({ts} * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
+
+
+def hhmm(ts: str) -> str:
+    return f"strftime(make_timestamp({ts} * 1000000), '%H:%M')"
+
+
+def day(ts: str) -> str:
+    return f"strftime(make_timestamp({ts} * 1000000), '%Y-%m-%d')"
+
+
+def sid(*parts: str) -> str:
+    return "sha256(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
+
+
+VIEWS: dict[str, str] = {
+    "messages": """SELECT CAST(conv_id AS VARCHAR) AS chat_id, role AS sender, text AS content,
+        1704067200 + conv_id*604800 + turn*600*(1 + conv_id % 20) AS timestamp,
+        CASE WHEN role = 'system' THEN 'system' ELSE 'text' END AS type, turn AS line_number
+        FROM conversations""",
+    "event_messages": """SELECT CAST(user_id AS VARCHAR) AS chat_id, event_type AS sender, props AS content,
+        CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, 'text' AS type, event_id AS line_number FROM events""",
+    "doc_messages": """SELECT source AS chat_id, lang AS sender, text AS content,
+        1704067200 + doc_id*60 AS timestamp, 'text' AS type, doc_id AS line_number FROM documents""",
+    "chats": """SELECT chat_id AS id, chat_id AS name, 'whatsapp' AS source,
+        CAST(count(DISTINCT sender) AS INTEGER) AS participant_count, CAST(count(*) AS INTEGER) AS message_count,
+        min(timestamp) AS first_message_at, max(timestamp) AS last_message_at,
+        CAST(0 AS BIGINT) AS imported_at, '{}' AS metadata FROM messages GROUP BY chat_id""",
+    "order_sessions": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS chat_id,
+        CAST(epoch(o_orderdate) AS BIGINT) AS start_time, CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS end_time,
+        o_orderpriority AS summary FROM orders""",
+    "entities": """SELECT CAST(l_orderkey*10 + l_linenumber AS VARCHAR) AS id,
+        CAST(l_orderkey AS VARCHAR) AS session_id, p_name AS name, lower(trim(p_name)) AS normalized_name,
+        lower(p_type) AS type, l_returnflag AS action FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "people": """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, count(o_orderkey) AS message_count
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""",
+    "mentions": """SELECT CAST(o_orderkey AS VARCHAR) AS session_id, CAST(o_custkey AS VARCHAR) AS person_id,
+        o_orderpriority AS context, o_orderstatus = 'F' AS processed FROM orders""",
+    "tags": """SELECT CAST(o_custkey AS VARCHAR) AS person_id, lower(o_orderpriority) AS tag,
+        CAST(epoch(o_orderdate) AS BIGINT) AS created_at FROM orders""",
+    "tag_rows": """SELECT person_id, tag, min(created_at) AS created_at FROM tags GROUP BY person_id, tag""",
+    "memories": """SELECT CAST(o_custkey AS VARCHAR) AS person_id, 'pedido ' || o_orderkey AS memory,
+        CAST(o_orderkey AS VARCHAR) AS session_id, CAST(epoch(o_orderdate) AS BIGINT) AS created_at FROM orders""",
+    "extracted": """SELECT CAST(o_orderkey AS VARCHAR) AS session_id,
+        CASE o_orderstatus WHEN 'F' THEN upper(c_name) WHEN 'O' THEN 'Guest ' || c_mktsegment ELSE c_name END AS name,
+        CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown' ELSE 'person' END AS type,
+        o_orderpriority AS context, o_orderpriority = '1-URGENT' AS is_participant
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "routed": """SELECT e.session_id, e.name, e.context,
+        (SELECT min(id) FROM people p WHERE lower(p.name) = lower(e.name)) AS person_id
+        FROM extracted e WHERE NOT is_participant AND type = 'person'""",
+    "pending": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS session_id,
+        CASE WHEN o_orderstatus = 'F' THEN ' ' || c_mktsegment || o_orderpriority
+             ELSE lower(c_mktsegment || o_orderpriority) END AS alias,
+        o_orderstatus AS context, CAST(epoch(o_orderdate) AS BIGINT) * 1000 AS timestamp
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "decisions": """SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'lost-' || o_orderpriority
+             ELSE CAST(min(o_orderkey) AS VARCHAR) END AS mention_id,
+        CASE c_mktsegment WHEN 'BUILDING' THEN 'create_new' WHEN 'AUTOMOBILE' THEN 'ignore'
+             ELSE 'link_existing' END AS action,
+        CASE WHEN c_mktsegment = 'MACHINERY' THEN '7' END AS person_id
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority""",
+    "decided": """SELECT p.*, d.action, d.chosen_alias,
+        CASE WHEN d.action = 'create_new' THEN sha256('person|' || lower(d.chosen_alias)) ELSE d.person_id END AS person_id
+        FROM pending p JOIN (
+            SELECT lower(trim(q.alias)) AS k, q.alias AS chosen_alias, x.action, x.person_id
+            FROM decisions x JOIN pending q ON q.id = x.mention_id
+            WHERE x.action IN ('create_new', 'ignore') OR x.person_id IS NOT NULL) d
+        ON d.k = lower(trim(p.alias))""",
+    "questions": """SELECT CAST(doc_id AS VARCHAR) AS query_id,
+        CASE lang WHEN 'en' THEN 'quantas vezes falaram sobre ' || source
+             WHEN 'fr' THEN 'o que rolou na semana passada?'
+             WHEN 'de' THEN 'Resumo de ' || source || ' ontem'
+             ELSE 'qual a senha do ' || source || ' jogos' END AS text FROM documents""",
+    "queries": query_values("[{}]").replace("AS STRING", "AS VARCHAR"),
+    "gap_rows": """SELECT *, sum(cut) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS seg FROM (
+        SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number)
+            <= 7200 THEN 0 ELSE 1 END AS cut FROM messages)""",
+}
+
+NEEDS = {
+    "chats": ["messages"], "tag_rows": ["tags"], "routed": ["extracted", "people"],
+    "decided": ["pending", "decisions"], "gap_rows": ["messages"],
+}
+
+
+def with_views(sql: str, *names: str, recursive: bool = False, extra: dict[str, str] | None = None) -> str:
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        for n in NEEDS.get(name, []):
+            add(n)
+        if name not in order:
+            order.append(name)
+
+    for name in names:
+        add(name)
+    parts = [f"{n} AS ({VIEWS[n]})" for n in order]
+    parts += [f"{n} AS ({s})" for n, s in (extra or {}).items()]
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {sql}" if parts else sql
+
+
+def oracle(name: str, sql: str, *views: str, recursive: bool = False, extra: dict[str, str] | None = None) -> None:
+    ORACLES[name] = with_views(sql, *views, recursive=recursive, extra=extra)
+
+
+# --- sources and parsing -----------------------------------------------------------
+
+for _fmt in C.FORMATS:
+    # Rendering and parsing back must give the messages, typed by their text.
+    oracle(
+        f"parse_roundtrip_{_fmt}",
+        f"SELECT chat_id, sender, content, timestamp, {message_type('content', 'sender')} AS type FROM messages",
+        "messages",
+    )
+
+_DOC_LINES = {
+    "doc_lines": r"""SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_number, unnest(parts) AS line FROM (
+        SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') AS parts
+        FROM documents WHERE length(text) > 0)"""
+}
+oracle("read_lines", "SELECT CAST(doc_id AS VARCHAR) AS file, line_number, line FROM doc_lines", extra=_DOC_LINES)
+
+_ORPHANS = {
+    "orphans": """SELECT chat_id AS file, unnest(range(1, len(parts) + 1)) AS line_number, unnest(parts) AS line FROM (
+        SELECT chat_id, string_split(content, chr(10)) AS parts FROM messages WHERE line_number = 0)"""
+}
+oracle(
+    "parse_errors",
+    """SELECT file, line_number, line, 'orphan_line' AS reason FROM orphans UNION ALL
+       SELECT 'doc-' || doc_id, NULL, NULL, 'unknown_format' FROM documents WHERE length(text) > 0""",
+    "messages", extra=_ORPHANS,
+)
+oracle(
+    "parse_stats",
+    """SELECT m.chat_id AS file, 'android_br' AS format,
+          CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) + max(o.n) AS total_lines,
+          count(*) AS total_messages, max(o.n) AS error_count, count(DISTINCT sender) AS participant_count,
+          min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp
+       FROM messages m JOIN (SELECT file, count(*) AS n FROM orphans GROUP BY file) o ON o.file = m.chat_id
+       GROUP BY m.chat_id
+       UNION ALL
+       SELECT 'doc-' || doc_id, NULL, count(*), 0, 0, 0, NULL, NULL FROM doc_lines GROUP BY doc_id""",
+    "messages", extra={**_ORPHANS, **_DOC_LINES},
+)
+oracle(
+    "parse_participants",
+    """SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY first_line, sender) AS position FROM (
+        SELECT chat_id, sender, min(line_number) AS first_line, count(*) AS message_count
+        FROM messages GROUP BY chat_id, sender)""",
+    "messages",
+)
+oracle(
+    "detect_formats",
+    "SELECT f || ':' || conv_id AS file, f AS format FROM (SELECT DISTINCT conv_id FROM conversations), "
+    f"(SELECT unnest([{', '.join(lit(f) for f in C.FORMATS)}]) AS f)",
+)
+oracle("message_type", f"SELECT doc_id, {message_type('text', 'lang')} AS type FROM documents")
+oracle("chat_names", "SELECT doc_id, 'Conversa ' || source || '+v1' AS name FROM documents")
+oracle("text_measures", f"SELECT doc_id, {u16('text')} AS length, {tokens4('text')} AS tokens FROM documents")
+oracle(
+    "keyword_cleaning",
+    f"""SELECT doc_id, trim(regexp_replace(text, {lit(T.KEYWORD_DROP)}, '', 'g')) AS cleaned,
+        sha256(regexp_replace(text, {lit(T.KEYWORD_DROP_NO_SPACE)}, '', 'g')) AS joined FROM documents""",
+)
+
+# --- stores ------------------------------------------------------------------------
+
+oracle(
+    "insert_or_ignore",
+    """SELECT chat_id, sender, content, timestamp, any_value(type) AS type, min(line_number) AS line_number
+       FROM messages m WHERE NOT EXISTS (SELECT 1 FROM messages s WHERE s.sender = 'assistant'
+         AND (s.chat_id, s.timestamp, s.sender, s.content) = (m.chat_id, m.timestamp, m.sender, m.content))
+       GROUP BY chat_id, timestamp, sender, content""",
+    "messages",
+)
+oracle(
+    "file_hash_dedup",
+    """SELECT sha256(text) AS file_hash, min(format('{:012d}', doc_id)) AS file FROM documents
+       WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark) GROUP BY 1""",
+)
+oracle("chat_rows", "SELECT * FROM chats", "chats")
+oracle(
+    "refresh_chats",
+    """SELECT c.id, CAST(coalesce(m.p, 0) AS INTEGER) AS participant_count, CAST(coalesce(m.n, 0) AS INTEGER) AS message_count,
+        m.lo AS first_message_at, m.hi AS last_message_at FROM chats c LEFT JOIN (
+        SELECT chat_id, count(DISTINCT sender) AS p, count(*) AS n, min(timestamp) AS lo, max(timestamp) AS hi
+        FROM messages WHERE type <> 'system' GROUP BY chat_id) m ON m.chat_id = c.id""",
+    "chats",
+)
+oracle(
+    "update_summaries",
+    """SELECT s.id, s.chat_id, s.start_time, s.end_time, coalesce(u.f, s.summary) AS summary
+       FROM order_sessions s LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS id, max(l_returnflag) AS f
+         FROM lineitem GROUP BY 1) u ON u.id = s.id""",
+    "order_sessions",
+)
+oracle(
+    "upsert_latest",
+    """SELECT CAST(user_id AS VARCHAR) AS contact_id, event_type AS block_index, arg_max(props, event_id) AS summary_text,
+       max(event_id) AS version FROM events GROUP BY 1, 2""",
+)
+oracle(
+    "upsert_profiles",
+    """SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS contact_id,
+       CASE WHEN arg_max(o_orderstatus, o_orderkey) = 'F' THEN 'm1' ELSE 'llm-worker' END AS model_used,
+       arg_max(o_orderpriority, o_orderkey) AS profile_text, max(o_orderkey) AS updated_at FROM orders GROUP BY o_custkey""",
+)
+_ALIVE = {
+    "dead": "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "dead_sessions": "SELECT id FROM order_sessions WHERE chat_id IN (SELECT id FROM dead)",
+}
+
+
+def _left(name: str, key: str, keep: str) -> str:
+    return f"SELECT '{name}' AS table_name, count(*) AS n, CAST(sum(CAST({key} AS BIGINT)) AS BIGINT) AS keys FROM {keep}"
+
+
+oracle(
+    "cascade_delete",
+    " UNION ALL ".join([
+        _left("chats", "id", "people WHERE id NOT IN (SELECT id FROM dead)"),
+        _left("messages", "line_number", "event_messages WHERE chat_id NOT IN (SELECT id FROM dead)"),
+        _left("sessions", "id", "order_sessions WHERE chat_id NOT IN (SELECT id FROM dead)"),
+        _left("entities", "id", "entities WHERE session_id NOT IN (SELECT id FROM dead_sessions)"),
+        _left("person_mentions", "session_id", "mentions WHERE session_id NOT IN (SELECT id FROM dead_sessions)"),
+        _left(
+            "person_key_memories", "session_id",
+            "(SELECT CASE WHEN session_id NOT IN (SELECT id FROM dead_sessions) THEN session_id END AS session_id FROM memories)",
+        ),
+    ]),
+    "people", "event_messages", "order_sessions", "entities", "mentions", "memories", extra=_ALIVE,
+)
+oracle("retention", f"SELECT id FROM chats WHERE last_message_at < {C.NOW} - 365 * 86400", "chats")
+oracle(
+    "json_columns",
+    """SELECT id, '{"name":"' || name || '","message_count":' || message_count || '}' AS metadata,
+       message_count AS decoded_count FROM chats""",
+    "chats",
+)
+
+# --- sessions and chunks -------------------------------------------------------------
+
+_SESSION = f"""SELECT {sid('chat_id', 'start_time', 'first_line')} AS id, chat_id, start_time, end_time, message_count, text_count
+    FROM (SELECT chat_id, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count,
+      count(*) FILTER (type = 'text') AS text_count, arg_min(line_number, (timestamp, line_number)) AS first_line
+      FROM {{rows}} GROUP BY chat_id, seg)"""
+oracle("gap_sessions", _SESSION.format(rows="gap_rows"), "gap_rows")
+ORACLES["gap_sessions_events"] = ORACLES["gap_sessions"].replace(VIEWS["messages"], VIEWS["event_messages"])
+
+
+def _budget(source: str, gap: int, budget: int) -> dict[str, str]:
+    """Row after row: the running tokens and the number of the session."""
+    return {
+        "numbered": f"""SELECT *, {tokens4('content')} AS tok,
+            row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS rn FROM {source}""",
+        "fold": f"""SELECT chat_id, rn, timestamp, tok AS total, 1 AS seg FROM numbered WHERE rn = 1
+            UNION ALL
+            SELECT n.chat_id, n.rn, n.timestamp,
+              CASE WHEN n.timestamp - f.timestamp > {gap} OR f.total + n.tok > {budget} THEN n.tok ELSE f.total + n.tok END,
+              CASE WHEN n.timestamp - f.timestamp > {gap} OR f.total + n.tok > {budget} THEN f.seg + 1 ELSE f.seg END
+            FROM fold f JOIN numbered n ON n.chat_id = f.chat_id AND n.rn = f.rn + 1""",
+        "cut": "SELECT n.*, f.seg FROM numbered n JOIN fold f USING (chat_id, rn)",
+    }
+
+
+oracle("budget_sessions", _SESSION.format(rows="cut"), "messages", recursive=True, extra=_budget("messages", 7200, C.BUDGET))
+oracle("sub_sessions", _SESSION.format(rows="cut"), "messages", recursive=True, extra=_budget("messages", 7200, 400))
+oracle(
+    "budget_sessions_events", _SESSION.format(rows="cut"), "event_messages", recursive=True,
+    extra=_budget("event_messages", 86400, C.EVENT_BUDGET),
+)
+_FIRST = "first_value({c}) OVER (PARTITION BY chat_id, seg ORDER BY timestamp, line_number)"
+oracle(
+    "labelled_messages",
+    f"""SELECT {sid('chat_id', _FIRST.format(c='timestamp'), _FIRST.format(c='line_number'))} AS session_id,
+        chat_id, timestamp, line_number FROM cut""",
+    "messages", recursive=True, extra=_budget("messages", 7200, C.BUDGET),
+)
+_LINE = f"'[' || {iso('timestamp')} || '] ' || sender || ': ' || content"
+oracle(
+    "transcripts",
+    f"""SELECT {sid('chat_id', 'min(timestamp)', 'arg_min(line_number, (timestamp, line_number))')} AS session_id, chat_id,
+        count(*) AS message_count, string_agg({_LINE}, chr(10) ORDER BY timestamp, line_number) AS transcript
+        FROM cut GROUP BY chat_id, seg""",
+    "messages", recursive=True, extra=_budget("messages", 7200, 1500),
+)
+oracle(
+    "trivial_sessions",
+    f"""SELECT id, CASE WHEN text_count = 0 THEN 'Sessão sem mensagens de texto.'
+        ELSE 'Sessão breve com ' || message_count || ' mensagens.' END AS summary
+        FROM ({_SESSION.format(rows='gap_rows')}) WHERE text_count < 3""",
+    "gap_rows",
+)
+
+
+def _chunks(source: str, gap: int, budget: int) -> dict[str, str]:
+    over = f"n.timestamp - f.timestamp > {gap} OR ceil(f.total / 4.0) + ceil(n.len / 4.0) > {budget}"
+    return {
+        "numbered": f"""SELECT *, {u16('content')} AS len,
+            row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS rn,
+            coalesce(sum({u16('content')}) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number
+              ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS carry FROM {source}""",
+        "fold": f"""SELECT chat_id, rn, timestamp, CAST(len AS BIGINT) AS total, rn AS chunk_start FROM numbered WHERE rn = 1
+            UNION ALL
+            SELECT n.chat_id, n.rn, n.timestamp,
+              CAST(CASE WHEN {over} THEN n.carry + n.len ELSE f.total + n.len END AS BIGINT),
+              CASE WHEN {over} THEN n.rn ELSE f.chunk_start END
+            FROM fold f JOIN numbered n ON n.chat_id = f.chat_id AND n.rn = f.rn + 1""",
+        "spans": """SELECT chat_id, chunk_start, greatest(1, chunk_start - CASE WHEN chunk_start > 1 THEN 5 ELSE 0 END) AS lo,
+            max(rn) AS hi FROM fold GROUP BY chat_id, chunk_start""",
+        "members": """SELECT s.chunk_start, n.*, row_number() OVER (PARTITION BY n.chat_id, s.chunk_start ORDER BY n.rn) AS at,
+            s.hi - s.lo + 1 AS size FROM spans s JOIN numbered n ON n.chat_id = s.chat_id AND n.rn BETWEEN s.lo AND s.hi""",
+    }
+
+
+_SPOKEN = "coalesce(string_agg(sender || ': ' || content, chr(10) ORDER BY rn) FILTER (type <> 'system'), '')"
+_SHOWN = f"string_agg(sender || ' [' || {hhmm('timestamp')} || ']: ' || content, chr(10) ORDER BY rn)"
+_SIZES = """min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count,
+    CAST(ceil(sum(len) / 4.0) AS BIGINT) AS token_count"""
+_PARTICIPANTS = """SELECT chat_id, chunk_start, string_agg(sender, ', ' ORDER BY first) AS participants FROM (
+    SELECT chat_id, chunk_start, sender, min(rn) AS first FROM members GROUP BY ALL) GROUP BY ALL"""
+oracle(
+    "time_window_chunks",
+    f"""SELECT * FROM (SELECT chat_id, chunk_start, {_SPOKEN} AS content, {_SHOWN} AS display_content, {_SIZES}
+        FROM members GROUP BY chat_id, chunk_start) JOIN ({_PARTICIPANTS}) USING (chat_id, chunk_start)""",
+    "messages", recursive=True, extra=_chunks("messages", 600, C.CHUNK_BUDGET),
+)
+oracle(
+    "snippet_lines",
+    rf"""SELECT chat_id, chunk_start, line_no,
+        CASE WHEN ok THEN split_part({trim("regexp_extract(line, p, 1)")}, ' ', 1) ELSE '' END AS sender,
+        CASE WHEN ok THEN regexp_extract(line, p, 2) ELSE '' END AS time,
+        CASE WHEN ok THEN regexp_extract(line, p, 3) ELSE line END AS text, NOT ok AS continues
+        FROM (SELECT *, regexp_matches(line, p) AS ok FROM (SELECT chat_id, chunk_start,
+          unnest(range(0, len(string_split(d, chr(10))))) AS line_no, unnest(string_split(d, chr(10))) AS line,
+          '^([^\[]+) \[([^\]]+)\]:\s(.*)$' AS p
+          FROM (SELECT chat_id, chunk_start, {_SHOWN} AS d FROM members GROUP BY ALL)))""",
+    "messages", recursive=True, extra=_chunks("messages", 600, C.CHUNK_BUDGET),
+)
+oracle(
+    "parent_child_chunks",
+    f"""SELECT chat_id, chunk_start, child_index, sha256({_SPOKEN}) AS content, {_SIZES}
+        FROM members, range(0, 100000) r(child_index)
+        WHERE child_index <= greatest(0, ceil((size - 8) / 5.0)) AND at BETWEEN child_index * 5 + 1 AND child_index * 5 + 8
+        GROUP BY chat_id, chunk_start, child_index""".replace(
+        "FROM members, range(0, 100000) r(child_index)",
+        "FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((size - 8) / 5.0)) AS BIGINT) + 1)) AS child_index FROM members)",
+    ),
+    "event_messages", recursive=True, extra=_chunks("event_messages", 86400, C.EVENT_BUDGET * 4),
+)
+oracle(
+    "sliding_chunks",
+    f"""SELECT chat_id, window_no, {_SIZES}, sha256({_SHOWN}) AS display FROM (
+        SELECT *, unnest(range(0, CAST(greatest(0, ceil((size - 8) / 5.0)) AS BIGINT) + 1)) AS window_no FROM (
+          SELECT *, {u16('content')} AS len, row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS rn,
+            count(*) OVER (PARTITION BY chat_id) AS size FROM event_messages))
+        WHERE rn BETWEEN window_no * 5 + 1 AND window_no * 5 + 8 GROUP BY chat_id, window_no""",
+    "event_messages",
+)
+oracle(
+    "turn_chunks",
+    f"""SELECT chat_id, CAST(turn_no AS BIGINT) AS turn_no, min(sender) AS sender, min(timestamp) AS start_time, max(timestamp) AS end_time,
+        count(*) AS message_count, CAST(sum({tokens4('content')}) AS BIGINT) AS token_count FROM (
+        SELECT *, sum(new) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS turn_no FROM (
+        SELECT *, CASE WHEN lag(sender) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) = sender
+          THEN 0 ELSE 1 END AS new FROM event_messages)) GROUP BY chat_id, turn_no""",
+    "event_messages",
+)
+oracle(
+    "message_chunks",
+    f"SELECT chat_id, timestamp, line_number, sender || ': ' || content AS content, {tokens4('content')} AS token_count FROM messages",
+    "messages",
+)
+
+# --- reads -----------------------------------------------------------------------------
+
+oracle("all_chats", "SELECT id, message_count, last_message_at FROM chats", "chats")
+oracle(
+    "chats_by_id",
+    "SELECT id, message_count FROM chats WHERE id IN (SELECT chat_id FROM messages WHERE sender = 'system')", "chats",
+)
+oracle(
+    "chat_pages",
+    """SELECT chat_id, pos, timestamp, line_number FROM (SELECT *, row_number() OVER (PARTITION BY chat_id
+       ORDER BY timestamp, line_number) AS pos FROM event_messages) WHERE pos BETWEEN 11 AND 30""",
+    "event_messages",
+)
+oracle(
+    "counts_per_chat",
+    "SELECT chat_id, count(*) AS messages, count(DISTINCT seg) AS sessions FROM gap_rows GROUP BY chat_id", "gap_rows",
+)
+oracle(
+    "chat_participants",
+    "SELECT chat_id, sender, count(*) AS message_count FROM messages WHERE type <> 'system' GROUP BY ALL", "messages",
+)
+oracle(
+    "entities_by_chat",
+    """SELECT chat_id, normalized_name, count(*) AS n FROM entities e JOIN order_sessions s ON s.id = e.session_id
+       GROUP BY chat_id, normalized_name""",
+    "entities", "order_sessions",
+)
+oracle("people_by_activity", "SELECT * FROM people", "people")
+oracle(
+    "person_tags",
+    "SELECT person_id, tag, created_at FROM tags WHERE person_id IN (SELECT id FROM people WHERE message_count > 10)",
+    "tags", "people",
+)
+oracle(
+    "session_range_join",
+    f"""SELECT s.id AS session_id, m.chat_id, m.timestamp, m.line_number FROM ({_SESSION.format(rows='cut')}) s
+        JOIN messages m ON m.chat_id = s.chat_id AND m.timestamp BETWEEN s.start_time AND s.end_time""",
+    "messages", recursive=True, extra=_budget("messages", 7200, C.BUDGET),
+)
+oracle(
+    "filtered_messages",
+    f"""SELECT * FROM messages WHERE chat_id IN (SELECT id FROM chats WHERE participant_count = 3)
+        AND sender IN (SELECT sender FROM messages WHERE type = 'system') AND timestamp BETWEEN 1704067200 AND {C.NOW}""",
+    "chats",
+)
