@@ -212,7 +212,7 @@ oracle(
     f"(SELECT unnest([{', '.join(lit(f) for f in C.FORMATS)}]) AS f)",
 )
 oracle("message_type", f"SELECT doc_id, {message_type('text', 'lang')} AS type FROM documents")
-oracle("chat_names", "SELECT doc_id, 'Conversa ' || source || '+v1' AS name FROM documents")
+oracle("chat_names", "SELECT doc_id, 'Conversa ' || source || '+v1.' || lang AS name FROM documents")
 oracle("text_measures", f"SELECT doc_id, {u16('text')} AS length, {tokens4('text')} AS tokens FROM documents")
 oracle(
     "keyword_cleaning",
@@ -365,7 +365,7 @@ def _chunks(source: str, gap: int, budget: int) -> dict[str, str]:
             FROM fold f JOIN numbered n ON n.chat_id = f.chat_id AND n.rn = f.rn + 1""",
         "spans": """SELECT chat_id, chunk_start, greatest(1, chunk_start - CASE WHEN chunk_start > 1 THEN 5 ELSE 0 END) AS lo,
             max(rn) AS hi FROM fold GROUP BY chat_id, chunk_start""",
-        "members": """SELECT s.chunk_start, n.*, row_number() OVER (PARTITION BY n.chat_id, s.chunk_start ORDER BY n.rn) AS at,
+        "members": """SELECT s.chunk_start, n.*, row_number() OVER (PARTITION BY n.chat_id, s.chunk_start ORDER BY n.rn) AS place,
             s.hi - s.lo + 1 AS size FROM spans s JOIN numbered n ON n.chat_id = s.chat_id AND n.rn BETWEEN s.lo AND s.hi""",
     }
 
@@ -396,13 +396,9 @@ oracle(
 )
 oracle(
     "parent_child_chunks",
-    f"""SELECT chat_id, chunk_start, child_index, sha256({_SPOKEN}) AS content, {_SIZES}
-        FROM members, range(0, 100000) r(child_index)
-        WHERE child_index <= greatest(0, ceil((size - 8) / 5.0)) AND at BETWEEN child_index * 5 + 1 AND child_index * 5 + 8
-        GROUP BY chat_id, chunk_start, child_index""".replace(
-        "FROM members, range(0, 100000) r(child_index)",
-        "FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((size - 8) / 5.0)) AS BIGINT) + 1)) AS child_index FROM members)",
-    ),
+    f"""SELECT chat_id, chunk_start, child_index, sha256({_SPOKEN}) AS content, {_SIZES} FROM (
+        SELECT *, unnest(range(0, CAST(greatest(0, ceil((size - 8) / 5.0)) AS BIGINT) + 1)) AS child_index FROM members)
+        WHERE place BETWEEN child_index * 5 + 1 AND child_index * 5 + 8 GROUP BY chat_id, chunk_start, child_index""",
     "event_messages", recursive=True, extra=_chunks("event_messages", 86400, C.EVENT_BUDGET * 4),
 )
 oracle(
@@ -474,3 +470,379 @@ oracle(
         AND sender IN (SELECT sender FROM messages WHERE type = 'system') AND timestamp BETWEEN 1704067200 AND {C.NOW}""",
     "chats",
 )
+
+# --- search ----------------------------------------------------------------------------
+
+
+def _posted(source: str, keys: str, fields: list[str]) -> str:
+    """Positions of every word of every field."""
+    one = lambda i, f: (
+        f"SELECT {keys}, CAST({i} AS INTEGER) AS field, unnest(range(0, len(w))) AS pos, unnest(w) AS term "
+        f"FROM (SELECT {keys}, {terms(f)} AS w FROM {source})"
+    )
+    return " UNION ALL ".join(one(i, f) for i, f in enumerate(fields))
+
+
+oracle(
+    "search_postings",
+    f"SELECT chat_id, line_number, field, CAST(pos AS INTEGER) AS pos, term FROM ({_posted('messages', 'chat_id, line_number', ['sender', 'content'])})",
+    "messages",
+)
+oracle(
+    "search_vocabulary",
+    f"""SELECT term, count(DISTINCT line_number) AS doc_count, count(*) AS occurrences
+        FROM ({_posted('doc_messages', 'line_number', ['sender', 'content'])}) GROUP BY term""",
+    "doc_messages",
+)
+oracle(
+    "refresh_postings",
+    f"""SELECT chat_id, line_number, field, CAST(pos AS INTEGER) AS pos, term FROM ({_posted(
+        "(SELECT chat_id, line_number, CASE WHEN sender = 'user' THEN content || ' editado' ELSE content END AS content FROM messages)",
+        'chat_id, line_number', ['content'])})""",
+    "messages",
+)
+
+
+def _matching(source: str, keys: str, fields: list[str], queries: str = "queries", drop: str = T.KEYWORD_DROP) -> dict[str, str]:
+    """Phrases, word positions, hits per phrase and document, and BM25 scores."""
+    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    words = "[x for x in parts]"
+    qualified = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
+    hit_keys = ", ".join(f"h.{k.strip()}" for k in keys.split(","))
+    return {
+        "phrases": f"""SELECT query_id, kw_no, {terms('kw')} AS w FROM (
+            SELECT query_id, unnest(range(0, len(ks))) AS kw_no, unnest(ks) AS kw FROM (
+              SELECT query_id, list_filter(list_transform(keywords, lambda k: trim(regexp_replace(k, {lit(drop)}, '', 'g'))),
+                lambda k: k <> '') AS ks FROM {queries}))
+            WHERE len({terms('kw')}) > 0""",
+        "posted": _posted(source, keys, fields),
+        "sized": f"SELECT {keys}, " + " + ".join(f"len({terms(f)})" for f in fields) + f" AS dl FROM {source}",
+        "totals": "SELECT count(*) AS n, sum(dl) AS words FROM sized",
+        # The last word is a prefix; the words before it stand right in front of it.
+        "hits": f"""SELECT query_id, kw_no, {qualified}, count(*) AS tf FROM phrases f JOIN posted p
+            ON starts_with(p.term, f.w[-1])
+            WHERE len(f.w) = 1 OR EXISTS (SELECT 1 FROM posted b WHERE {on('b', 'p')} AND b.field = p.field
+              AND b.pos = p.pos - 1 AND b.term = f.w[-2] AND len(f.w) = 2)
+            GROUP BY query_id, kw_no, {qualified}""",
+        "found": "SELECT query_id, kw_no, count(*) AS df FROM hits GROUP BY query_id, kw_no",
+        "scores": f"""SELECT query_id, {keys}, round(sum(s), 6) AS score FROM (
+            SELECT h.query_id, {hit_keys}, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
+              * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / words))) AS s
+            FROM hits h JOIN found f USING (query_id, kw_no) JOIN sized z ON {on('z', 'h')}, totals)
+            GROUP BY query_id, {keys}""",
+    }
+
+
+def _top(rows: str, order: str, k: int, group: str = "query_id") -> str:
+    return f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS INTEGER) AS rank
+        FROM {rows}) WHERE rank <= {k}"""
+
+
+_KEY = "chat_id, timestamp, line_number"
+_IN_MESSAGES = _matching("messages", _KEY, ["sender", "content"])
+_PIVOTS = _top("scores", f"score DESC, {_KEY}", 5)
+oracle("search_pivots", _PIVOTS, "messages", "queries", extra=_IN_MESSAGES)
+
+
+def _windows(size: int) -> dict[str, str]:
+    return {
+        "pivots": _PIVOTS,
+        "placed": "SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS pos FROM messages",
+        "near": f"""SELECT DISTINCT p.query_id, p.rank, m.* FROM pivots p JOIN (
+              SELECT chat_id, timestamp, min(pos) AS lo, max(pos) AS hi FROM placed GROUP BY ALL) t
+              ON t.chat_id = p.chat_id AND t.timestamp = p.timestamp
+            JOIN placed m ON m.chat_id = p.chat_id
+              AND (m.pos BETWEEN t.hi - {size} AND t.hi OR m.pos BETWEEN t.lo AND t.lo + {size})""",
+    }
+
+
+oracle(
+    "search_factual", "SELECT query_id, rank, chat_id, timestamp, line_number FROM near",
+    "messages", "queries", extra={**_IN_MESSAGES, **_windows(2)},
+)
+oracle(
+    "search_documents", _top("scores", "score DESC, line_number", 10), "doc_messages", "queries",
+    extra=_matching("doc_messages", "line_number", ["content"]),
+)
+_DATED = """(coalesce(q.date_from, 0) = 0 OR s.start_time >= q.date_from)
+    AND (coalesce(q.date_to, 0) = 0 OR s.end_time <= q.date_to)"""
+_TOLD = {"told": "SELECT * FROM queries WHERE NOT list_contains(keywords, '#RECENT#')"}
+_NARRATIVE = {
+    **_TOLD, **_matching("order_sessions", "id", ["summary"], "told", T.KEYWORD_DROP_NO_SPACE),
+    "narrative": _top(
+        f"(SELECT x.query_id, x.id, x.score, s.chat_id, s.start_time, s.end_time, s.summary FROM scores x "
+        f"JOIN order_sessions s ON s.id = x.id JOIN queries q ON q.query_id = x.query_id WHERE {_DATED})",
+        "score DESC, id", 5,
+    ),
+}
+oracle("search_narrative", "SELECT * FROM narrative", "order_sessions", "queries", extra=_NARRATIVE)
+_RECENT = {
+    "recent": f"""SELECT query_id, id, chat_id, start_time, end_time, summary,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC) AS INTEGER) AS rank FROM (
+        SELECT q.query_id, s.*, row_number() OVER (PARTITION BY q.query_id ORDER BY s.start_time DESC, s.id DESC) AS n
+        FROM queries q, order_sessions s WHERE list_contains(q.keywords, '#RECENT#') AND {_DATED}) WHERE n <= 5"""
+}
+oracle("search_recent", "SELECT * FROM recent", "order_sessions", "queries", extra=_RECENT)
+
+
+def _counted(queries: str = "queries", k: int = 20) -> dict[str, str]:
+    text = "name, normalized_name, type, action"
+    m = _matching("texts", text, ["name", "type", "action"], queries)
+    return {
+        "texts": f"SELECT DISTINCT {text} FROM entities",
+        **{n: m[n] for n in ("phrases", "posted", "hits")},
+        "counted": _top(
+            f"""(SELECT h.query_id, e.normalized_name AS name, e.type, count(*) AS count
+                FROM (SELECT DISTINCT query_id, {text} FROM hits) h
+                JOIN entities e ON (e.name, e.type, e.action) = (h.name, h.type, h.action)
+                JOIN order_sessions s ON s.id = e.session_id JOIN queries q ON q.query_id = h.query_id
+                WHERE {_DATED} GROUP BY ALL)""",
+            "count DESC, name, type", k,
+        ),
+    }
+
+
+oracle("search_aggregation", "SELECT * FROM counted", "entities", "order_sessions", "queries", extra=_counted())
+_HOPPED = """SELECT q.query_id, array_to_string(list_distinct_in_order, '|') AS keywords FROM (
+    SELECT query_id, list(w ORDER BY first) AS list_distinct_in_order FROM (
+      SELECT query_id, w, min(place) AS first FROM (
+        SELECT query_id, unnest(keywords) AS w, unnest(range(0, len(keywords))) AS place FROM queries
+        UNION ALL SELECT query_id, name, 1000 + rank FROM counted) GROUP BY query_id, w) GROUP BY query_id) x
+    RIGHT JOIN queries q ON q.query_id = x.query_id"""
+oracle(
+    "entity_hop",
+    "SELECT query_id, coalesce(keywords, '') AS keywords FROM (" + _HOPPED + ")",
+    "entities", "order_sessions", "queries", extra=_counted(k=8),
+)
+
+
+def _prefixed(ctes: dict[str, str], prefix: str, rename: list[str]) -> dict[str, str]:
+    """The same pieces under other names, so that several searches fit one statement."""
+    import re
+
+    out = {}
+    for name, sql in ctes.items():
+        for r in rename:
+            sql = re.sub(rf"\b(FROM|JOIN|,) {r}\b", rf"\1 {prefix}{r}", sql)
+        out[f"{prefix}{name}" if name in rename else name] = sql
+    return out
+
+
+_PIECES = ["phrases", "posted", "sized", "totals", "hits", "found", "scores"]
+
+
+def _routed_parts(hop: bool) -> dict[str, str]:
+    filled = """SELECT query_id, text, intent, CASE WHEN len(keywords) = 0 THEN [text] ELSE keywords END AS keywords,
+        date_from, date_to, chat_id FROM queries"""
+    parts = {"filled": filled}
+    if hop:
+        names = _prefixed(_counted("filled", 8), "hop_", ["texts", *_PIECES, "counted"])
+        parts.update(names)
+        parts["asked"] = """SELECT f.* REPLACE (list_concat(f.keywords, list_filter(coalesce(n.names, []),
+            lambda w: NOT list_contains(f.keywords, w))) AS keywords)
+            FROM filled f LEFT JOIN (SELECT query_id, list(name ORDER BY first) AS names FROM (
+              SELECT query_id, name, min(rank) AS first FROM hop_counted GROUP BY query_id, name) GROUP BY query_id) n
+            ON n.query_id = f.query_id"""
+    else:
+        parts["asked"] = "SELECT * FROM filled"
+    parts["q_agg"] = "SELECT * FROM asked WHERE intent = 'aggregation'"
+    parts["q_told"] = "SELECT * FROM asked WHERE intent = 'narrative' AND NOT list_contains(keywords, '#RECENT#')"
+    parts["q_fact"] = "SELECT * FROM asked WHERE intent NOT IN ('aggregation', 'narrative')"
+    parts.update(_prefixed(_counted("q_agg", 20), "agg_", ["texts", *_PIECES, "counted"]))
+    narrative = {
+        **_matching("order_sessions", "id", ["summary"], "q_told", T.KEYWORD_DROP_NO_SPACE),
+        "narrative": _NARRATIVE["narrative"],
+    }
+    parts.update(_prefixed(narrative, "nar_", [*_PIECES, "narrative"]))
+    parts.update(_RECENT)
+    parts.update({**_matching("messages", _KEY, ["sender", "content"], "q_fact"), **_windows(15)})
+    parts["results"] = f"""
+        SELECT query_id, 1 AS rank, 'aggregation' AS kind, '' AS chat_id, 'Global Aggregations' AS chat_name, 1.0::DOUBLE AS score,
+          CAST(NULL AS BIGINT) AS start_time, 'System' AS sender, 'Aggregation Results:' || chr(10) ||
+          string_agg('- Entity: ' || name || ' (' || type || ') | Count: ' || count || chr(10), '' ORDER BY rank) AS content
+        FROM agg_counted GROUP BY query_id
+        UNION ALL
+        SELECT query_id, rank, 'narrative', s.chat_id, coalesce(c.name, 'Unknown Chat'), 0.9::DOUBLE, start_time, 'System',
+          'SESSION SUMMARY' || chr(10) || summary
+        FROM (SELECT query_id, rank, chat_id, start_time, summary FROM nar_narrative
+              UNION ALL SELECT query_id, rank, chat_id, start_time, summary FROM recent) s LEFT JOIN chats c ON c.id = s.chat_id
+        UNION ALL
+        SELECT query_id, rank, 'factual', n.chat_id, coalesce(any_value(c.name), 'Unknown Chat'), 1.0::DOUBLE, min(timestamp),
+          arg_min(sender, pos), {trim(f"string_agg('[' || {hhmm('timestamp')} || '] ' || sender || ': ' || content, chr(10) ORDER BY pos)")}
+        FROM near n LEFT JOIN chats c ON c.id = n.chat_id GROUP BY query_id, rank, n.chat_id"""
+    return parts
+
+
+_ROUTED_VIEWS = ("messages", "chats", "entities", "order_sessions", "queries")
+oracle("routed_search", "SELECT * FROM results", *_ROUTED_VIEWS, extra=_routed_parts(True))
+oracle(
+    "neighbours",
+    f"""SELECT request_id, kind, chat_id, timestamp, line_number FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id, kind ORDER BY
+            CASE WHEN kind = 'before' THEN -timestamp ELSE timestamp END,
+            CASE WHEN kind = 'before' THEN -line_number ELSE line_number END) AS n FROM (
+          SELECT r.*, CASE WHEN p.ts IS NULL THEN 'opening' WHEN r.timestamp < p.ts THEN 'before'
+              WHEN r.timestamp > p.ts THEN 'after' WHEN r.line_number = p.line THEN 'pivot' END AS kind
+          FROM spoken r LEFT JOIN (SELECT request_id, min(timestamp) AS ts, arg_min(line_number, (timestamp, line_number)) AS line
+            FROM spoken WHERE contains(lower(content), lower(snippet)) GROUP BY request_id) p USING (request_id))
+        WHERE kind IS NOT NULL) WHERE n <= CASE WHEN kind = 'opening' THEN 2 ELSE 1 END""",
+    "gap_rows",
+    extra={
+        "requests": f"""SELECT 'r-' || id AS request_id, chat_id, start_time, end_time,
+            CASE WHEN message_count > 2 THEN 'THE ' ELSE 'eau' END AS snippet FROM ({_SESSION.format(rows='gap_rows')})""",
+        "spoken": """SELECT r.request_id, r.snippet, m.* FROM requests r JOIN messages m
+            ON m.chat_id = r.chat_id AND m.timestamp BETWEEN r.start_time AND r.end_time""",
+    },
+)
+oracle(
+    "alias_match",
+    _top("(SELECT x.*, p.name FROM scores x JOIN people p ON p.id = x.person_id)", "score DESC, person_id, alias", 5),
+    "people",
+    extra={
+        "aliases": "SELECT id AS person_id, replace(name, '#', ' ') AS alias FROM people",
+        "asked": """SELECT c_mktsegment AS query_id, [replace(left(max(c_name), length(max(c_name)) - 2), '#', ' ')] AS keywords
+            FROM customer GROUP BY c_mktsegment""",
+        **_matching("aliases", "person_id, alias", ["alias"], "asked"),
+    },
+)
+oracle(
+    "highlight",
+    r"SELECT chat_id, line_number, regexp_replace(content, '(?i)(heit|the|étre)', '<mark>\1</mark>', 'g') AS marked FROM messages",
+    "messages",
+)
+oracle(
+    "suggestions",
+    _top(
+        f"""(SELECT prefix, term, count(DISTINCT line_number) AS doc_count, count(*) AS occurrences FROM posted
+            JOIN (SELECT DISTINCT {fold('left(text, 2)')} AS prefix FROM documents) ON starts_with(term, prefix)
+            WHERE prefix <> '' GROUP BY prefix, term)""",
+        "occurrences DESC, term", 5, "prefix",
+    ),
+    "doc_messages", extra={"posted": _posted("doc_messages", "line_number", ["content"])},
+)
+
+# --- people ----------------------------------------------------------------------------
+
+oracle(
+    "sender_counts",
+    "SELECT sender, count(*) AS message_count, max(timestamp) AS last_seen FROM event_messages GROUP BY sender", "event_messages",
+)
+_PALETTE = "[" + ", ".join(lit(c) for c in K.PALETTE) + "]"
+
+
+def _color(name: str) -> str:
+    return f"({_PALETTE})[CAST(('0x' || left(sha256({name}), 6))::BIGINT % 10 + 1 AS BIGINT)]"
+
+
+oracle("person_colors", f"SELECT id, {_color('name')} AS color FROM people", "people")
+oracle(
+    "people_upsert",
+    f"""SELECT coalesce(k.id, sha256('person|' || lower(n.sender))) AS id, coalesce(k.name, n.sender) AS name,
+        {_color('coalesce(k.name, n.sender)')} AS color, coalesce(k.n, 0) + coalesce(n.n, 0) AS message_count,
+        n.seen AS last_seen, k.id IS NULL AS created
+        FROM (SELECT CAST(c_custkey AS VARCHAR) AS id, upper(c_name) AS name, 1 AS n FROM customer) k
+        FULL JOIN (SELECT lower(s) AS k, min(s) AS sender, count(*) AS n, max(CAST(epoch(o_orderdate) AS BIGINT)) AS seen FROM (
+          SELECT CASE WHEN o_orderstatus = 'F' THEN 'New ' || c_name ELSE c_name END AS s, o_orderdate
+          FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY lower(s)) n ON n.k = lower(k.name)""",
+)
+oracle(
+    "entity_rows",
+    f"""SELECT {sid('session_id', '0')} AS id, session_id, name, lower(trim(name)) AS normalized_name, type,
+        context AS action, context, is_participant FROM extracted""",
+    "extracted",
+)
+oracle("mention_routing", "SELECT * FROM routed", "routed")
+oracle(
+    "link_mentions",
+    """SELECT session_id, person_id, context, false AS processed FROM routed r WHERE person_id IS NOT NULL
+       AND NOT EXISTS (SELECT 1 FROM mentions m WHERE m.processed AND m.session_id = r.session_id AND m.person_id = r.person_id)""",
+    "routed", "mentions",
+)
+oracle(
+    "pending_inbox",
+    f"""SELECT {sid('session_id', '0')} AS id, session_id, name AS alias, context, CAST(5 AS BIGINT) AS timestamp
+        FROM routed WHERE person_id IS NULL""",
+    "routed",
+)
+oracle(
+    "mention_clones",
+    """SELECT id, alias FROM pending WHERE lower(trim(alias)) IN (
+       SELECT lower(trim(alias)) FROM pending WHERE id IN (SELECT mention_id FROM decisions))""",
+    "pending", "decisions",
+)
+oracle(
+    "resolve_people",
+    "SELECT DISTINCT person_id AS id, chosen_alias AS name FROM decided WHERE action = 'create_new'", "decided",
+)
+oracle(
+    "resolve_aliases",
+    "SELECT DISTINCT person_id, chosen_alias AS alias FROM decided WHERE action <> 'ignore'", "decided",
+)
+oracle(
+    "resolve_mentions",
+    """SELECT session_id, person_id, arg_min(context, id) AS context FROM decided WHERE action <> 'ignore'
+       GROUP BY session_id, person_id""",
+    "decided",
+)
+oracle("resolve_pending", "SELECT * FROM pending WHERE id NOT IN (SELECT id FROM decided)", "decided")
+oracle(
+    "resolve_errors",
+    """SELECT mention_id, CASE WHEN mention_id NOT IN (SELECT id FROM pending) THEN 'mention_not_found'
+         ELSE 'person_id_required' END AS reason FROM decisions
+       WHERE mention_id NOT IN (SELECT id FROM pending) OR (action = 'link_existing' AND person_id IS NULL)""",
+    "pending", "decisions",
+)
+oracle(
+    "tags_insert",
+    f"""SELECT {sid('person_id', 'tag')} AS id, person_id, tag, 'map_reduce' AS source, created_at FROM tag_rows
+        WHERE tag <> '5-low'""",
+    "tag_rows",
+)
+oracle(
+    "memories_insert",
+    f"SELECT {sid('person_id', 'session_id', 'memory')} AS id, person_id, memory, session_id, created_at FROM memories",
+    "memories",
+)
+_OPEN = """SELECT m.session_id, m.person_id, m.context, s.summary FROM mentions m
+    LEFT JOIN (SELECT * FROM order_sessions WHERE summary <> '2-HIGH') s ON s.id = m.session_id WHERE NOT processed"""
+oracle("unprocessed_mentions", _OPEN, "mentions", "order_sessions")
+
+
+def _blocks(rows: str, size: int) -> str:
+    line = """coalesce('- Sessão: "' || summary || '"' || chr(10), '') || '  Contexto da menção: "' || context || '"'"""
+    return f"""SELECT person_id, (pos - 1) // {size} AS part, arg_min(session_id, pos) AS first_session, count(*) AS mentions,
+        string_agg({line}, chr(10) ORDER BY pos) AS context FROM (
+        SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY session_id) AS pos FROM ({rows})) GROUP BY person_id, part"""
+
+
+oracle("context_blocks", _blocks(_OPEN, 4), "mentions", "order_sessions")
+oracle(
+    "mark_processed",
+    "SELECT session_id, person_id, context, processed OR context = '5-LOW' AS processed FROM mentions", "mentions",
+)
+
+# --- extraction --------------------------------------------------------------------------
+
+oracle(
+    "json_recovery",
+    """SELECT CAST(doc_id AS VARCHAR) AS session_id, CASE WHEN lang IN ('en', 'fr', 'de') THEN 'ok' ELSE 'failed' END AS status,
+       CASE WHEN lang IN ('en', 'fr', 'de') THEN source ELSE 'Sessão extraída via fallback de erro' END AS summary,
+       CAST(0 AS BIGINT) AS entities FROM documents""",
+)
+_CLASSIFIED = f"""SELECT query_id, text,
+    CASE WHEN regexp_matches(lower(text), '{'|'.join(K.AGGREGATION_CUES)}') THEN 'aggregation'
+         WHEN regexp_matches(lower(text), '{'|'.join(K.NARRATIVE_CUES)}') THEN 'narrative' ELSE 'factual' END AS intent,
+    list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains([{', '.join(lit(w) for w in K.QUERY_FILLER)}], w)) AS ks
+    FROM questions"""
+_WITH_RECENT = """SELECT query_id, text, intent, CASE WHEN intent = 'narrative' AND len(ks) = 0
+    AND regexp_matches(lower(text), 'ontem|semana passada|recente') THEN ['#RECENT#'] ELSE ks END AS ks FROM classified"""
+oracle(
+    "classify_queries", f"SELECT query_id, text, intent, array_to_string(ks, '|') AS keywords FROM ({_WITH_RECENT})",
+    "questions", extra={"classified": _CLASSIFIED},
+)
+oracle(
+    "expand_keywords",
+    f"""SELECT query_id, array_to_string(CASE WHEN list_contains(ks, 'jogos') THEN list_concat(ks, ['game', 'videogame', 'play'])
+        ELSE ks END, '|') AS keywords FROM ({_WITH_RECENT})""",
+    "questions", extra={"classified": _CLASSIFIED},
+)
