@@ -11,7 +11,7 @@ from chatloom.operators.ordered import Ordered
 LINK = r"https?://[^\s<>\"']+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?\d[\d ().-]{7,}\d"
-DATE = r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b"
+DATE = r"\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}"
 
 
 def activity(messages: DataFrame) -> DataFrame:
@@ -139,14 +139,12 @@ def history_counts(history: DataFrame) -> DataFrame:
 
 def extracted_items(messages: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
     """Links, mail addresses, phone numbers and dates of each message."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
-            lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value")),
-        )
-        for kind, pattern in [("link", LINK), ("email", EMAIL), ("phone", PHONE), ("date", DATE)]
-    ]
-    return messages.select(*keys, F.inline(F.concat(*found)))
+    def found(kind: str, pattern: str):
+        hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    items = F.concat(found("link", LINK), found("email", EMAIL), found("phone", PHONE), found("date", DATE))
+    return messages.select(*keys, F.inline(items))
 
 
 # --- blocks ----------------------------------------------------------------------
@@ -174,11 +172,12 @@ def profile_rows(blocks: DataFrame) -> DataFrame:
     )
 
 
-def usage_metrics(metrics: DataFrame, group: str, value: str) -> DataFrame:
-    """Count, mean and exact percentiles of a measured value."""
+def usage_metrics(metrics: DataFrame, group: str, value: str, accuracy: int = 100_000) -> DataFrame:
+    """Count, mean and percentiles of a measured value.  The percentile sketch has
+    a fixed size and merges, so a group of any size stays small in memory; up to
+    `accuracy` values it is exact."""
+    at = lambda p: F.percentile_approx(value, F.lit(p), F.lit(accuracy))
     return metrics.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"),
-        F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"),
-        F.max(value).alias("largest"),
+        at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("largest"),
     )

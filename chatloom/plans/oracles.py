@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from chatloom.functions import constants as K
 from chatloom.functions import text as T
+from chatloom.operators import analytics, extraction
 from chatloom.plans import catalog as C
 from chatloom.plans.fixtures import query_values
 
@@ -846,3 +847,411 @@ oracle(
         ELSE ks END, '|') AS keywords FROM ({_WITH_RECENT})""",
     "questions", extra={"classified": _CLASSIFIED},
 )
+
+
+def _gap_transcripts() -> str:
+    return f"""SELECT {sid('chat_id', 'min(timestamp)', 'arg_min(line_number, (timestamp, line_number))')} AS session_id, chat_id,
+        min(timestamp) AS start_time, count(*) AS message_count, count(*) FILTER (type = 'text') AS text_count,
+        string_agg({_LINE}, chr(10) ORDER BY timestamp, line_number) AS transcript FROM gap_rows GROUP BY chat_id, seg"""
+
+
+_TASKS = {
+    "session": len(extraction.SESSION_TASK), "batch": len(extraction.BATCH_TASK),
+    "knowledge": len(extraction.KNOWLEDGE_TASK),
+}
+oracle(
+    "extract_sessions",
+    f"""SELECT session_id, CASE WHEN text_count = 0 THEN 'Sessão sem mensagens de texto.'
+          WHEN text_count < 3 THEN 'Sessão breve com ' || message_count || ' mensagens.'
+          ELSE 'len ' || (length(transcript) + {_TASKS['session']}) END AS summary,
+        CASE WHEN text_count < 3 THEN 'trivial' ELSE 'ok' END AS status,
+        CAST(CASE WHEN text_count < 3 THEN 0 ELSE 1 END AS INTEGER) AS attempts FROM ({_gap_transcripts()})""",
+    "gap_rows",
+)
+oracle(
+    "batch_extract",
+    f"""SELECT session_id, CASE WHEN n = 1 THEN 'len ' || CAST({_TASKS['batch']} +
+          sum(length(chr(10) || '--- SESSION ' || (n - 1) || ' ---' || chr(10) || transcript || chr(10))) OVER (PARTITION BY chat_id, b)
+          AS BIGINT) ELSE 'Sessão extraída via fallback de tamanho' END AS summary, 'ok' AS status
+        FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, b ORDER BY pos) AS n FROM (
+          SELECT *, (pos - 1) // 8 AS b FROM (
+            SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY start_time, session_id) AS pos FROM ({_gap_transcripts()}))))""",
+    "gap_rows",
+)
+oracle(
+    "extraction_timing",
+    f"SELECT count(*) AS sessions, count(*) FILTER (text_count >= 3) AS model_sessions FROM ({_gap_transcripts()})", "gap_rows",
+)
+_ALL_OPEN = _OPEN.replace("(SELECT * FROM order_sessions WHERE summary <> '2-HIGH')", "order_sessions")
+_KNOWN = f"SELECT *, length(context) + {_TASKS['knowledge']} AS size FROM ({_blocks(_ALL_OPEN, 200)})"
+oracle(
+    "person_knowledge",
+    f"""SELECT person_id, part, first_session, 't' || (size % 7) AS tags, 'm ' || size AS memories, 'ok' AS status
+        FROM ({_KNOWN})""",
+    "mentions", "order_sessions",
+)
+oracle(
+    "knowledge_metrics",
+    f"""SELECT count(DISTINCT person_id) AS people_processed, count(*) AS tags_offered,
+        count(DISTINCT (person_id, size % 7)) AS tags_inserted, count(*) AS memories_inserted FROM ({_KNOWN})""",
+    "mentions", "order_sessions",
+)
+
+# --- statistics ----------------------------------------------------------------------------
+
+_STOP = "[" + ", ".join(lit(w) for w in K.STOPWORDS) + "]"
+
+
+def _grams(source: str) -> dict[str, str]:
+    bare = f"translate(lower(content), {lit(K.TERM_PUNCTUATION)}, '')"
+    follow = "lead(w, {n}) OVER (PARTITION BY chat_id, line_number ORDER BY i)"
+    return {
+        "split_words": f"""SELECT chat_id, sender, timestamp, line_number, content, list_filter(
+            regexp_split_to_array({bare}, '{SPACE}+'), lambda w: {u16('w')} >= 2 AND NOT list_contains({_STOP}, w)) AS ws
+            FROM {source} WHERE type = 'text'""",
+        "single": """SELECT chat_id, sender, timestamp, line_number, unnest(range(0, len(ws))) AS i, unnest(ws) AS w
+            FROM split_words""",
+        "follows": f"SELECT *, {follow.format(n=1)} AS w2, {follow.format(n=2)} AS w3 FROM single",
+        "grams": f"""SELECT chat_id, sender, timestamp, line_number, term FROM (
+            SELECT *, w AS term FROM follows UNION ALL
+            SELECT *, w || ' ' || w2 FROM follows WHERE w2 IS NOT NULL UNION ALL
+            SELECT *, w || ' ' || w2 || ' ' || w3 FROM follows WHERE w3 IS NOT NULL) WHERE {u16('term')} >= 3""",
+        "by_sender": """SELECT chat_id, term, sender, count(*) AS n, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
+            min((timestamp, line_number)) AS first_at FROM grams GROUP BY chat_id, term, sender""",
+    }
+
+
+def _term_stats(source: str) -> dict[str, str]:
+    return {
+        **_grams(source),
+        "term_totals": f"""SELECT t.* FROM (SELECT chat_id, term, CAST(sum(n) AS BIGINT) AS total_count, min(first_seen) AS first_seen,
+              max(last_seen) AS last_seen, min(first_at) AS first_at FROM by_sender GROUP BY chat_id, term) t
+            JOIN (SELECT chat_id, count(*) AS messages FROM {source} GROUP BY chat_id) m USING (chat_id)
+            WHERE total_count >= 3 AND total_count / messages <= 0.3 AND NOT regexp_matches(term, '^\\d+$')""",
+        "term_stats": """SELECT t.*, b.sender AS top_sender, b.n AS top_count FROM term_totals t JOIN (
+            SELECT *, row_number() OVER (PARTITION BY chat_id, term ORDER BY n DESC, first_at) AS r FROM by_sender) b
+            ON b.chat_id = t.chat_id AND b.term = t.term AND b.r = 1""",
+    }
+
+
+def _samples(k: int) -> dict[str, str]:
+    return {
+        "top_terms": _top("term_stats", "total_count DESC, term", k, "chat_id"),
+        "sampled": """SELECT chat_id, term, trank, sample, CAST(row_number() OVER (PARTITION BY chat_id, term ORDER BY first_place, sha256(sample)) AS INTEGER)
+              AS sample_no FROM (
+            SELECT g.chat_id, g.term, max(t.rank) AS trank, '[' || g.sender || ']: ' || s.content AS sample,
+              min((g.timestamp, g.line_number)) AS first_place
+            FROM grams g JOIN top_terms t ON t.chat_id = g.chat_id AND t.term = g.term
+            JOIN split_words s ON s.chat_id = g.chat_id AND s.timestamp = g.timestamp AND s.line_number = g.line_number
+            GROUP BY g.chat_id, g.term, '[' || g.sender || ']: ' || s.content) QUALIFY sample_no <= 5""",
+    }
+
+
+_PAIRS = """SELECT a.chat_id, a.term AS term_a, b.term AS term_b, a.trank AS rank_a, b.trank AS rank_b, count(*) AS count
+    FROM sampled a JOIN sampled b ON b.chat_id = a.chat_id AND b.sample = a.sample AND b.trank > a.trank
+    WHERE NOT contains(a.term, b.term) AND NOT contains(b.term, a.term) GROUP BY ALL"""
+oracle("sender_terms", "SELECT * EXCLUDE (first_at) FROM by_sender", "messages", extra=_grams("messages"))
+oracle("term_stats", "SELECT * EXCLUDE (first_at) FROM term_stats", "doc_messages", extra=_term_stats("doc_messages"))
+oracle(
+    "term_samples", "SELECT chat_id, term, sample_no, sha256(sample) AS sample FROM sampled", "doc_messages",
+    extra={**_term_stats("doc_messages"), **_samples(3)},
+)
+oracle(
+    "cooccurrence", f"SELECT chat_id, term_a, term_b, count FROM ({_PAIRS})", "doc_messages",
+    extra={**_term_stats("doc_messages"), **_samples(15)},
+)
+
+# --- vectors -----------------------------------------------------------------------------------
+
+_CENTERS = {
+    "vecs": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    "means": """SELECT label, place, avg(x) AS x FROM (
+        SELECT label, unnest(range(0, len(v))) AS place, unnest(v) AS x FROM vecs) GROUP BY label, place""",
+    "centers": """SELECT label, list(x / norm ORDER BY place) AS c FROM means
+        JOIN (SELECT label, sqrt(sum(x * x)) AS norm FROM means GROUP BY label) USING (label) GROUP BY label""",
+}
+_ASSIGNED = """SELECT vec_id, label, CASE WHEN score >= 0.35 THEN topic END AS topic, score FROM (
+    SELECT v.vec_id, v.label, c.label AS topic, round(list_cosine_similarity(v.v, c.c), 6) AS score,
+      row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(v.v, c.c), 6) DESC, c.label) AS r
+    FROM vecs v, centers c) WHERE r = 1"""
+oracle(
+    "l2_normalize",
+    """SELECT vec_id, place, round(coalesce(x / nullif(norm, 0), 0), 6) AS x FROM (
+       SELECT vec_id, unnest(range(0, len(v))) AS place, unnest(v) AS x, sqrt(list_dot_product(v, v)) AS norm FROM (
+       SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * label * 2) AS v FROM embeddings))""",
+)
+oracle(
+    "centroids", "SELECT label, unnest(range(0, len(c))) AS place, round(unnest(c), 6) AS x FROM centers", extra=_CENTERS,
+)
+oracle(
+    "label_similarity",
+    "SELECT vec_id, round(list_cosine_similarity(v, c), 6) AS similarity FROM vecs JOIN centers USING (label)", extra=_CENTERS,
+)
+oracle("nearest_centroid", f"SELECT vec_id, topic, score FROM ({_ASSIGNED})", extra=_CENTERS)
+_NEAR = {
+    **_CENTERS,
+    "near_vecs": _top(
+        "(SELECT 'label-' || c.label AS query_id, vec_id, round(1 - list_cosine_similarity(v, c), 6) AS distance FROM vecs, centers c)",
+        "distance, vec_id", 10,
+    ),
+}
+oracle("knn", "SELECT query_id, vec_id, distance, rank FROM near_vecs", extra=_NEAR)
+oracle(
+    "hybrid_search",
+    "SELECT query_id, vec_id, combined, rank FROM (" + _top(
+        """(SELECT query_id, vec_id, round(0.7 * coalesce(distance, 1.0) + 0.3 * coalesce(rank_value, 0.0), 6) AS combined
+            FROM (SELECT query_id, vec_id, distance FROM near_vecs) FULL JOIN (SELECT query_id, doc_id AS vec_id, -score AS rank_value
+              FROM top_docs) USING (query_id, vec_id))""",
+        "combined, vec_id", 10,
+    ) + ")",
+    "queries",
+    extra={
+        **_NEAR,
+        "asked": "SELECT 'label-' || (CAST(substr(query_id, 2, 2) AS INTEGER) - 1) AS query_id, keywords FROM queries",
+        **_matching("documents", "doc_id", ["text"], "asked"),
+        "top_docs": _top("scores", "score DESC, doc_id", 10),
+    },
+)
+oracle(
+    "relevant_chunks",
+    _top(
+        """(SELECT label AS person_id, vec_id AS chunk_id, round(list_cosine_similarity(v, c), 6) AS similarity
+            FROM vecs JOIN centers USING (label))""",
+        "similarity DESC, chunk_id", 5, "person_id",
+    ),
+    extra=_CENTERS,
+)
+_TOPIC_NAMES = "[" + ", ".join(lit(k) for k, _, _ in K.TOPICS) + "]"
+_TOPIC_LABELS = "[" + ", ".join(lit(n) for _, n, _ in K.TOPICS) + "]"
+_SHARES = {
+    **_CENTERS,
+    "topics": f"SELECT 'src' || label AS chat_id, topic AS t, ({_TOPIC_NAMES})[topic + 1] AS topic FROM ({_ASSIGNED})",
+    "shares": """SELECT chat_id, topic, t, count, total, format('{:.0f}', floor(count / total * 100 + 0.5)) AS pct FROM (
+        SELECT chat_id, topic, any_value(t) AS t, count(*) AS count, CAST(sum(count(*)) OVER (PARTITION BY chat_id) AS BIGINT) AS total
+        FROM topics GROUP BY chat_id, topic) WHERE topic IS NOT NULL AND count >= 2""",
+}
+oracle("topic_share", "SELECT chat_id, topic, count, total, pct FROM shares", extra=_SHARES)
+_DATE = "strftime(make_timestamp({} * 1000000), '%d/%m/%Y')"
+oracle(
+    "profile_facts",
+    f"""SELECT t.chat_id AS contact_id, 'frequent_term' AS category,
+        'O assunto ou termo "' || t.term || '" é mencionado frequentemente na conversa com ' || upper(t.chat_id) || '. Apareceu '
+        || t.total_count || ' vezes. ' || t.top_sender || ' é quem mais fala sobre "' || t.term || '" (' || t.top_count
+        || ' vezes). Período de citação: ' || {_DATE.format('t.first_seen')} || ' a ' || {_DATE.format('t.last_seen')}
+        || '. Exemplo na conversa: ' || s.sample AS text, t.total_count AS evidence
+        FROM top_terms t JOIN sampled s ON s.chat_id = t.chat_id AND s.term = t.term AND s.sample_no = 1
+        UNION ALL
+        SELECT chat_id, 'topic', upper(chat_id) || ' e o usuário conversam ativamente sobre ' || ({_TOPIC_LABELS})[t + 1]
+        || '. Este assunto apareceu em aproximadamente ' || pct || '% das conversas (' || count || ' de ' || total || ' agrupamentos).',
+        count FROM shares WHERE chat_id IN (SELECT source FROM documents)
+        UNION ALL
+        SELECT chat_id, 'co_occurrence', '"' || term_a || '" e "' || term_b || '" são assuntos que aparecem juntos frequentemente na conversa com '
+        || upper(chat_id) || '. Isso ocorreu ' || count || ' vezes diferentes em períodos similares.', count FROM (
+          SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY count DESC, rank_a, rank_b) AS r FROM (
+            {_PAIRS.replace('FROM sampled a JOIN sampled b ON', 'FROM (SELECT * FROM sampled WHERE trank <= 15) a JOIN (SELECT * FROM sampled WHERE trank <= 15) b ON')})) WHERE r <= 5""",
+    "doc_messages", extra={**_term_stats("doc_messages"), **_samples(20), **_SHARES},
+)
+
+# --- answering context ---------------------------------------------------------------------------
+
+_DATED_TEXT = f"coalesce({iso('start_time')}, '')"
+_RULE_HEAD, _RULE_REST = K.DATE_RULE.split("{lo}")
+_RULE_MIDDLE, _RULE_TAIL = _RULE_REST.split("{hi}")
+oracle(
+    "context_prompts",
+    f"""SELECT r.query_id, {lit(K.SYSTEM_PROMPT)} || CASE WHEN min(start_time) IS NOT NULL THEN {lit(_RULE_HEAD)} || {day('min(start_time)')}
+          || {lit(_RULE_MIDDLE)} || {day('max(start_time)')} || {lit(_RULE_TAIL)} ELSE '' END AS system_prompt,
+        {lit(K.USER_PROMPT_HEAD)} || string_agg('[' || {_DATED_TEXT} || ' - ' || sender || ']: ' || content, chr(10) || chr(10) ORDER BY rank)
+          || {lit(K.USER_PROMPT_QUESTION)} || any_value(q.text) || {lit(K.USER_PROMPT_TAIL)} AS user_prompt
+        FROM results r JOIN queries q ON q.query_id = r.query_id GROUP BY r.query_id""",
+    *_ROUTED_VIEWS, extra=_routed_parts(False),
+)
+oracle(
+    "fixed_answers",
+    f"SELECT query_id, {lit(K.NO_CONTEXT_ANSWER)} AS answer FROM queries WHERE query_id NOT IN (SELECT query_id FROM results)",
+    *_ROUTED_VIEWS, extra=_routed_parts(False),
+)
+oracle(
+    "fallback_answers",
+    f"""SELECT query_id, {lit(K.FAILED_ANSWER)} || string_agg(chr(10) || '[' || n || '] ' || {_DATED_TEXT} || ' ' || sender || ': ' || content, '' ORDER BY n) AS answer
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM results) GROUP BY query_id""",
+    *_ROUTED_VIEWS, extra=_routed_parts(False),
+)
+oracle(
+    "citations",
+    f"""SELECT query_id, rank, '[' || {_DATED_TEXT} || '] ' || chat_name || ' — ' ||
+        CASE WHEN sender = 'System' THEN 'Root' ELSE sender END AS meta FROM results""",
+    *_ROUTED_VIEWS, extra=_routed_parts(False),
+)
+
+# --- dashboard -------------------------------------------------------------------------------------
+
+_TOP_PEOPLE = "SELECT id FROM people ORDER BY message_count DESC, id LIMIT {n}"
+oracle(
+    "home_totals",
+    f"""SELECT (SELECT count(*) FROM chats) AS chat_count, (SELECT CAST(sum(message_count) AS BIGINT) FROM chats) AS message_count,
+        (SELECT count(*) FROM people) AS people_count,
+        (SELECT count(*) FROM tags WHERE person_id IN ({_TOP_PEOPLE.format(n=5)})) AS tag_count,
+        (SELECT count(*) FROM memories WHERE person_id IN ({_TOP_PEOPLE.format(n=5)})) AS memory_count""",
+    "chats", "people", "tags", "memories",
+)
+oracle(
+    "featured_people",
+    f"""SELECT p.id, upper(left(array_to_string(list_transform(string_split(name, ' '), lambda w: left(w, 1)), ''), 2)) AS initials,
+        split_part(name, ' ', 1) AS name, message_count, coalesce(t.tags, '') AS tags FROM people p LEFT JOIN (
+          SELECT person_id, string_agg(tag, ', ' ORDER BY r) AS tags FROM (SELECT *, row_number() OVER
+            (PARTITION BY person_id ORDER BY created_at, tag) AS r FROM tag_rows) WHERE r <= 2 GROUP BY person_id) t
+        ON t.person_id = p.id WHERE p.id IN ({_TOP_PEOPLE.format(n=3)})""",
+    "people", "tag_rows",
+)
+oracle(
+    "recent_chats",
+    "SELECT id, name, message_count, last_message_at FROM chats ORDER BY coalesce(last_message_at, 0) DESC, id LIMIT 3", "chats",
+)
+oracle(
+    "relative_time",
+    """SELECT chat_id, line_number, CASE WHEN m < 1 THEN 'agora' WHEN m < 60 THEN m || 'min atrás'
+       WHEN m // 60 < 24 THEN (m // 60) || 'h atrás' WHEN m // 1440 < 7 THEN (m // 1440) || 'd atrás'
+       ELSE strftime(make_timestamp(timestamp * 1000000), '%d/%m') END AS label
+       FROM (SELECT *, CAST(floor((1705604800 - timestamp) / 60.0) AS BIGINT) AS m FROM messages)""",
+    "messages",
+)
+oracle(
+    "person_cards",
+    """SELECT p.id, p.name, upper(left(array_to_string(list_transform(string_split(p.name, ' '), lambda w: left(w, 1)), ''), 2)) AS initials,
+       message_count, kind, page, items FROM people p LEFT JOIN (
+         SELECT person_id, kind, (pos - 1) // 5 AS page, string_agg(item, '; ' ORDER BY pos) AS items FROM (
+           SELECT *, row_number() OVER (PARTITION BY person_id, kind ORDER BY created_at, item) AS pos FROM (
+             SELECT person_id, 'tag' AS kind, tag AS item, created_at FROM tag_rows UNION ALL
+             SELECT person_id, 'memory', memory, created_at FROM memories)) GROUP BY ALL) i ON i.person_id = p.id""",
+    "people", "tag_rows", "memories",
+)
+oracle("node_weights", "SELECT id, 22 + least(message_count / 500, 14.0::DOUBLE) AS weight FROM people", "people")
+oracle(
+    "pivot_flags",
+    "SELECT chat_id, line_number, contains(content, split_part(content, ' ', 1)) AS is_pivot FROM messages", "messages",
+)
+
+# --- analytics -----------------------------------------------------------------------------------
+
+oracle(
+    "activity",
+    f"""SELECT chat_id, sender, {day('timestamp')} AS day, (timestamp // 3600) % 24 AS hour, count(*) AS message_count,
+        CAST(sum({u16('content')}) AS BIGINT) AS characters FROM event_messages GROUP BY ALL""",
+    "event_messages",
+)
+oracle(
+    "activity_rollup",
+    """SELECT chat_id, sender, count(*) AS message_count, CAST(grouping(chat_id, sender) AS BIGINT) AS level
+       FROM event_messages GROUP BY ROLLUP (chat_id, sender)""",
+    "event_messages",
+)
+
+
+def _relations(members: str) -> dict[str, str]:
+    return {
+        "members": f"SELECT DISTINCT c, p FROM ({members})",
+        "pairs": """SELECT a.p AS source_id, b.p AS target_id, count(*) AS shared FROM members a JOIN members b
+            ON a.c = b.c AND a.p < b.p GROUP BY ALL""",
+        "edges": "SELECT *, round(shared / (SELECT max(shared) FROM pairs), 6) AS strength FROM pairs",
+    }
+
+
+_SUPPLIERS = _relations("SELECT l_orderkey AS c, l_suppkey AS p FROM lineitem")
+oracle("relations", "SELECT * FROM edges", extra=_SUPPLIERS)
+oracle("graph_edges", "SELECT source_id AS a, target_id AS b, strength FROM edges", extra=_SUPPLIERS)
+oracle(
+    "window_relations", "SELECT * FROM edges", "event_messages",
+    extra=_relations("SELECT chat_id || '|' || (timestamp // 86400) AS c, sender AS p FROM event_messages WHERE type <> 'system'"),
+)
+oracle(
+    "name_variants",
+    """SELECT a.n AS name_a, b.n AS name_b, levenshtein(a.n, b.n) AS distance FROM names a JOIN names b
+       ON a.n < b.n AND levenshtein(a.n, b.n) <= 2""",
+    extra={"names": "SELECT DISTINCT lower(s_name) AS n FROM supplier"},
+)
+oracle(
+    "unify_names",
+    """SELECT CASE WHEN split_part(normalized_name, ' ', 1) IN ('hot', 'cold') THEN split_part(normalized_name, ' ', 1)
+       ELSE normalized_name END AS canonical_name, count(*) AS n FROM entities GROUP BY 1""",
+    "entities",
+)
+_CACHE = "SELECT text AS query_text, min(query_id) AS llm_response, count(*) AS hit_count FROM questions WHERE text LIKE '%src1%' GROUP BY text"
+oracle("query_cache", _CACHE, "questions")
+oracle(
+    "cached_results",
+    f"SELECT query_id, llm_response FROM questions LEFT JOIN ({_CACHE}) ON query_text = text", "questions",
+)
+oracle(
+    "search_history",
+    """SELECT text AS query, count(*) AS times, CAST(sum(CASE WHEN text LIKE '%src1%' THEN 1 ELSE 0 END) AS BIGINT) AS results
+       FROM questions GROUP BY text""",
+    "questions",
+)
+oracle(
+    "extracted_items",
+    " UNION ALL ".join(
+        f"SELECT doc_id AS line_number, '{kind}' AS kind, unnest(regexp_extract_all(text, {lit(pattern)})) AS value FROM documents"
+        for kind, pattern in [
+            ("link", analytics.LINK), ("email", analytics.EMAIL), ("phone", analytics.PHONE), ("date", analytics.DATE),
+        ]
+    ),
+)
+_BLOCKS = f"""SELECT chat_id AS contact_id, (pos - 1) // 50 AS block_index, {day('min(timestamp)')} AS start_date,
+    {day('max(timestamp)')} AS end_date, count(*) AS message_count FROM (SELECT *, row_number() OVER
+    (PARTITION BY chat_id ORDER BY timestamp, line_number) AS pos FROM event_messages) GROUP BY chat_id, (pos - 1) // 50"""
+oracle("message_blocks", _BLOCKS, "event_messages")
+oracle(
+    "contact_profiles",
+    f"""SELECT contact_id, CAST(sum(message_count) AS BIGINT) AS message_count, min(start_date) AS date_range_start,
+        max(end_date) AS date_range_end, count(*) AS block_count FROM ({_BLOCKS}) GROUP BY contact_id""",
+    "event_messages",
+)
+oracle(
+    "usage_metrics",
+    """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50,
+       quantile_disc(value, 0.95) AS p95, max(value) AS largest FROM events GROUP BY event_type""",
+)
+
+# --- streams -----------------------------------------------------------------------------------------
+
+# A stream tells what its watermark, one hour behind the latest event, has closed.
+_MARK = "(SELECT max(timestamp) - 3600 FROM event_messages)"
+_EVENT_GAPS = VIEWS["gap_rows"].replace("FROM messages", "FROM event_messages")
+oracle(
+    "stream_gap_sessions",
+    f"""SELECT chat_id, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count
+        FROM event_gaps GROUP BY chat_id, seg HAVING max(timestamp) + 7200 <= {_MARK}""",
+    "event_messages", extra={"event_gaps": _EVENT_GAPS},
+)
+oracle(
+    "stream_budget_sessions",
+    f"""SELECT chat_id, start_time, end_time, message_count FROM (
+        SELECT chat_id, seg, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count,
+          max(seg) OVER (PARTITION BY chat_id) AS last FROM cut GROUP BY chat_id, seg)
+        WHERE seg < last OR end_time + 86400 < {_MARK}""",
+    "event_messages", recursive=True, extra=_budget("event_messages", 86400, 40),
+)
+oracle(
+    "stream_window_counts",
+    f"""SELECT s AS window_start, s + 3600 AS window_end, sender, count(*) AS message_count FROM (
+        SELECT sender, timestamp // 3600 * 3600 AS s FROM event_messages) WHERE s + 3600 <= {_MARK} GROUP BY s, sender""",
+    "event_messages",
+)
+oracle(
+    "stream_sliding_counts",
+    f"""SELECT s AS window_start, s + 3600 AS window_end, sender, count(*) AS message_count FROM (
+        SELECT sender, timestamp // 900 * 900 - 900 * unnest(range(0, 4)) AS s FROM event_messages)
+        WHERE s + 3600 <= {_MARK} GROUP BY ALL""",
+    "event_messages",
+)
+oracle("stream_distinct_messages", "SELECT DISTINCT chat_id, timestamp, sender, content FROM event_messages", "event_messages")
+oracle(
+    "stream_pending_feed",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS session_id, format('Customer#{:09d}', o_custkey * 2) AS alias, o_orderpriority AS context
+       FROM orders WHERE o_orderstatus <> 'P' AND format('Customer#{:09d}', o_custkey * 2) NOT IN (SELECT c_name FROM customer)""",
+)
+oracle(
+    "stream_knowledge",
+    f"SELECT DISTINCT person_id, 't' || (size % 7) AS tag, 'map_reduce' AS source FROM ({_KNOWN})", "mentions", "order_sessions",
+)
