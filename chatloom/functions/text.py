@@ -3,6 +3,7 @@ inside whole-stage code generation."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -45,8 +46,17 @@ def is_blank(s: Column) -> Column:
 
 
 def utf16_length(s: Column) -> Column:
-    """Length in UTF-16 units, which is what a JavaScript length is."""
-    return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("long")
+    """Length in UTF-16 units, which is what a JavaScript length is.  Plain ASCII,
+    the common case, needs no encoding to tell."""
+    chars = F.length(s)
+    encoded = (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("long")
+    return F.when(F.octet_length(s) == chars, chars.cast("long")).otherwise(encoded)
+
+
+def utf16_at_least(s: Column, n: int) -> Column:
+    """Whether the UTF-16 length reaches n; most strings are decided by the
+    number of characters alone."""
+    return F.when(F.length(s) >= n, F.lit(True)).otherwise(utf16_length(s) >= n)
 
 
 def token_estimate(s: Column) -> Column:
@@ -86,9 +96,20 @@ def union_keywords(*lists: Column) -> Column:
 
 
 def matches_any(s: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns occurs.  A pattern that is plain text is looked
+    up in the lower-cased string; another is tried only where its longest piece of
+    plain text occurs.  Regular expressions thus see few strings."""
+    low = F.lower(s)
     hit = F.lit(False)
-    for p in patterns:
-        hit = hit | s.rlike(p)
+    for pattern in patterns:
+        body = pattern.removeprefix("(?iu)")
+        if body == pattern:
+            hit = hit | s.rlike(pattern)
+        elif re.fullmatch(r"[\w <>-]+", body):
+            hit = hit | F.contains(low, F.lit(body.lower()))
+        else:
+            piece = max(re.findall(r"[a-zà-ÿ ]{4,}", body), key=len)
+            hit = hit | (F.contains(low, F.lit(piece)) & s.rlike(pattern))
     return hit
 
 
@@ -129,23 +150,24 @@ def chat_name(path: Column) -> Column:
 def term_words(s: Column) -> Column:
     """Words of a message for term statistics."""
     bare = F.translate(F.lower(s), K.TERM_PUNCTUATION, "")
-    stop = F.array(*[F.lit(w) for w in K.STOPWORDS])
     return F.filter(
         F.split(bare, f"{SPACE_CLASS}+"),
-        lambda w: (utf16_length(w) >= 2) & ~F.array_contains(stop, w),
+        lambda w: utf16_at_least(w, 2) & ~w.isin(K.STOPWORDS),
+    )
+
+
+def pairs_of(left: Column, words: Column, skip: int) -> Column:
+    """Each element of `left` followed by the word `skip` places further on."""
+    size = F.greatest(F.size(words) - skip, F.lit(0))
+    return F.zip_with(
+        F.slice(left, F.lit(1), size), F.slice(words, F.lit(skip + 1), size),
+        lambda a, b: F.concat(a, F.lit(" "), b),
     )
 
 
-def ngrams(words: Column, n: int) -> Column:
-    size = F.size(words)
-    grams = F.when(
-        size >= n,
-        F.transform(
-            F.sequence(F.lit(1), size - (n - 1)),
-            lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.filter(grams, lambda g: utf16_length(g) >= 3)
+def single_grams(words: Column) -> Column:
+    """Words long enough to be terms of their own; longer grams always are."""
+    return F.filter(words, lambda w: utf16_at_least(w, 3))
 
 
 def highlight(content: Column, query: Column) -> Column:

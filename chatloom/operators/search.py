@@ -17,7 +17,7 @@ from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators.ordered import Ordered
 from chatloom.operators.ranges import messages_in_sessions
-from chatloom.session import broadcast_if_small, durable
+from chatloom.session import broadcast_if_small, durable, spread
 
 MESSAGE_KEY = ["chat_id", "timestamp", "line_number"]
 
@@ -28,7 +28,7 @@ def tokenized(docs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """keys, tokens (one array per field) and the document length.  This is what
     to store when the same documents are searched often."""
     tokens = F.array(*[T.search_tokens(F.coalesce(f, F.lit(""))) for f in fields])
-    return docs.select(*keys, tokens.alias("tokens")).withColumn(
+    return spread(docs.select(*dict.fromkeys([*keys, *fields]))).select(*keys, tokens.alias("tokens")).withColumn(
         "doc_length", F.size(F.flatten("tokens")).cast("long")
     )
 
@@ -87,17 +87,58 @@ def _runs(tokens: Column, shapes: Column) -> Column:
     return F.flatten(F.transform(shapes, of_shape))
 
 
+SHORT_PHRASE = 3
+
+
+def _short_runs(docs: DataFrame, keys: list[str], shapes: list[tuple[int, int]]) -> DataFrame:
+    """Word runs of up to three words.  Each word comes with the words before it
+    as columns, so the runs are plain generated code."""
+    reach = max(words for words, _ in shapes)
+    fields = docs.select(*keys, "doc_length", F.explode("tokens").alias("__w"))
+    size = F.size("__w")
+    behind = [
+        F.concat(
+            F.array_repeat(F.lit(None).cast("string"), k),
+            F.slice("__w", F.lit(1), F.greatest(size - k, F.lit(0))),
+        ).alias(f"before{k}")
+        for k in range(1, reach)
+    ]
+    shifted = fields.select(*keys, "doc_length", F.col("__w").alias("word"), *behind)
+    zipped = F.arrays_zip("word", *[f"before{k}" for k in range(1, reach)])
+    placed = shifted.select(*keys, "doc_length", F.inline(zipped))
+
+    def cut(words: int, letters: int) -> Column:
+        parts = [F.col(f"before{k}") for k in range(words - 1, 0, -1)] + [F.substring("word", 1, letters)]
+        spaced = [p for part in parts for p in (F.lit(" "), part)][1:]
+        # A missing word before makes the whole run null.
+        return F.when(F.length("word") >= letters, F.concat(*spaced))
+
+    # Runs that do not exist are null and find no partner in the join.
+    runs = F.explode(F.array(*[cut(w, n) for w, n in shapes]))
+    return placed.select(*keys, "doc_length", runs.alias("phrase"))
+
+
+def _long_runs(docs: DataFrame, keys: list[str], shapes: list[tuple[int, int]]) -> DataFrame:
+    listed = F.array(*[F.struct(F.lit(w).alias("words"), F.lit(n).alias("letters")) for w, n in shapes])
+    runs = F.flatten(F.transform("tokens", lambda t: _runs(t, listed)))
+    return docs.select(*keys, "doc_length", F.explode(runs).alias("phrase"))
+
+
 def phrase_hits(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """query_id, kw_no, keys, doc_length, tf: how often each phrase is in a document.
-    `docs` comes from `tokenized`."""
-    shapes = wanted.agg(F.collect_set(F.struct("words", "letters")).alias("s")).scalar()
-    runs = F.flatten(F.transform("tokens", lambda t: _runs(t, F.col("__shapes"))))
-    cut = (
-        docs.withColumn("__shapes", shapes)
-        .select(*keys, "doc_length", F.explode(runs).alias("phrase"))
-    )
+    `docs` comes from `tokenized`.
+
+    What comes to the driver is the set of shapes: pairs of small numbers, no
+    more than the lengths that occur."""
+    wanted = broadcast_if_small(wanted.select("query_id", "kw_no", "phrase", "words", "letters"))
+    shapes = sorted((r.words, r.letters) for r in wanted.select("words", "letters").distinct().collect())
+    short = [s for s in shapes if s[0] <= SHORT_PHRASE]
+    long = [s for s in shapes if s[0] > SHORT_PHRASE]
+    cut = _short_runs(docs, keys, short or [(1, 1)])
+    if long:
+        cut = cut.unionByName(_long_runs(docs, keys, long))
     return (
-        cut.join(broadcast_if_small(wanted.select("query_id", "kw_no", "phrase")), "phrase")
+        cut.join(wanted.select("query_id", "kw_no", "phrase"), "phrase")
         .groupBy("query_id", "kw_no", *keys, "doc_length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

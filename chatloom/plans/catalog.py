@@ -16,6 +16,7 @@ from chatloom.operators import (
 )
 from chatloom.operators.ordered import Ordered
 from chatloom.plans.fixtures import Tables
+from chatloom.session import spread
 from chatloom.sources import exports
 
 Query = Callable[[Tables], DataFrame]
@@ -103,7 +104,7 @@ def detect_formats(t):
 
 @query
 def message_type(t):
-    return t.doc_messages.select(
+    return spread(t.doc_messages.select("line_number", "content", "sender")).select(
         F.col("line_number").alias("doc_id"), T.message_type(F.col("content"), F.col("sender")).alias("type")
     )
 
@@ -671,12 +672,12 @@ def knowledge_metrics(t):
 
 @query
 def term_stats(t):
-    return stats.term_stats(t.doc_messages).drop("first_at")
+    return stats.term_stats(t.doc_messages).drop("first_line")
 
 
 @query
 def sender_terms(t):
-    return stats.sender_terms(t.messages).drop("first_at")
+    return stats.sender_terms(t.messages).drop("first_place")
 
 
 @query

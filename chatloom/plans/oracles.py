@@ -950,7 +950,7 @@ def _samples(k: int) -> dict[str, str]:
 _PAIRS = """SELECT a.chat_id, a.term AS term_a, b.term AS term_b, a.trank AS rank_a, b.trank AS rank_b, count(*) AS count
     FROM sampled a JOIN sampled b ON b.chat_id = a.chat_id AND b.sample = a.sample AND b.trank > a.trank
     WHERE NOT contains(a.term, b.term) AND NOT contains(b.term, a.term) GROUP BY ALL"""
-oracle("sender_terms", "SELECT * EXCLUDE (first_at) FROM by_sender", "messages", extra=_grams("messages"))
+oracle("sender_terms", "SELECT * EXCLUDE (first_at, first_seen) FROM by_sender", "messages", extra=_grams("messages"))
 oracle("term_stats", "SELECT * EXCLUDE (first_at) FROM term_stats", "doc_messages", extra=_term_stats("doc_messages"))
 oracle(
     "term_samples", "SELECT chat_id, term, sample_no, sha256(sample) AS sample FROM sampled", "doc_messages",

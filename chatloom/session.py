@@ -83,3 +83,13 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     if estimated_bytes(df) <= SMALL_INPUT_DEFAULT or df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that Spark would read in fewer tasks than there are
+    cores, ahead of work on its texts that costs far more than reading them.  An
+    input large enough to keep every core busy is left as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if estimated_bytes(df) < cores * split else df

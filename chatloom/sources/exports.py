@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
 from chatloom.operators.ordered import Ordered
+from chatloom.session import spread
 
 LINE_BREAK = "\r\n|\n|\r"
 
@@ -42,7 +43,7 @@ def split_lines(texts: DataFrame, file: str, text: str) -> DataFrame:
     body = F.regexp_replace(F.col(text), "(\r\n|\n|\r)\\z", "")
     has_lines = F.length(text) > 0
     return (
-        texts.filter(has_lines)
+        spread(texts.select(file, text).filter(has_lines))
         .select(F.col(file).cast("string").alias("file"), F.posexplode(F.split(body, LINE_BREAK)))
         .select("file", (F.col("pos") + 1).cast("long").alias("line_number"), F.col("col").alias("line"))
         .withColumn("line", strip_mark())
