@@ -14,6 +14,7 @@ from chatloom.session import durable
 from chatloom.sources.exports import split_lines
 
 DELAY = "1 hour"
+FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _table(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
@@ -34,7 +35,7 @@ def _write(df: DataFrame, path: str, batch: int) -> None:
 def import_stream(spark: SparkSession, incoming: str, tables: str, checkpoint: str):
     """New export files into chats and messages under `tables`.  Files whose hash
     is known are skipped; messages already stored are ignored."""
-    files = spark.readStream.format("binaryFile").load(incoming)
+    files = spark.readStream.format("binaryFile").schema(FILE).load(incoming)
 
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
