@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators.ordered import Ordered
+from chatloom.session import has_hot_group
 
 
 def patterns_for(regional: bool = False) -> dict[str, str]:
@@ -62,14 +63,34 @@ def epoch_seconds(fmt: Column, date: Column, time: Column) -> Column:
     return days * 86400 + hour * 3600 + minute * 60
 
 
-def number_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Lines with their file's format and the number of the message they belong
-    to; 0 is before the first message."""
-    patterns = patterns_for(True)
+def _is_start() -> Column:
     starts = F.lit(False)
-    for name, pattern in patterns.items():
+    for name, pattern in patterns_for(True).items():
         starts = F.when(F.col("format") == name, F.col("line").rlike(pattern)).otherwise(starts)
-    known = lines.join(formats.filter("format is not null"), "file").withColumn("__start", starts)
+    return starts
+
+
+def _number_whole(lines: DataFrame, regional: bool) -> DataFrame:
+    """Files of ordinary size: format and message numbers come from windows over
+    the file, and later steps group by the same key, so lines are shuffled once."""
+    by_line = Window.partitionBy("file").orderBy("line_number")
+    head = F.when(
+        F.col("line_number") <= K.DETECTION_LINES, line_format(T.js_trim(F.col("line")), patterns_for(regional))
+    )
+    whole = by_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        lines.withColumn("__f", head)
+        .withColumn("format", F.first("__f", ignorenulls=True).over(whole)).drop("__f")
+        .withColumn("__start", _is_start())
+        .withColumn("message_no", F.sum(F.col("__start").cast("long")).over(upto))
+    )
+
+
+def _number_split(lines: DataFrame, regional: bool) -> DataFrame:
+    """Files too large for one task: formats are joined, and message numbers are
+    summed up block by block (or slice by slice)."""
+    known = lines.join(detect_formats(lines, regional), "file", "left").withColumn("__start", _is_start())
     if "block" in lines.columns:
         rows = Ordered(known, ("file",), ("line_number",), slice="block")
     else:
@@ -77,6 +98,31 @@ def number_lines(lines: DataFrame, formats: DataFrame) -> DataFrame:
     return rows.running_sum(F.col("__start").cast("long"), "message_no").result()
 
 
+NUMBERED = ["file", "format", "line_number", "line", "message_no", "__start"]
+
+
+def _numbered(lines: DataFrame, regional: bool) -> list[DataFrame]:
+    """Lines with their file's format (null if unknown) and the number of the
+    message they belong to; 0 is before the first message."""
+    if "split" in lines.columns:
+        parts = [
+            _number_whole(lines.filter(~F.col("split")), regional),
+            _number_split(lines.filter("split"), regional),
+        ]
+    elif has_hot_group(lines, ["file"]):
+        parts = [_number_split(lines, regional)]
+    else:
+        parts = [_number_whole(lines, regional)]
+    return [p.select(NUMBERED) for p in parts]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def assemble(numbered: DataFrame) -> DataFrame:
     """Message rows: a starting line and the non-blank lines that follow it."""
     kept = numbered.filter((F.col("message_no") > 0) & (F.col("__start") | ~T.is_blank(F.col("line"))))
@@ -114,18 +160,22 @@ def assemble(numbered: DataFrame) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, regional: bool = False) -> DataFrame:
-    return assemble(number_lines(lines, detect_formats(lines, regional)))
+    return _union([assemble(p) for p in _numbered(lines, regional)])
+
+
+def _is_orphan() -> Column:
+    return F.col("format").isNotNull() & (F.col("message_no") == 0) & ~T.is_blank(F.col("line"))
 
 
 def parse_errors(lines: DataFrame, regional: bool = False) -> DataFrame:
     """Lines before the first message, and files of no known format."""
-    formats = detect_formats(lines, regional)
-    orphans = (
-        number_lines(lines, formats)
-        .filter((F.col("message_no") == 0) & ~T.is_blank(F.col("line")))
-        .select("file", "line_number", "line", F.lit("orphan_line").alias("reason"))
+    orphans = _union(
+        [
+            p.filter(_is_orphan()).select("file", "line_number", "line", F.lit("orphan_line").alias("reason"))
+            for p in _numbered(lines, regional)
+        ]
     )
-    unknown = formats.filter("format is null").select(
+    unknown = detect_formats(lines, regional).filter("format is null").select(
         "file", F.lit(None).cast("long").alias("line_number"),
         F.lit(None).cast("string").alias("line"), F.lit("unknown_format").alias("reason"),
     )
@@ -134,27 +184,25 @@ def parse_errors(lines: DataFrame, regional: bool = False) -> DataFrame:
 
 def parse_stats(lines: DataFrame, regional: bool = False) -> DataFrame:
     """One row per file; first and last time are those of file order."""
-    formats = detect_formats(lines, regional)
-    numbered = number_lines(lines, formats)
-    starts = assemble(numbered)
-    totals = lines.groupBy("file").agg(F.count(F.lit(1)).alias("total_lines"))
-    errors = (
-        numbered.filter((F.col("message_no") == 0) & ~T.is_blank(F.col("line")))
-        .groupBy("file").agg(F.count(F.lit(1)).alias("error_count"))
+    return _union([_stats(p) for p in _numbered(lines, regional)])
+
+
+def _stats(numbered: DataFrame) -> DataFrame:
+    totals = numbered.groupBy("file").agg(
+        F.max("format").alias("format"),
+        F.count(F.lit(1)).alias("total_lines"),
+        F.count_if(_is_orphan()).alias("error_count"),
     )
-    messages = starts.groupBy(F.col("chat_id").alias("file")).agg(
+    messages = assemble(numbered).groupBy(F.col("chat_id").alias("file")).agg(
         F.count(F.lit(1)).alias("total_messages"),
         F.count_distinct("sender").alias("participant_count"),
         F.min_by("timestamp", "line_number").alias("first_timestamp"),
         F.max_by("timestamp", "line_number").alias("last_timestamp"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (
-        totals.join(formats, "file", "left").join(messages, "file", "left").join(errors, "file", "left")
-        .select(
-            "file", "format", "total_lines", zero("total_messages"), zero("error_count"),
-            zero("participant_count"), "first_timestamp", "last_timestamp",
-        )
+    return totals.join(messages, "file", "left").select(
+        "file", "format", "total_lines", zero("total_messages"), "error_count",
+        zero("participant_count"), "first_timestamp", "last_timestamp",
     )
 
 

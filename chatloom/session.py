@@ -72,6 +72,8 @@ def has_hot_group(df: DataFrame, keys: list[str]) -> bool:
 
 
 BROADCAST_ROWS = 200_000
+# Spark's default size of an input split.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -89,7 +91,5 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal out an input that Spark would read in fewer tasks than there are
     cores, ahead of work on its texts that costs far more than reading them.  An
     input large enough to keep every core busy is left as it is."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if estimated_bytes(df) < cores * split else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * SPLIT_BYTES else df

@@ -16,20 +16,32 @@ from chatloom.session import spread
 LINE_BREAK = "\r\n|\n|\r"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with 1-based numbers: file, block, line_number, line.
+WHOLE_FILE_BYTES = 128 * 1024 * 1024
 
-    Files are split by Spark, so one huge file is read by many tasks.  Rows are
-    numbered inside their block, and blocks are put one after another by their
-    line counts; no task ever holds a whole file."""
+
+def read_lines(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Lines of text files with 1-based numbers: file, block, split, line_number, line.
+
+    A file of ordinary size is numbered as one group.  A larger one (`split`) is
+    read by many tasks and stays apart: its lines are numbered inside their block,
+    and blocks are put one after another by their line counts.  No task ever
+    holds such a file whole, and each file is read by one of the two branches."""
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("line"),
         F.monotonically_increasing_id().alias("__at"),
     )
-    numbered = Ordered(raw, ("file",), ("__at",), slice="block").row_number("line_number").df
-    return numbered.select("file", "block", "line_number", strip_mark().alias("line"))
+    usual = Ordered(raw.filter(F.col("size") <= whole_file_bytes), ("file",), ("block", "__at"))
+    huge = Ordered(raw.filter(F.col("size") > whole_file_bytes), ("file",), ("__at",), slice="block")
+    parts = [
+        rows.row_number("line_number").df.select(
+            "file", "block", F.lit(split).alias("split"), "line_number", strip_mark().alias("line")
+        )
+        for rows, split in [(usual, False), (huge, True)]
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def strip_mark() -> Column:

@@ -2,6 +2,8 @@ import hashlib
 import json
 import zipfile
 
+import pytest
+
 from chatloom.operators import parsing as P
 from chatloom.operators import store
 from chatloom.sources import exports as X
@@ -13,7 +15,7 @@ def test_line_numbers_across_blocks(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes("﻿a\rb\nc\n".encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     try:
-        lines = X.read_lines(spark, str(tmp_path))
+        lines = X.read_lines(spark, str(tmp_path), whole_file_bytes=1000)
         assert lines.select("block").distinct().count() > 3
         rows = lines.collect()
     finally:
@@ -24,12 +26,13 @@ def test_line_numbers_across_blocks(spark, tmp_path):
     assert sorted((r.line_number, r.line) for r in rows if "b.txt" in r.file) == [(1, "a"), (2, "b"), (3, "c")]
 
 
-def test_messages_across_blocks(spark, tmp_path):
+@pytest.mark.parametrize("whole", [1000, 1 << 30])
+def test_messages_across_blocks(spark, tmp_path, whole):
     text = "".join(f"01/05/2024 14:{i % 60:02d} - A{i % 3}: m{i}\nmais {i}\n" for i in range(200))
     (tmp_path / "c.txt").write_text(text)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
     try:
-        rows = P.parse_lines(X.read_lines(spark, str(tmp_path))).orderBy("line_number").collect()
+        rows = P.parse_lines(X.read_lines(spark, str(tmp_path), whole)).orderBy("line_number").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.content for r in rows] == [f"m{i}\nmais {i}" for i in range(200)]
