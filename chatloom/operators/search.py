@@ -147,7 +147,8 @@ def phrase_hits(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFram
 def bm25(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """query_id, keys, score of every document with at least one phrase."""
     hits = phrase_hits(docs, keys, wanted)
-    found_in = hits.groupBy("query_id", "kw_no").agg(F.count(F.lit(1)).alias("df"))
+    # Asking for tf keeps both uses of the hits alike, so Spark computes them once.
+    found_in = hits.groupBy("query_id", "kw_no").agg(F.count_if(F.col("tf") > 0).alias("df"))
     # One row with the collection's totals.
     totals = docs.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum("doc_length").alias("words")).alias("t")
