@@ -14,10 +14,6 @@ from chatloom.functions import constants as K
 # White space as JavaScript's trim() sees it (wider than Spark's trim).
 SPACE_CLASS = r"[\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
-# Characters a search keyword keeps.
-KEYWORD_DROP = "[^a-zA-Z0-9À-ÖØ-öø-ÿ ]"
-KEYWORD_DROP_NO_SPACE = "[^a-zA-Z0-9À-ÖØ-öø-ÿ]"
-
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -74,7 +70,7 @@ def search_tokens(s: Column) -> Column:
 
 
 def clean_keyword(s: Column, keep_spaces: bool = True) -> Column:
-    return F.trim(F.regexp_replace(s, KEYWORD_DROP if keep_spaces else KEYWORD_DROP_NO_SPACE, ""))
+    return F.trim(F.regexp_replace(s, K.KEYWORD_DROP if keep_spaces else K.KEYWORD_DROP_NO_SPACE, ""))
 
 
 def clean_keywords(a: Column, keep_spaces: bool = True) -> Column:

@@ -318,7 +318,8 @@ def search_aggregation(
     text = ["name", "normalized_name", "type", "action"]
     texts = entities.select(*text).distinct().withColumn("__type", F.col("type"))
     docs = tokenized(texts, text, ["name", "__type", "action"])
-    matched = phrase_hits(docs, text, phrases(queries)).select("query_id", *text).distinct()
+    # Stored, because its size is looked at before it is joined.
+    matched = durable(phrase_hits(docs, text, phrases(queries)).select("query_id", *text).distinct())
     hits = entities.select("session_id", *text).join(broadcast_if_small(matched), text)
     dated = queries.select("query_id", "date_from", "date_to")
     rows = hits.join(
@@ -426,7 +427,7 @@ def suggest(prefixes: DataFrame, terms: DataFrame, limit: int = 5) -> DataFrame:
 def snippet_lines(blocks: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """Lines of a display text: sender (first word), time and text; a line that
     does not open a message continues the one before."""
-    shape = r"\A([^\[]+) \[([^\]]+)\]:\s([^\n\r]*)\z"
+    shape = K.SNIPPET_LINE
     lines = blocks.select(*keys, F.posexplode(F.split(content, "\n")).alias("line_no", "line"))
     opens = F.col("line").rlike(shape)
     part = lambda n: F.regexp_extract("line", shape, n)

@@ -17,7 +17,6 @@ from chatloom.session import durable
 CHAT = ["chat_id"]
 ORDER = ["timestamp", "line_number"]
 SEGMENT = ["chat_id", "island", "cut_no"]
-PLACEHOLDER = "Processando IA em background..."
 
 
 def _rows_with_gap(messages: DataFrame) -> Ordered:
@@ -50,7 +49,7 @@ def budget_segments(
     return out.select(*messages.columns, "island", "cut_no")
 
 
-def session_rows(segments: DataFrame, summary: str = PLACEHOLDER) -> DataFrame:
+def session_rows(segments: DataFrame, summary: str = K.PLACEHOLDER_SUMMARY) -> DataFrame:
     """One row per session.  The id follows from the chat and the first message,
     so the same data always gives the same ids."""
     grouped = segments.groupBy(*SEGMENT).agg(

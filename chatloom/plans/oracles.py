@@ -217,8 +217,8 @@ oracle("chat_names", "SELECT doc_id, 'Conversa ' || source || '+v1.' || lang AS
 oracle("text_measures", f"SELECT doc_id, {u16('text')} AS length, {tokens4('text')} AS tokens FROM documents")
 oracle(
     "keyword_cleaning",
-    f"""SELECT doc_id, trim(regexp_replace(text, {lit(T.KEYWORD_DROP)}, '', 'g')) AS cleaned,
-        sha256(regexp_replace(text, {lit(T.KEYWORD_DROP_NO_SPACE)}, '', 'g')) AS joined FROM documents""",
+    f"""SELECT doc_id, trim(regexp_replace(text, {lit(K.KEYWORD_DROP)}, '', 'g')) AS cleaned,
+        sha256(regexp_replace(text, {lit(K.KEYWORD_DROP_NO_SPACE)}, '', 'g')) AS joined FROM documents""",
 )
 
 # --- stores ------------------------------------------------------------------------
@@ -504,7 +504,7 @@ oracle(
 )
 
 
-def _matching(source: str, keys: str, fields: list[str], queries: str = "queries", drop: str = T.KEYWORD_DROP) -> dict[str, str]:
+def _matching(source: str, keys: str, fields: list[str], queries: str = "queries", drop: str = K.KEYWORD_DROP) -> dict[str, str]:
     """Phrases, word positions, hits per phrase and document, and BM25 scores."""
     on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
     words = "[x for x in parts]"
@@ -569,7 +569,7 @@ _DATED = """(coalesce(q.date_from, 0) = 0 OR s.start_time >= q.date_from)
     AND (coalesce(q.date_to, 0) = 0 OR s.end_time <= q.date_to)"""
 _TOLD = {"told": "SELECT * FROM queries WHERE NOT list_contains(keywords, '#RECENT#')"}
 _NARRATIVE = {
-    **_TOLD, **_matching("order_sessions", "id", ["summary"], "told", T.KEYWORD_DROP_NO_SPACE),
+    **_TOLD, **_matching("order_sessions", "id", ["summary"], "told", K.KEYWORD_DROP_NO_SPACE),
     "narrative": _top(
         f"(SELECT x.query_id, x.id, x.score, s.chat_id, s.start_time, s.end_time, s.summary FROM scores x "
         f"JOIN order_sessions s ON s.id = x.id JOIN queries q ON q.query_id = x.query_id WHERE {_DATED})",
@@ -651,7 +651,7 @@ def _routed_parts(hop: bool) -> dict[str, str]:
     parts["q_fact"] = "SELECT * FROM asked WHERE intent NOT IN ('aggregation', 'narrative')"
     parts.update(_prefixed(_counted("q_agg", 20), "agg_", ["texts", *_PIECES, "counted"]))
     narrative = {
-        **_matching("order_sessions", "id", ["summary"], "q_told", T.KEYWORD_DROP_NO_SPACE),
+        **_matching("order_sessions", "id", ["summary"], "q_told", K.KEYWORD_DROP_NO_SPACE),
         "narrative": _NARRATIVE["narrative"],
     }
     parts.update(_prefixed(narrative, "nar_", [*_PIECES, "narrative"]))
