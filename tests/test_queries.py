@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from chatloom.plans import catalog
+from chatloom.plans.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "customer supplier part orders lineitem events documents embeddings benchmark conversations".split()
@@ -24,10 +26,10 @@ def table(columns, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     cursor = db.execute(entry.oracle_sql()[name])
