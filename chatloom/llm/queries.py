@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import bpe, langid, secrets
+from chatloom.llm import bpe, langid, packing, quality, secrets
 from chatloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,22 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").where((fold() != 1) & F.col("quality").isNotNull()).select("doc_id", "quality")
+    # At most TRAIN_ROWS ids, so sending them to the documents is bounded.
+    rows = docs.join(F.broadcast(quality.choose(labels)), "doc_id")
+    model = quality.fit(rows, "quality", declared="n_chars")
+    judged = quality.score(docs.withColumn("held_out", fold() == 1), model, declared="n_chars")
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
