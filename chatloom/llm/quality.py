@@ -224,5 +224,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", declared: str | Non
                 [*(batch.column(c) for c in kept), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                 [*kept, "score", "predicted"])
 
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
     return docs.select(*kept, text).mapInArrow(judge, schema)
