@@ -3,6 +3,7 @@ byte spans in bulk, sketches of fixed size, and connected components."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -120,36 +121,38 @@ class Spans:
 SLICE = 4096
 
 
-def add_up(parts: DataFrame, slots: int, kind=np.int64, tasks: int = 16) -> np.ndarray:
-    """Sum the slices (place int, counts binary) that tasks emit into one array of
-    `slots` numbers.  Slices are added as they stream past, and the result's size is
-    fixed by `slots`, whatever the input."""
+SLICES = "place int, counts binary"
+
+
+def slices(counts: np.ndarray) -> pa.RecordBatch:
+    """An array as its packed slices, empty ones left out."""
+    table = np.append(counts, np.zeros(-len(counts) % SLICE, counts.dtype)).reshape(-1, SLICE)
+    full = np.flatnonzero(table.any(axis=1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int32()), pa.array([zlib.compress(table[i].tobytes(), 1) for i in full], pa.binary())],
+        ["place", "counts"])
+
+
+def merged(parts: DataFrame, slots: int, kind, join: Callable = np.add, tasks: int = 16) -> np.ndarray:
+    """Combine the slices that tasks emit into one array of `slots` numbers.  They
+    are combined as they stream past, and the result's size is fixed by `slots`,
+    whatever the input."""
 
     def total(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(raw, kind)
-                if place in held:
-                    held[place] += got
-                else:
-                    held[place] = got.copy()
-        yield pa.RecordBatch.from_pydict(
-            {"place": pa.array(list(held), pa.int32()), "counts": pa.array([v.tobytes() for v in held.values()], pa.binary())}
-        )
-
-    rows = parts.repartition(tasks, "place").mapInArrow(total, "place int, counts binary").collect()
-    out = np.zeros(slots, kind)
+                got = np.frombuffer(zlib.decompress(raw), kind)
+                held[place] = join(held[place], got) if place in held else got
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())],
+            ["place", "counts"])
+
+    rows = parts.repartition(tasks, "place").mapInArrow(total, SLICES).collect()
+    out = np.zeros(slots + -slots % SLICE, kind)
     for place, raw in rows:
-        out[place * SLICE : (place + 1) * SLICE] = np.frombuffer(raw, kind)
-    return out
-
-
-def slices(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """An array as its slices, empty ones left out."""
-    table = counts.reshape(-1, SLICE)
-    full = np.flatnonzero(table.any(axis=1))
-    return full.tolist(), [table[i].tobytes() for i in full]
+        out[place * SLICE : (place + 1) * SLICE] = np.frombuffer(zlib.decompress(raw), kind)
+    return out[:slots]
 
 
 def marks(column: DataFrame, slots: int) -> np.ndarray:
@@ -160,29 +163,12 @@ def marks(column: DataFrame, slots: int) -> np.ndarray:
     def note(batches):
         seen = np.zeros(slots, np.uint8)
         for batch in batches:
-            seen[slot_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), slots)] = 1
-        packed = np.packbits(seen)
-        whole = np.zeros(-(-len(packed) // SLICE) * SLICE, np.uint8)
-        whole[: len(packed)] = packed
-        places, raws = slices(whole)
-        yield pa.RecordBatch.from_pydict({"place": pa.array(places, pa.int32()), "counts": pa.array(raws, pa.binary())})
-
-    def either(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(raw, np.uint8)
-                held[place] = held[place] | got if place in held else got
-        yield pa.RecordBatch.from_pydict(
-            {"place": pa.array(list(held), pa.int32()), "counts": pa.array([v.tobytes() for v in held.values()], pa.binary())}
-        )
+            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            seen[slot_of(values.view(np.uint64), slots)] = 1
+        yield slices(np.packbits(seen))
 
-    schema = "place int, counts binary"
-    rows = column.mapInArrow(note, schema).repartition(16, "place").mapInArrow(either, schema).collect()
-    packed = np.zeros(-(-slots // 8 // SLICE) * SLICE, np.uint8)
-    for place, raw in rows:
-        packed[place * SLICE : (place + 1) * SLICE] = np.frombuffer(raw, np.uint8)
-    return np.unpackbits(packed)[:slots].astype(bool)
+    packed = merged(column.mapInArrow(note, SLICES), slots // 8, np.uint8, np.bitwise_or)
+    return np.unpackbits(packed).astype(bool)
 
 
 def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
