@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import bpe, jaccard, langid, packing, quality, secrets
+from chatloom.llm import bpe, jaccard, langid, packing, quality, secrets, suffixes
 from chatloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold() != 1).select("text", "lang"))
     judged = langid.predict(docs.select("doc_id", (fold() == 1).alias("held_out"), "text"), model)
     return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents"))
