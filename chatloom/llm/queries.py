@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import bpe, jaccard, langid, packing, quality, secrets, suffixes
+from chatloom.llm import bpe, forest, jaccard, langid, metric, packing, quality, secrets, suffixes, warc
 from chatloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,33 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of the pages: each page's response, a later revisit of it under
+    another spelling of its URL, and a capture of its host's front page, of which one
+    in four is a response.  Some validators are weak, wrong, or left out."""
+    def record(number, url, fetched, status, **headers):
+        told = ", ".join(f"struct('{n.replace('_', '-')}' as name, cast({v} as string) as value)" for n, v in headers.items())
+        return f"struct({number} as record_id, {url} as url, {fetched} as fetched, {status} as status, array({told}) as headers)"
+
+    front = "substring_index(url, '/', 3)"
+    tag = "case when page_id % 11 = 0 then null when page_id % 7 = 0 then 'other' when page_id % 3 = 0 then concat('W/', md5(html)) else md5(html) end"
+    full = record("page_id * 3", "url", "page_id * 10", "200", Date="page_id * 10", ETag="md5(html)",
+                  Content_Length="length(html)", Cache_Control="'max-age=60'")
+    again = record("page_id * 3 + 1", f"concat(upper({front}), substring(url, length({front}) + 1), '#seen')",
+                   "page_id * 10 + 1000", "304", date="page_id * 10 + 1000", etag=tag, content_length="'0'", cache_control="'max-age=600'")
+    home = record("page_id * 3 + 2", "concat('http://', host, '/')", "page_id * 10 + 5", "if(page_id % 4 = 0, 200, 304)",
+                  Date="page_id * 10 + 5", ETag="md5(concat(host, cast(page_id div 400 as string)))", Server="'s'",
+                  Vary="if(page_id % 4 = 0, 'accept', 'accept-encoding')")
+    named = pages.withColumn("host", F.regexp_extract("url", "^https?://([^/?#]*)", 1))
+    made = named.selectExpr(f"inline(array({full}, {again}, {home}))")
+    return made.withColumn("headers", F.filter("headers", lambda h: h["value"].isNotNull()))
+
+
+@query
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve(captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 @query
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -65,6 +92,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return forest.search(rows, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.links(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove(table(spark, sf_dir, "documents"))

@@ -520,7 +520,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """The same rows and columns, their texts without repeated bytes.  Of a character
     that is cut apart nothing stays; a null text stays null."""
-    columns = [key, text, *(c for c in docs.columns if c not in (key, text))]
+    columns, order = [key, text, *(c for c in docs.columns if c not in (key, text))], docs.columns
 
     def change(batch, pieces):
         texts = [
@@ -528,6 +528,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             for v, cut in zip(batch.column(text), pieces, strict=True)
         ]
         i = batch.schema.get_field_index(text)
-        return batch.set_column(i, text, pa.array(texts, batch.schema.field(i).type)).select(docs.columns)
+        return batch.set_column(i, text, pa.array(texts, batch.schema.field(i).type)).select(order)
 
     return _apply(docs, columns, text, length, k, change, docs.schema)
