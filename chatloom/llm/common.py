@@ -31,6 +31,14 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that is not taken, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 # --- Arrow batches -------------------------------------------------------------
 
 def chunks(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -178,8 +186,8 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
 # --- connected components ------------------------------------------------------
 
 def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node that
-    is reachable.
+    """(node, component) of the edges (a, b): the smallest node that is reachable, for
+    every node but those that are the smallest themselves.
 
     Alternates two steps until nothing changes: every node sends its larger
     neighbours to the smallest one around it, then every node sends its smaller

@@ -103,7 +103,7 @@ def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 1
         leaves += 1
         return -leaves
 
-    for _ in range(trees):
+    for _ in range(trees if len(sample) else 0):
         roots.append(node(np.arange(len(sample))))
     width = sample.shape[1] if sample.ndim == 2 else 0
     return Forest(
@@ -122,7 +122,7 @@ def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
     there = nodes.count()
     picked = nodes if there <= sample else nodes.where(F.pmod("node", F.lit(1_000_000)) < int(1_000_000 * sample / there))
     raws = sorted(bytes(r.raw) for r in picked.select("raw").limit(2 * sample).collect())
-    forest = grow(unit(np.array([np.frombuffer(r) for r in raws]).reshape(len(raws), -1)), trees)
+    forest = grow(unit(np.array([np.frombuffer(r) for r in raws])), trees)
     context = df.sparkSession.sparkContext
     sent = context.broadcast(forest)
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import Spans, chunks, marks, row_key, slot_of, texts_of
+from chatloom.llm.common import Spans, chunks, fresh, marks, row_key, slot_of, texts_of
 from chatloom.session import durable
 
 LENGTH, ANCHOR = 400, 64
@@ -468,30 +468,27 @@ def _cut(raw: bytes, pieces: list[tuple[int, int]]) -> bytes:
 def _apply(docs: DataFrame, columns: list[str], text: str, length: int, k: int, change, schema) -> DataFrame:
     """Call change(batch, list of removed pieces per row) on all rows.  Rows without
     a repeat stay where they are read; the others meet their spans by row."""
-    docs = docs.withColumns({"row": row_key(columns[0], text)})
-    found = spans(docs.select("row", F.col(text).alias("text")), length, k)
-    found = durable(found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("pieces")))
-    sent = docs.sparkSession.sparkContext.broadcast(Packed(marks(found.select("row"), CHANGED)))
+    row, pieces = fresh(docs.columns, "row"), fresh(docs.columns, "pieces")
+    docs = docs.select(*columns, row_key(columns[0], text).alias(row))
+    found = spans(docs.select(F.col(row).alias("row"), F.col(text).alias("text")), length, k)
+    found = durable(found.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(pieces)))
+    sent = docs.sparkSession.sparkContext.broadcast(Packed(marks(found.select(row), CHANGED)))
 
     def split(wanted):
         def work(batches):
             for batch in batches:
-                keep = sent.value(batch.column("row").to_numpy().view(np.uint64))
+                keep = sent.value(batch.column(row).to_numpy().view(np.uint64))
                 part = batch.filter(pa.array(keep if wanted else ~keep))
-                if wanted:
-                    yield part
-                else:
-                    yield change(part, [[]] * part.num_rows)
+                yield part if wanted else change(part, [[]] * part.num_rows)
         return work
 
     def joined(batches):
         for batch in batches:
-            pieces = [_merged((p["start"], p["end"]) for p in v or ()) for v in batch.column("pieces").to_pylist()]
-            yield change(batch.drop_columns(["pieces"]), pieces)
+            cuts = [_merged((p["start"], p["end"]) for p in v or ()) for v in batch.column(pieces).to_pylist()]
+            yield change(batch.drop_columns([pieces]), cuts)
 
-    rows = docs.select("row", *columns)
-    still = rows.mapInArrow(split(False), schema)
-    moved = rows.mapInArrow(split(True), rows.schema).join(found, "row", "left").mapInArrow(joined, schema)
+    still = docs.mapInArrow(split(False), schema)
+    moved = docs.mapInArrow(split(True), docs.schema).join(found, row, "left").mapInArrow(joined, schema)
     return still.union(moved)
 
 
