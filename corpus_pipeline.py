@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import jaccard, langid, packing, secrets, suffixes
-from chatloom.llm.common import fold, row_key, table
+from chatloom.llm.common import fold, fresh, row_key, table
 from chatloom.llm.queries import tokenizer
 
 #: A text is in no learned language if its best language has less than this share of
@@ -25,9 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    linked = jaccard.link(docs)
-    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row").distinct()
-    return docs.withColumn("row", row_key("doc_id", "text")).join(gone, "row", "left_anti").select(*docs.columns)
+    linked, row = jaccard.link(docs), fresh(docs.columns, "row")
+    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_key("doc_id", "text")).join(gone, row, "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
