@@ -18,16 +18,17 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Lower-case Latin letters with a mark and their bare letter, from the
-    canonical decompositions of Latin-1 and Latin Extended-A."""
+    """Lower-case Latin letters with marks and their bare letter, from the canonical
+    decompositions of Latin-1 and the Latin extensions.  Combining marks follow,
+    without a partner: translating drops them."""
     marked, plain = [], []
-    for code in range(0xC0, 0x180):
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         ch = chr(code)
         base = unicodedata.normalize("NFD", ch)
         if ch == ch.lower() and len(base) > 1 and base[0].isascii():
             marked.append(ch)
             plain.append(base[0])
-    return "".join(marked), "".join(plain)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
 
 
 ACCENTED, PLAIN = _accent_table()
@@ -186,6 +187,12 @@ def first_word(name: Column) -> Column:
     return F.split_part(name, F.lit(" "), F.lit(1))
 
 
+def day_and_month(epoch: Column) -> Column:
+    at = F.timestamp_seconds(epoch)
+    month = F.element_at(F.array(*[F.lit(m) for m in K.SHORT_MONTHS]), F.month(at))
+    return F.concat(F.date_format(at, "dd"), F.lit(" de "), month)
+
+
 def relative_time(epoch: Column, now: Column) -> Column:
     minutes = F.floor((now - epoch) / 60)
     hours = F.floor(minutes / 60)
@@ -196,5 +203,5 @@ def relative_time(epoch: Column, now: Column) -> Column:
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("min atrás")))
         .when(hours < 24, F.concat(hours.cast("string"), F.lit("h atrás")))
         .when(days < 7, F.concat(days.cast("string"), F.lit("d atrás")))
-        .otherwise(F.date_format(F.timestamp_seconds(epoch), "dd/MM"))
+        .otherwise(day_and_month(epoch))
     )

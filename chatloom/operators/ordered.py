@@ -15,6 +15,8 @@ table is bounded by the number of partitions whatever the data size.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,15 @@ from pyspark.sql import functions as F
 from chatloom.session import durable, has_hot_group
 
 SLICE = "__slice"
+# A number per row once rows are sliced, so that rows of equal place stay apart.
+ROW = "__row"
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which a null key meets a null key, as it does in grouping and windows."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
@@ -40,14 +51,14 @@ class Ordered:
             return Ordered(df, tuple(keys), tuple(order))
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = df.repartitionByRange(parts, *keys, *order)
-        sliced = durable(ranged.withColumn(SLICE, F.spark_partition_id()))
-        return Ordered(sliced, tuple(keys), tuple(order), SLICE, True)
+        sliced = durable(ranged.withColumns({SLICE: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
+        return Ordered(sliced, tuple(keys), (*order, ROW), SLICE, True)
 
     def with_df(self, df: DataFrame) -> "Ordered":
         return replace(self, df=df)
 
     def result(self) -> DataFrame:
-        return self.df.drop(SLICE) if self.slice == SLICE else self.df
+        return self.df.drop(SLICE, ROW) if self.slice == SLICE else self.df
 
     @property
     def _window(self):
@@ -80,7 +91,7 @@ class Ordered:
             if self.bounded:
                 totals = F.broadcast(totals)
             out = (
-                out.join(totals, [*self.keys, self.slice], "left")
+                join_null_safe(out, totals, [*self.keys, self.slice], "left")
                 .withColumn(name, F.col(name) + F.coalesce("__carry", F.lit(0)))
                 .drop("__carry")
             )
@@ -101,8 +112,9 @@ class Ordered:
                 F.max_by(F.struct(*columns.values()), F.struct(*self.order)).alias("__last")
             )
             carry = self._carry(last, F.lag("__last"), "__before")
-            out = out.withColumn("__first", F.row_number().over(self._window) == 1).join(
-                carry, [*self.keys, self.slice], "left"
+            out = join_null_safe(
+                out.withColumn("__first", F.row_number().over(self._window) == 1),
+                carry, [*self.keys, self.slice], "left",
             )
             for new, old in columns.items():
                 edge = F.col("__first") & F.col("__before").isNotNull()

@@ -32,7 +32,7 @@ def sender_counts(messages: DataFrame) -> DataFrame:
 
 def merge_senders(people: DataFrame, messages: DataFrame) -> DataFrame:
     """People after an import: known names (any case) gain messages, others are
-    created.  One row per name in lower case, so the join has one row per side."""
+    created.  Of people with equal names the one with the smallest id gains."""
     counts = (
         sender_counts(messages).filter(F.lower("sender") != K.SYSTEM_SENDER)
         .groupBy(F.lower("sender").alias("__k"))
@@ -41,7 +41,9 @@ def merge_senders(people: DataFrame, messages: DataFrame) -> DataFrame:
             F.max("last_seen").alias("__seen"),
         )
     )
-    joined = people.withColumn("__k", F.lower("name")).join(counts, "__k", "full_outer")
+    first = people.groupBy(F.lower("name").alias("__k")).agg(F.min("id").alias("id"))
+    # A new name has no id here and meets nobody.
+    joined = people.join(counts.join(first, "__k", "left"), "id", "full_outer")
     new = F.col("id").isNull()
     return joined.select(
         F.coalesce("id", person_key(F.col("sender"))).alias("id"),
@@ -210,14 +212,15 @@ def context_blocks(unprocessed: DataFrame, size: int = BLOCK_MENTIONS) -> DataFr
             F.when(given("context"), F.concat(F.lit('  Contexto da menção: "'), "context", F.lit('"'))),
         )
     )
+    # A person's memories go back to the first session, whatever part they come from.
+    first = unprocessed.groupBy("person_id").agg(F.min("session_id").alias("first_session"))
     parts = rows.withColumn("part", F.floor((F.col("pos") - 1) / size).cast("long")).groupBy(
         "person_id", "part"
     ).agg(
         F.array_sort(F.collect_list(F.struct("pos", "session_id", lines.alias("lines")))).alias("__c")
     )
-    return parts.select(
-        "person_id", "part",
-        F.element_at("__c", 1)["session_id"].alias("first_session"),
+    return parts.join(first, "person_id").select(
+        "person_id", "part", "first_session",
         F.size("__c").cast("long").alias("mentions"),
         F.array_join(F.flatten(F.transform("__c", lambda x: x["lines"])), "\n").alias("context"),
     )

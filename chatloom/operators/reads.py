@@ -55,8 +55,11 @@ def people_by_activity(people: DataFrame) -> DataFrame:
     return people.orderBy(F.desc("message_count"), *last, "id")
 
 
-def all_relations(relations: DataFrame) -> DataFrame:
-    return relations.select("source_id", "target_id", "relation_type", "strength")
+def all_relations(relations: DataFrame, kind: str = "co_occurrence") -> DataFrame:
+    """Relations with their type; those counted from shared contexts have none of
+    their own and get `kind`."""
+    typed = relations if "relation_type" in relations.columns else relations.withColumn("relation_type", F.lit(kind))
+    return typed.select("source_id", "target_id", "relation_type", "strength")
 
 
 def person_items(items: DataFrame, wanted: DataFrame, value: str) -> DataFrame:

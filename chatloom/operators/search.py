@@ -17,8 +17,11 @@ from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators.ordered import Ordered
 from chatloom.operators.ranges import messages_in_sessions
-from chatloom.session import broadcast_if_small, durable, spread
+from chatloom.session import durable, spread
 
+# Scores are sums of floats, whose last bits depend on the order of addition; ranking
+# looks at the digits that do not.
+SCORE_DIGITS = 12
 MESSAGE_KEY = ["chat_id", "timestamp", "line_number"]
 
 
@@ -130,7 +133,7 @@ def phrase_hits(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFram
 
     What comes to the driver is the set of shapes: pairs of small numbers, no
     more than the lengths that occur."""
-    wanted = broadcast_if_small(wanted.select("query_id", "kw_no", "phrase", "words", "letters"))
+    wanted = wanted.select("query_id", "kw_no", "phrase", "words", "letters")
     shapes = sorted((r.words, r.letters) for r in wanted.select("words", "letters").distinct().collect())
     short = [s for s in shapes if s[0] <= SHORT_PHRASE]
     long = [s for s in shapes if s[0] > SHORT_PHRASE]
@@ -161,7 +164,7 @@ def bm25(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     return (
         scored.withColumn("__s", idf * weight)
         .groupBy("query_id", *keys)
-        .agg(F.round(F.sum("__s"), 6).alias("score"))
+        .agg(F.round(F.sum("__s"), SCORE_DIGITS).alias("score"))
     )
 
 
@@ -320,7 +323,7 @@ def search_aggregation(
     docs = tokenized(texts, text, ["name", "__type", "action"])
     # Stored, because its size is looked at before it is joined.
     matched = durable(phrase_hits(docs, text, phrases(queries)).select("query_id", *text).distinct())
-    hits = entities.select("session_id", *text).join(broadcast_if_small(matched), text)
+    hits = entities.select("session_id", *text).join(matched, text)
     dated = queries.select("query_id", "date_from", "date_to")
     rows = hits.join(
         sessions.select(F.col("id").alias("session_id"), "start_time", "end_time"), "session_id"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators.folds import fold_cuts
-from chatloom.operators.ordered import Ordered
+from chatloom.operators.ordered import Ordered, join_null_safe
 from chatloom.session import durable
 
 CHAT = ["chat_id"]
@@ -73,7 +73,7 @@ def session_rows(segments: DataFrame, summary: str = K.PLACEHOLDER_SUMMARY) -> D
 def label_messages(segments: DataFrame, sessions: DataFrame) -> DataFrame:
     """Messages with their session_id."""
     ids = sessions.select(*SEGMENT, F.col("id").alias("session_id"))
-    return segments.join(ids, SEGMENT).drop("island", "cut_no")
+    return join_null_safe(segments, ids, SEGMENT).drop("island", "cut_no")
 
 
 def trivial_summary() -> Column:
@@ -120,7 +120,7 @@ def _with_carry(rows: Ordered, overlap: int) -> Ordered:
         rows.df.select("chat_id", ahead.alias("pos"), "__len")
         .groupBy("chat_id", "pos").agg(F.sum("__len").alias("__carry_len"))
     )
-    joined = rows.df.join(carry, ["chat_id", "pos"], "left")
+    joined = join_null_safe(rows.df, carry, ["chat_id", "pos"], "left")
     return rows.with_df(joined.withColumn("__carry_len", F.coalesce("__carry_len", F.lit(0))))
 
 
@@ -157,14 +157,14 @@ def chunk_members(
         )
     cut = durable(cut)
     starts = cut.groupBy(*SEGMENT).agg(F.min("pos").alias("chunk_start"))
-    own = cut.join(starts, SEGMENT).drop("island", "cut_no")
+    own = join_null_safe(cut, starts, SEGMENT).drop("island", "cut_no")
     carried_at = starts.filter("chunk_start > 1").select(
         "chat_id", "chunk_start",
         F.explode(
             F.sequence(F.greatest(F.lit(1), F.col("chunk_start") - overlap), F.col("chunk_start") - 1)
         ).alias("pos"),
     )
-    carried = cut.drop("island", "cut_no").join(carried_at, ["chat_id", "pos"])
+    carried = join_null_safe(cut.drop("island", "cut_no"), carried_at, ["chat_id", "pos"])
     return own.unionByName(carried)
 
 

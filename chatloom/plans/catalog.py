@@ -744,7 +744,8 @@ def label_similarity(t):
 @query
 def nearest_centroid(t):
     rows = t.read("embeddings")
-    return vectors.nearest_centroid(rows, vectors.centroids(rows)).select("vec_id", "topic", "score")
+    found = vectors.nearest_centroid(rows, vectors.centroids(rows))
+    return found.select("vec_id", "topic", F.round("score", 6).alias("score"))
 
 
 def _label_queries(t: Tables) -> DataFrame:
@@ -755,7 +756,8 @@ def _label_queries(t: Tables) -> DataFrame:
 
 @query
 def knn(t):
-    return vectors.knn(_label_queries(t), t.read("embeddings"), 10).select("query_id", "vec_id", "distance", "rank")
+    near = vectors.knn(_label_queries(t), t.read("embeddings"), 10)
+    return near.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query
@@ -770,7 +772,8 @@ def hybrid_search(t):
     found = search.top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], 10).select(
         "query_id", F.col("doc_id").alias("vec_id"), (-F.col("score")).alias("rank_value")
     )
-    return vectors.hybrid(near, found, "vec_id", 10).select("query_id", "vec_id", "combined", "rank")
+    mixed = vectors.hybrid(near, found, "vec_id", 10)
+    return mixed.select("query_id", "vec_id", F.round("combined", 6).alias("combined"), "rank")
 
 
 @query
@@ -779,7 +782,8 @@ def relevant_chunks(t):
         F.col("label").alias("person_id"), F.col("vec_id").alias("chunk_id"), "embedding"
     )
     owners = vectors.centroids(rows, "person_id").select("person_id", F.col("embedding").alias("profile"))
-    return vectors.relevant_chunks(owners, rows, 5)
+    found = vectors.relevant_chunks(owners, rows, 5)
+    return found.select("person_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 # --- answering context ---------------------------------------------------------------------

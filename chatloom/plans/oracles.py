@@ -526,7 +526,7 @@ def _matching(source: str, keys: str, fields: list[str], queries: str = "queries
               AND b.pos = p.pos - 1 AND b.term = f.w[-2] AND len(f.w) = 2)
             GROUP BY query_id, kw_no, {qualified}""",
         "found": "SELECT query_id, kw_no, count(*) AS df FROM hits GROUP BY query_id, kw_no",
-        "scores": f"""SELECT query_id, {keys}, round(sum(s), 6) AS score FROM (
+        "scores": f"""SELECT query_id, {keys}, round(sum(s), 12) AS score FROM (
             SELECT h.query_id, {hit_keys}, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
               * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / words))) AS s
             FROM hits h JOIN found f USING (query_id, kw_no) JOIN sized z ON {on('z', 'h')}, totals)
@@ -811,9 +811,10 @@ oracle("unprocessed_mentions", _OPEN, "mentions", "order_sessions")
 
 def _blocks(rows: str, size: int) -> str:
     line = """coalesce('- Sessão: "' || summary || '"' || chr(10), '') || '  Contexto da menção: "' || context || '"'"""
-    return f"""SELECT person_id, (pos - 1) // {size} AS part, arg_min(session_id, pos) AS first_session, count(*) AS mentions,
+    return f"""SELECT person_id, (pos - 1) // {size} AS part, any_value(first_one) AS first_session, count(*) AS mentions,
         string_agg({line}, chr(10) ORDER BY pos) AS context FROM (
-        SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY session_id) AS pos FROM ({rows})) GROUP BY person_id, part"""
+        SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY session_id) AS pos,
+          min(session_id) OVER (PARTITION BY person_id) AS first_one FROM ({rows})) GROUP BY person_id, part"""
 
 
 oracle("context_blocks", _blocks(_OPEN, 4), "mentions", "order_sessions")
@@ -971,8 +972,8 @@ _CENTERS = {
         JOIN (SELECT label, sqrt(sum(x * x)) AS norm FROM means GROUP BY label) USING (label) GROUP BY label""",
 }
 _ASSIGNED = """SELECT vec_id, label, CASE WHEN score >= 0.35 THEN topic END AS topic, score FROM (
-    SELECT v.vec_id, v.label, c.label AS topic, round(list_cosine_similarity(v.v, c.c), 6) AS score,
-      row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(v.v, c.c), 6) DESC, c.label) AS r
+    SELECT v.vec_id, v.label, c.label AS topic, list_cosine_similarity(v.v, c.c) AS score,
+      row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(v.v, c.c), 12) DESC, c.label) AS r
     FROM vecs v, centers c) WHERE r = 1"""
 oracle(
     "l2_normalize",
@@ -987,19 +988,19 @@ oracle(
     "label_similarity",
     "SELECT vec_id, round(list_cosine_similarity(v, c), 6) AS similarity FROM vecs JOIN centers USING (label)", extra=_CENTERS,
 )
-oracle("nearest_centroid", f"SELECT vec_id, topic, score FROM ({_ASSIGNED})", extra=_CENTERS)
+oracle("nearest_centroid", f"SELECT vec_id, topic, round(score, 6) AS score FROM ({_ASSIGNED})", extra=_CENTERS)
 _NEAR = {
     **_CENTERS,
     "near_vecs": _top(
-        "(SELECT 'label-' || c.label AS query_id, vec_id, round(1 - list_cosine_similarity(v, c), 6) AS distance FROM vecs, centers c)",
-        "distance, vec_id", 10,
+        "(SELECT 'label-' || c.label AS query_id, vec_id, 1 - list_cosine_similarity(v, c) AS distance FROM vecs, centers c)",
+        "round(distance, 12), vec_id", 10,
     ),
 }
-oracle("knn", "SELECT query_id, vec_id, distance, rank FROM near_vecs", extra=_NEAR)
+oracle("knn", "SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM near_vecs", extra=_NEAR)
 oracle(
     "hybrid_search",
-    "SELECT query_id, vec_id, combined, rank FROM (" + _top(
-        """(SELECT query_id, vec_id, round(0.7 * coalesce(distance, 1.0) + 0.3 * coalesce(rank_value, 0.0), 6) AS combined
+    "SELECT query_id, vec_id, round(combined, 6) AS combined, rank FROM (" + _top(
+        """(SELECT query_id, vec_id, round(0.7 * coalesce(distance, 1.0) + 0.3 * coalesce(rank_value, 0.0), 12) AS combined
             FROM (SELECT query_id, vec_id, distance FROM near_vecs) FULL JOIN (SELECT query_id, doc_id AS vec_id, -score AS rank_value
               FROM top_docs) USING (query_id, vec_id))""",
         "combined, vec_id", 10,
@@ -1014,11 +1015,11 @@ oracle(
 )
 oracle(
     "relevant_chunks",
-    _top(
-        """(SELECT label AS person_id, vec_id AS chunk_id, round(list_cosine_similarity(v, c), 6) AS similarity
+    "SELECT person_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (" + _top(
+        """(SELECT label AS person_id, vec_id AS chunk_id, list_cosine_similarity(v, c) AS similarity
             FROM vecs JOIN centers USING (label))""",
-        "similarity DESC, chunk_id", 5, "person_id",
-    ),
+        "round(similarity, 12) DESC, chunk_id", 5, "person_id",
+    ) + ")",
     extra=_CENTERS,
 )
 _TOPIC_NAMES = "[" + ", ".join(lit(k) for k, _, _ in K.TOPICS) + "]"
@@ -1112,7 +1113,8 @@ oracle(
     "relative_time",
     """SELECT chat_id, line_number, CASE WHEN m < 1 THEN 'agora' WHEN m < 60 THEN m || 'min atrás'
        WHEN m // 60 < 24 THEN (m // 60) || 'h atrás' WHEN m // 1440 < 7 THEN (m // 1440) || 'd atrás'
-       ELSE strftime(make_timestamp(timestamp * 1000000), '%d/%m') END AS label
+       ELSE strftime(make_timestamp(timestamp * 1000000), '%d') || ' de ' || (['jan.', 'fev.', 'mar.', 'abr.', 'mai.', 'jun.',
+         'jul.', 'ago.', 'set.', 'out.', 'nov.', 'dez.'])[month(make_timestamp(timestamp * 1000000))] END AS label
        FROM (SELECT *, CAST(floor((1705604800 - timestamp) / 60.0) AS BIGINT) AS m FROM messages)""",
     "messages",
 )

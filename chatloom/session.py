@@ -71,25 +71,10 @@ def has_hot_group(df: DataFrame, keys: list[str]) -> bool:
     return (largest or 0) > limit
 
 
-BROADCAST_ROWS = 200_000
-# Spark's default size of an input split.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Mark a short table for broadcast after looking at its size; a longer one
-    is joined by shuffling.  Meant for narrow tables made from user queries."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    if limit.startswith("-"):
-        return df
-    if estimated_bytes(df) <= SMALL_INPUT_DEFAULT or df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal out an input that Spark would read in fewer tasks than there are
-    cores, ahead of work on its texts that costs far more than reading them.  An
-    input large enough to keep every core busy is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimated_bytes(df) < cores * SPLIT_BYTES else df
+    """Deal out a small input, which Spark would read in one task or a few, ahead of
+    work on its texts that costs far more than reading them.  Small means a fixed
+    size, whatever the cluster: larger inputs are never shuffled for this."""
+    if estimated_bytes(df) > SMALL_INPUT_DEFAULT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
