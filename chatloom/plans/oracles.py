@@ -1217,34 +1217,30 @@ oracle(
 
 # --- streams -----------------------------------------------------------------------------------------
 
-# A stream tells what its watermark, one hour behind the latest event, has closed.
-_MARK = "(SELECT max(timestamp) - 3600 FROM event_messages)"
+# A stream is ended after its last file, so it tells what a batch over all rows tells.
 _EVENT_GAPS = VIEWS["gap_rows"].replace("FROM messages", "FROM event_messages")
 oracle(
     "stream_gap_sessions",
     f"""SELECT chat_id, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count
-        FROM event_gaps GROUP BY chat_id, seg HAVING max(timestamp) + 7200 <= {_MARK}""",
+        FROM event_gaps GROUP BY chat_id, seg""",
     "event_messages", extra={"event_gaps": _EVENT_GAPS},
 )
 oracle(
     "stream_budget_sessions",
-    f"""SELECT chat_id, start_time, end_time, message_count FROM (
-        SELECT chat_id, seg, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count,
-          max(seg) OVER (PARTITION BY chat_id) AS last FROM cut GROUP BY chat_id, seg)
-        WHERE seg < last OR end_time + 86400 < {_MARK}""",
+    """SELECT chat_id, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS message_count
+       FROM cut GROUP BY chat_id, seg""",
     "event_messages", recursive=True, extra=_budget("event_messages", 86400, 40),
 )
 oracle(
     "stream_window_counts",
-    f"""SELECT s AS window_start, s + 3600 AS window_end, sender, count(*) AS message_count FROM (
-        SELECT sender, timestamp // 3600 * 3600 AS s FROM event_messages) WHERE s + 3600 <= {_MARK} GROUP BY s, sender""",
+    """SELECT s AS window_start, s + 3600 AS window_end, sender, count(*) AS message_count FROM (
+       SELECT sender, timestamp // 3600 * 3600 AS s FROM event_messages) GROUP BY s, sender""",
     "event_messages",
 )
 oracle(
     "stream_sliding_counts",
-    f"""SELECT s AS window_start, s + 3600 AS window_end, sender, count(*) AS message_count FROM (
-        SELECT sender, timestamp // 900 * 900 - 900 * unnest(range(0, 4)) AS s FROM event_messages)
-        WHERE s + 3600 <= {_MARK} GROUP BY ALL""",
+    """SELECT s AS window_start, s + 3600 AS window_end, sender, count(*) AS message_count FROM (
+       SELECT sender, timestamp // 900 * 900 - 900 * unnest(range(0, 4)) AS s FROM event_messages) GROUP BY ALL""",
     "event_messages",
 )
 oracle("stream_distinct_messages", "SELECT DISTINCT chat_id, timestamp, sender, content FROM event_messages", "event_messages")

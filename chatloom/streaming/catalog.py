@@ -36,31 +36,55 @@ def event_stream(t: Tables) -> DataFrame:
     )
 
 
-def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """Run an append stream over all there is; the sink is a table, not memory."""
-    run = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+# A time after all others, for the row that ends a stream.
+END = 4_102_444_800
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream, and a second source that `drained` uses to end it."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/end")
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/end"))
+
+
+def drained(stream: DataFrame, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """Run an append stream over all there is; the sink is a table, not memory.  With
+    `rows`, the table's rows as `with_end` saw them, a last batch of one row beyond all
+    times moves the watermark past every open window and session, which are then told;
+    what that row itself would open never closes."""
+    def run():
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if rows is not None:
+        last = stream.sparkSession.range(1).select(
+            *[F.lit(END if f.name == "timestamp" else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        last.write.mode("append").parquet(f"{folder}/end")
+        run()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _events(t: Tables, job) -> DataFrame:
+    folder = work_folder(t.spark)
+    events = event_stream(t)
+    return drained(job(with_end(events, folder)), folder, events)
+
+
 def stream_gap_sessions(t: Tables) -> DataFrame:
-    return drained(jobs.gap_sessions(event_stream(t)), work_folder(t.spark))
+    return _events(t, jobs.gap_sessions)
 
 
 def stream_budget_sessions(t: Tables) -> DataFrame:
-    return drained(jobs.budget_sessions(event_stream(t), gap=86400, budget=40), work_folder(t.spark))
+    return _events(t, lambda rows: jobs.budget_sessions(rows, gap=86400, budget=40))
 
 
 def stream_window_counts(t: Tables) -> DataFrame:
-    return drained(jobs.window_counts(event_stream(t)), work_folder(t.spark))
+    return _events(t, jobs.window_counts)
 
 
 def stream_sliding_counts(t: Tables) -> DataFrame:
-    return drained(jobs.window_counts(event_stream(t), "1 hour", "15 minutes"), work_folder(t.spark))
+    return _events(t, lambda rows: jobs.window_counts(rows, "1 hour", "15 minutes"))
 
 
 def stream_distinct_messages(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,39 +84,51 @@ SESSION_OUT = "chat_id string, start_time long, end_time long, message_count lon
 def budget_sessions(
     messages: DataFrame, gap: int = K.SESSION_GAP_SECONDS, budget: int = K.SESSION_TOKENS, delay: str = DELAY
 ) -> DataFrame:
-    """Sessions by pause and token budget.  State per chat is one open session;
-    it closes by the next message or when the watermark passes its pause."""
+    """Sessions by pause and token budget, as over a table, whatever files the rows
+    come in.
+
+    Rows wait in the chat's state until the watermark has passed them, so that they
+    are folded in event order; besides them the state is one open session, which is
+    told by the row that ends it or when the watermark passes its pause."""
     rows = _timed(messages, delay).select(
         "chat_id", "event_time", "timestamp", "line_number", T.token_estimate(F.col("content")).alias("tokens")
     )
+    columns = ["chat_id", "start_time", "end_time", "message_count"]
 
     def advance(key, batches, state: GroupState):
+        start, last, total, n, waiting = None, None, 0, 0, []
+        if state.exists:
+            start, last, total, n, *held = state.get
+            waiting = list(zip(*held))
+        if not state.hasTimedOut:
+            for part in batches:
+                waiting += zip(part["timestamp"].tolist(), part["line_number"].tolist(), part["tokens"].tolist())
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs()
+        final = bisect_right(waiting, mark, key=lambda row: row[0] * 1000)
         done = []
-        held = state.get if state.exists else None
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], held[0], held[1], held[3])], columns=["chat_id", "start_time", "end_time", "message_count"])
-            return
-        arrived = pd.concat(list(batches)).sort_values(["timestamp", "line_number"], kind="stable")
-        for at, tokens in zip(arrived["timestamp"].tolist(), arrived["tokens"].tolist()):
-            if held is not None and at - held[1] <= gap and held[2] + tokens <= budget:
-                held = (held[0], max(at, held[1]), held[2] + tokens, held[3] + 1)
-            else:
-                if held is not None:
-                    done.append((key[0], held[0], held[1], held[3]))
-                held = (at, at, tokens, 1)
-        state.update(held)
-        closes = (held[1] + gap) * 1000
-        if closes > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(closes)
-        else:
+        for at, _, tokens in waiting[:final]:
+            if n and at - last <= gap and total + tokens <= budget:
+                last, total, n = at, total + tokens, n + 1
+                continue
+            if n:
+                done.append((key[0], start, last, n))
+            start, last, total, n = at, at, tokens, 1
+        waiting = waiting[final:]
+        if n and (last + gap) * 1000 <= mark:
+            done.append((key[0], start, last, n))
+            start, last, total, n = None, None, 0, 0
+        if n or waiting:
+            state.update((start, last, total, n, *([r[i] for r in waiting] for i in range(3))))
+            state.setTimeoutTimestamp(min(([(last + gap) * 1000] if n else []) + [r[0] * 1000 for r in waiting[:1]]))
+        elif state.exists:
             state.remove()
-            done.append((key[0], held[0], held[1], held[3]))
-        yield pd.DataFrame(done, columns=["chat_id", "start_time", "end_time", "message_count"])
+        yield pd.DataFrame(done, columns=columns)
 
     return rows.groupBy("chat_id").applyInPandasWithState(
-        advance, SESSION_OUT, "start long, last long, tokens long, n long", "append",
-        GroupStateTimeout.EventTimeTimeout,
+        advance, SESSION_OUT,
+        "start long, last long, total long, n long, times array<long>, lines array<long>, tokens array<long>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -1,6 +1,8 @@
+import os
+
 from chatloom.operators import sessions as S
 from chatloom.streaming import jobs
-from chatloom.streaming.catalog import drained
+from chatloom.streaming.catalog import drained, with_end
 
 ROWS = [("c1", i * 60 * (1 + i % 3), "x" * (i % 30)) for i in range(200)]
 SCHEMA = "chat_id string, sender string, content string, timestamp long, type string, line_number long"
@@ -58,3 +60,25 @@ def test_knowledge_pass_marks_everything(spark):
     assert [(r.memory, r.session_id) for r in out["memories"].collect()] == [("Viajou", "s1")]
     assert all(r.processed for r in out["mentions"].collect())
     assert tuple(out["metrics"].first()) == (1, 2, 1, 1)
+
+
+def test_budget_stream_equals_batch_whatever_the_files(spark, tmp_path):
+    """Rows arrive in shuffled order inside the watermark, over several files; the tail is told."""
+    import random
+
+    r = random.Random(5)
+    base = 1_700_000_000
+    rows = [(r.choice("ab"), "A", "x" * r.randint(1, 60), base + 240 * i + r.randint(0, 90), "text", i) for i in range(60)]
+    rows += [("c", "A", "x" * 8, base + t, "text", 900 + n) for n, t in enumerate((0, 1000, 600, 1500))]
+    rows.sort(key=lambda x: x[3] + r.randint(0, 1500))
+    whole = spark.createDataFrame(rows, SCHEMA)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    os.makedirs(source)
+    arriving = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    for a in range(0, len(rows), 13):
+        spark.createDataFrame(rows[a : a + 13], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        out = drained(jobs.budget_sessions(with_end(arriving, folder), 700, 30), folder)
+    got = drained(jobs.budget_sessions(with_end(arriving, folder), 700, 30), folder, arriving)
+    want = S.session_rows(S.budget_segments(whole, 700, 30)).select("chat_id", "start_time", "end_time", "message_count")
+    assert out.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
