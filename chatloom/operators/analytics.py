@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
-from chatloom.operators.ordered import Ordered
+from chatloom.operators.ordered import Ordered, join_null_safe
+from chatloom.session import durable
 
 LINK = r"https?://[^\s<>\"']+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -39,11 +40,12 @@ def relations(memberships: DataFrame, context: str = "context_id", person: str =
     """Person pairs by number of shared contexts; strength relative to the
     strongest pair.  The result is the pair table itself, so a context of p
     people does contribute its pairs; people repeated in a context are first
-    made one, and contexts should be narrow (a chat and a time window)."""
+    made one, and contexts should be narrow (a chat and a time window).  The pairs are
+    stored, since the strongest one is asked for as well."""
     once = memberships.select(F.col(context).alias("c"), F.col(person).alias("p")).distinct()
     left = once.select("c", F.col("p").alias("source_id"))
     right = once.select("c", F.col("p").alias("target_id"))
-    pairs = (
+    pairs = durable(
         left.join(right, "c").filter(F.col("source_id") < F.col("target_id"))
         .groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -51,6 +53,15 @@ def relations(memberships: DataFrame, context: str = "context_id", person: str =
     return pairs.withColumn("strength", F.round(F.col("shared") / strongest, 6))
 
 
+def strong_edges(edges: DataFrame, least: float) -> DataFrame:
+    """Edges of at least `least` strength, and how many of them each end has."""
+    kept = edges.filter(F.col("strength") >= least)
+    ends = kept.select(F.explode(F.array("source_id", "target_id")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("d"))
+    degree = lambda end: ends.select(F.col("p").alias(f"{end}_id"), F.col("d").alias(f"{end}_degree"))
+    return kept.join(degree("source"), "source_id").join(degree("target"), "target_id").select(
+        "source_id", "target_id", "strength", "source_degree", "target_degree")
+
+
 def window_memberships(messages: DataFrame, seconds: int = 3600) -> DataFrame:
     """(chat, time window) contexts and the people who speak in them."""
     slot = F.floor(F.col("timestamp") / seconds)
@@ -172,12 +183,17 @@ def profile_rows(blocks: DataFrame) -> DataFrame:
     )
 
 
-def usage_metrics(metrics: DataFrame, group: str, value: str, accuracy: int = 100_000) -> DataFrame:
-    """Count, mean and percentiles of a measured value.  The percentile sketch has
-    a fixed size and merges, so a group of any size stays small in memory; up to
-    `accuracy` values it is exact."""
-    at = lambda p: F.percentile_approx(value, F.lit(p), F.lit(accuracy))
-    return metrics.groupBy(group).agg(
+def usage_metrics(metrics: DataFrame, group: str, value: str) -> DataFrame:
+    """Count, mean and exact percentiles of a measured value: the smallest value that
+    has the wanted share of its group's values at or below it.  Equal values are
+    counted first, and the running count over a large group is split like any order."""
+    sizes = metrics.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"),
-        at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("largest"),
+        F.max(value).alias("largest"), F.count(value).alias("__values"),
     )
+    counts = metrics.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
+    upto = Ordered.over(counts, [group], [value]).running_sum(F.col("__c"), "__upto").result()
+    ranked = join_null_safe(upto, sizes.select(group, "__values"), [group])
+    at = lambda p: F.min(F.when(F.col("__upto") >= F.col("__values") * p, F.col(value)))
+    places = ranked.groupBy(group).agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return join_null_safe(sizes, places, [group], "left").select(group, "n", "mean", "p50", "p95", "largest")

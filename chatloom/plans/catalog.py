@@ -362,6 +362,25 @@ def person_tags(t):
     return reads.person_items(t.tags, wanted, "tag")
 
 
+@query
+def person_memories(t):
+    """The wanted people's memories, oldest first, as rows."""
+    wanted = t.people.filter("message_count > 10").select("id")
+    return reads.person_items(people.memory_rows(t.memories), wanted, "memory")
+
+
+@query
+def chat_sessions(t):
+    """The sessions of one chat, the one with the smallest number."""
+    first = t.order_sessions.agg(F.min(F.col("chat_id").cast("long"))).first()[0]
+    return reads.chat_sessions(t.order_sessions, str(first)).select("id", "chat_id", "start_time", "end_time", "summary")
+
+
+@query
+def entities_by_chat(t):
+    return reads.entities_by_chat(t.entities, t.order_sessions).select("id", "session_id", "chat_id", "normalized_name", "type")
+
+
 @query
 def session_range_join(t):
     rows = sessions.session_rows(sessions.budget_segments(t.messages, budget=BUDGET))
@@ -871,6 +890,18 @@ def relations(t):
     return analytics.relations(t.memberships)
 
 
+@query
+def all_relations(t):
+    return reads.all_relations(analytics.relations(t.memberships))
+
+
+@query
+def strong_relations(t):
+    """The graph without its weak half: edges of at least a strength, with the people's degrees."""
+    edges = analytics.relations(t.memberships)
+    return analytics.strong_edges(edges, 0.5)
+
+
 @query
 def graph_edges(t):
     return dashboard.graph_edges(analytics.relations(t.memberships))

@@ -459,6 +459,24 @@ oracle(
     "SELECT person_id, tag, created_at FROM tags WHERE person_id IN (SELECT id FROM people WHERE message_count > 10)",
     "tags", "people",
 )
+oracle(
+    "person_memories",
+    """SELECT CAST(o_custkey AS VARCHAR) AS person_id, 'pedido ' || o_orderkey AS memory, CAST(epoch(o_orderdate) AS BIGINT) AS created_at
+       FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (SELECT id FROM people WHERE message_count > 10)""",
+    "people",
+)
+oracle(
+    "chat_sessions",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS chat_id, CAST(epoch(o_orderdate) AS BIGINT) AS start_time,
+         CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS end_time, o_orderpriority AS summary
+       FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)""",
+)
+oracle(
+    "entities_by_chat",
+    """SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS session_id,
+         CAST(o_custkey AS VARCHAR) AS chat_id, lower(trim(p_name)) AS normalized_name, lower(p_type) AS type
+       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey""",
+)
 oracle(
     "session_range_join",
     f"""SELECT s.id AS session_id, m.chat_id, m.timestamp, m.line_number FROM ({_SESSION.format(rows='cut')}) s
@@ -1161,6 +1179,17 @@ def _relations(members: str) -> dict[str, str]:
 
 _SUPPLIERS = _relations("SELECT l_orderkey AS c, l_suppkey AS p FROM lineitem")
 oracle("relations", "SELECT * FROM edges", extra=_SUPPLIERS)
+oracle("all_relations", "SELECT source_id, target_id, 'co_occurrence' AS relation_type, strength FROM edges", extra=_SUPPLIERS)
+oracle(
+    "strong_relations",
+    """SELECT source_id, target_id, strength, a.d AS source_degree, b.d AS target_degree FROM strong
+       JOIN degrees a ON a.p = source_id JOIN degrees b ON b.p = target_id""",
+    extra={
+        **_SUPPLIERS,
+        "strong": "SELECT * FROM edges WHERE strength >= 0.5",
+        "degrees": "SELECT p, count(*) AS d FROM (SELECT unnest([source_id, target_id]) AS p FROM strong) GROUP BY p",
+    },
+)
 oracle("graph_edges", "SELECT source_id AS a, target_id AS b, strength FROM edges", extra=_SUPPLIERS)
 oracle(
     "window_relations", "SELECT * FROM edges", "event_messages",
