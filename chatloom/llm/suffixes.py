@@ -19,8 +19,10 @@ them; together with the l bytes they share before the anchor, the strings that s
 between `length - r` and l bytes before the anchor are repeated.  Small blocks of one
 k-gram compare their members' left sides directly; larger ones group, for every l,
 by (equal right side, hash of the left side).  Blocks above `HOT` suffixes are dealt
-out by the hash of the surroundings; their strings meet by hash in one more
-aggregation, so no block has to be in one task.
+out by the hash of the surroundings, so no block has to be in one task.  What a part
+cannot settle by itself, strings it holds once, goes on in bands of `BAND` neighbouring
+strings under the hash of the bytes that the whole band shares; bands that meet no
+other are dropped, and only the strings of the rest meet by their own hash.
 
 Nulls and edges: a null text is empty.  Strings do not cross texts.  Texts shorter
 than `length` lose nothing.  Rows of equal id and text are separate documents and so
@@ -39,18 +41,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import Spans, chunks, fresh, marks, row_key, slot_of, texts_of
+from chatloom.llm.common import Spans, chunks, fresh, marks, mix, row_key, slot_of, texts_of
 from chatloom.session import durable
 
 LENGTH, ANCHOR = 400, 64
 #: Slots of the filters of repeated k-grams, of hot ones, and of changed texts.
-SHARED, HOT_SLOTS, CHANGED = 1 << 26, 1 << 20, 1 << 24
+SHARED, HOT_SLOTS, CHANGED = 1 << 24, 1 << 20, 1 << 24
 #: Blocks above this many suffixes are dealt out; suffixes per range; those that set splitters.
-HOT, RANGE, SAMPLE = 8192, 40_000, 20_000
+HOT, RANGE, SAMPLE = 50_000, 40_000, 20_000
+#: Neighbouring strings that go on together.
+BAND = 8
 #: Bytes of keys that a run may hold before it is sorted and sent.
 RUN_BYTES = 24 << 20
 #: Blocks up to this many different surroundings are compared pair by pair.
-SMALL = 16
+SMALL = 12
 PAD = 0xFF  # in no UTF-8 text
 
 
@@ -236,58 +240,87 @@ class Block:
     def repeats(self) -> tuple[np.ndarray, np.ndarray]:
         """Per surroundings the smallest and the largest start before the anchor of a
         repeated string; the first is above the second if there is none."""
-        m, length = len(self.keys), self.length
-        low, high = np.full(m, length + 1), np.full(m, -1)
-        several = np.array([len(o) > 1 for o in self.owners])
-        size = np.array(self.sizes)
-        left, n = self.lefts()
-        low[several], high[several] = (length - size)[several], n[several]
-        right = self.right()
-        if m <= SMALL:
-            for step in range(1, m):
-                r = np.array([right[i + 1 : i + step + 1].min() for i in range(m - step)])
-                same = left[:-step] == left[step:]
-                l = np.where(same.all(axis=1), length, same.argmin(axis=1))  # noqa: E741
-                l = np.minimum(l, np.minimum(n[:-step], n[step:]))  # noqa: E741
-                good = length - r <= l
-                for at in (slice(None, m - step), slice(step, None)):
-                    low[at] = np.where(good, np.minimum(low[at], length - r), low[at])
-                    high[at] = np.where(good, np.maximum(high[at], l), high[at])
-        else:
-            table, valid = self._classes(right, left, n, size)
-            for l in range(table.shape[1]):  # noqa: E741
-                where = np.flatnonzero(valid[:, l])
-                if len(where) < 2:
+        if len(self.keys) <= SMALL:
+            return self._few()
+        _, settled = self.settled()
+        some = settled.any(axis=1)
+        low = np.where(some, settled.argmax(axis=1), self.length + 1)
+        return low, np.where(some, settled.shape[1] - 1 - settled[:, ::-1].argmax(axis=1), -1)
+
+    def _few(self) -> tuple[np.ndarray, np.ndarray]:
+        m, length, sizes = len(self.keys), self.length, self.sizes
+        left = [key[length:] for key in self.keys]
+        low, high = [length + 1] * m, [-1] * m
+        for i in range(m):
+            if len(self.owners[i]) > 1 and len(left[i]) >= length - sizes[i]:
+                low[i], high[i] = min(low[i], length - sizes[i]), max(high[i], len(left[i]))
+            r = length
+            for j in range(i + 1, m):
+                r = min(r, self.shared[j], sizes[j], sizes[j - 1])
+                if length - r > min(len(left[i]), len(left[j])):
                     continue
-                _, which, times = np.unique(table[where, l], return_inverse=True, return_counts=True)
-                hit = where[times[which] > 1]
-                low[hit], high[hit] = np.minimum(low[hit], l), np.maximum(high[hit], l)
-        high = np.where(high >= low, high, -1)
-        return low, high
-
-    def _classes(self, right, left, n, size):
-        """For every l, a number for (equal right sides of length - l bytes, equal l bytes before)."""
+                l = common(left[i], left[j])  # noqa: E741
+                if length - r <= l:
+                    for x in (i, j):
+                        low[x], high[x] = min(low[x], length - r), max(high[x], l)
+        return np.array(low), np.array(high)
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per surroundings and l: whether there is such a string, and whether this
+        block holds it twice.  Two members hold the same string if nothing between
+        them in order parts their right sides and the bytes before the anchor agree."""
         m, length = len(self.keys), self.length
-        most = int(n.max()) + 1
-        hashes = np.zeros((m, most), np.uint64)
-        spread = (left[:, : most - 1].astype(np.uint64) + np.uint64(1)) * _POWERS[: most - 1]
-        np.cumsum(spread, axis=1, out=hashes[:, 1:])
-        depth = length - np.arange(most)
-        groups = np.cumsum(right[:, None] < depth, axis=0).astype(np.uint64)
-        table = hashes * np.uint64(0x9E3779B97F4A7C15) + groups * np.uint64(0xC2B2AE3D27D4EB4F)
-        l = np.arange(most)  # noqa: E741
-        valid = (l <= n[:, None]) & (depth <= size[:, None])
-        return table, valid
-
-    def strings(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(member, l, hash) of all strings around the anchor."""
+        left, n = self.lefts()
+        size, right = np.array(self.sizes), self.right()
+        l = np.arange(int(n.max()) + 1)  # noqa: E741
+        valid = (l <= n[:, None]) & (length - l <= size[:, None])
+        found = valid & np.array([len(o) > 1 for o in self.owners])[:, None]
+        before = np.zeros(m, np.uint64)
+        first = length - int(right.max())
+        for l in range(int(np.sort(n)[-2]) + 1 if m > 1 else 0):  # noqa: E741
+            if l:
+                before += (left[:, l - 1].astype(np.uint64) + np.uint64(1)) * _POWERS[l - 1]
+            where = np.flatnonzero(valid[:, l]) if l >= first else ()
+            if len(where) > 1:
+                group = np.cumsum(right < length - l).astype(np.uint64)
+                both = (before * np.uint64(0x9E3779B97F4A7C15) + group * np.uint64(0xC2B2AE3D27D4EB4F))[where]
+                _, which, times = np.unique(both, return_inverse=True, return_counts=True)
+                found[where[times[which] > 1], l] = True
+        return valid, found
+
+    def bands(self) -> Iterator[tuple[int, int | None, int, list[int]]]:
+        """(hash of what the band shares, member, first l, strings' hashes) of the bands
+        of strings that this block holds once; bands it holds twice have no member.
+        A string that is not of the kind is 0."""
+        valid, found = self.settled()
+        length, most = self.length, valid.shape[1]
+        told = set()
         for i, key in enumerate(self.keys):
-            left = key[self.length :][::-1]
-            text = np.frombuffer(left + key[: self.sizes[i]], np.uint8)
-            start = np.arange(0, len(text) - self.length + 1)
-            start = start[start <= len(left)]
-            if len(start):
-                yield i, len(left) - start, Spans(text).hash(start, start + self.length)
+            left = key[length:][::-1]
+            spans = Spans(np.frombuffer(left + key[: self.sizes[i]], np.uint8))
+            l = np.flatnonzero(valid[i])  # noqa: E741
+            hashes = np.zeros(most + BAND, np.uint64)
+            # A string may hold several anchors; for each of them it counts apart.
+            hashes[l] = mix(spans.hash(len(left) - l, len(left) - l + length) + l.astype(np.uint64))
+            once = np.zeros(most + BAND, bool)
+            once[:most] = valid[i] & ~found[i]
+            twice = np.zeros(most + BAND, bool)
+            twice[:most] = found[i]
+            for first in range(0, most, BAND):
+                band = slice(first, first + BAND)
+                here = once[band] | twice[band]
+                if not here.any():
+                    continue
+                # Every string of the band holds these bytes.
+                start = len(left) - first
+                core = int(spans.hash(np.array([start]), np.array([start + length - BAND + 1])).view(np.int64)[0])
+                if once[band].any():
+                    yield core, i, first, np.where(once[band], hashes[band], 0).astype(np.uint64).view(np.int64).tolist()
+                if twice[band].any():
+                    held = np.where(twice[band], hashes[band], 0).astype(np.uint64)
+                    if (first, held.tobytes()) not in told:
+                        told.add((first, held.tobytes()))
+                        yield core, None, first, held.view(np.int64).tolist()
 
 
 _POWERS = np.random.default_rng(77).integers(1, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -311,7 +344,7 @@ def _count(docs: DataFrame, length: int, k: int) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("times").alias("times"), F.max("start").alias("start"))
 
 
-def _runs(docs: DataFrame, shared: Packed, hot: Packed, splitters: list[bytes], length: int, k: int) -> DataFrame:
+def _runs(docs: DataFrame, shared: Packed, hot: Packed, splitters: list[bytes], dealt: int, length: int, k: int) -> DataFrame:
     """(part, run): front-coded runs, cut at the splitters; hot blocks are dealt out by
     the hash of their surroundings to parts of their own."""
     import bisect
@@ -351,7 +384,7 @@ def _runs(docs: DataFrame, shared: Packed, hot: Packed, splitters: list[bytes],
             for p, b, e, t, is_hot in zip(place.tolist(), begin.tolist(), end.tolist(), text.tolist(), crowded.tolist(), strict=True):
                 right = raw[p : min(p + length, e)]
                 key = right.ljust(length, b"\xff") + raw[max(b, p - reach) : p][::-1]
-                part = parts + zlib.crc32(key) % parts if is_hot else bisect.bisect_right(cuts, right[:k])
+                part = parts + zlib.crc32(key) % dealt if is_hot else bisect.bisect_right(cuts, right[:k])
                 held.append((part, key, len(right), rows[t], p - b))
                 room += len(key)
                 if room > RUN_BYTES:
@@ -365,47 +398,51 @@ def _runs(docs: DataFrame, shared: Packed, hot: Packed, splitters: list[bytes],
 
 def _found(runs: DataFrame, parts: int, length: int, k: int) -> DataFrame:
     """Merge the runs of each part.  Rows (row, start, end) are covered bytes; rows with
-    `string` are strings of dealt-out blocks, still to be counted."""
+    a `core` are bands of dealt-out blocks, whose strings are still to be counted."""
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
 
     def rows(out):
         columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "start", "end", "string", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["row", "start", "end", "core", "strings"])
 
     def told(block: Block, dealt: bool):
+        """Batches of what one block tells."""
         if len(block.keys) == 1 and len(block.owners[0]) == 1 and not dealt:
-            return []
+            return
         low, high = block.repeats()
-        out = []
         for lo, hi, owners in zip(low.tolist(), high.tolist(), block.owners, strict=True):
             if hi >= 0:
-                out += [(row, place - hi, place - lo + length, None, None) for row, place in owners]
-        if dealt:
-            for i, l, hashes in block.strings():  # noqa: E741
-                hashes = hashes.view(np.int64).tolist()
-                owners = block.owners[i]
-                if len(owners) > 1:
-                    out += [(None, None, None, h, len(owners)) for h in hashes]
-                else:
-                    row, place = owners[0]
-                    out += [(row, place - x, place - x + length, h, 1) for x, h in zip(l.tolist(), hashes, strict=True)]
-        return out
+                for row, place in owners:
+                    yield row, place - hi, place - lo + length, None, None
+        for core, i, first, strings in block.bands() if dealt else ():
+            if i is None:
+                yield None, None, None, core, strings
+            else:
+                row, place = block.owners[i][0]
+                yield row, place - first, place - first + length, core, strings
 
-    def merge(part: int, held: list[bytes]):
-        out, block = [], None
+    def blocks(part: int, held: list[bytes]):
+        block = None
         for shared, key, size, row, place in LoserTree([read_run(r) for r in held]):
             if block is None or shared < k or len(block.keys) >= HOT:
-                if block is not None:
-                    out += told(block, part >= parts or len(block.keys) >= HOT)
-                    if len(out) > 50_000:
-                        yield rows(out)
-                        out = []
                 # A block that is cut here is told as dealt out, both parts of it.
                 cut = block is not None and shared >= k
+                if block is not None:
+                    yield block, part >= parts or block.cut or cut
                 block = Block(length)
                 block.cut = cut
             block.add(shared, key, size, row, place)
         if block is not None:
-            out += told(block, part >= parts or block.cut)
+            yield block, part >= parts or block.cut
+
+    def merge(part: int, held: list[bytes]):
+        out = []
+        for block, dealt in blocks(part, held):
+            for x in told(block, dealt):
+                out.append(x)
+                if len(out) >= 20_000:
+                    yield rows(out)
+                    out = []
         yield rows(out)
 
     def work(batches):
@@ -421,7 +458,7 @@ def _found(runs: DataFrame, parts: int, length: int, k: int) -> DataFrame:
             yield from merge(now, held)
 
     dealt = runs.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(work, "row long, start long, end long, string long, times long")
+    return dealt.mapInArrow(work, "row long, start long, end long, core long, strings array<long>")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -439,11 +476,18 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
             splitters.append(start)
             run = 0
     shared = Packed(marks(grams.select("gram"), SHARED))
-    hot = Packed(marks(grams.where(F.col("times") > HOT).select("gram"), HOT_SLOTS))
-    found = durable(_found(_runs(docs, shared, hot, splitters, length, k), len(splitters) + 1, length, k))
-    sure = found.where("string is null").select("row", "start", "end")
-    often = found.where("string is not null").groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
-    late = found.where("string is not null and row is not null").join(often, "string", "left_semi").select("row", "start", "end")
+    crowded = grams.where(F.col("times") > HOT)
+    hot = Packed(marks(crowded.select("gram"), HOT_SLOTS))
+    dealt = -(-(crowded.agg(F.sum("times")).first()[0] or 1) // HOT)
+    found = durable(_found(_runs(docs, shared, hot, splitters, dealt, length, k), len(splitters) + 1, length, k))
+    sure = found.where("core is null").select("row", "start", "end")
+    # A band in which the part holds the strings twice counts twice.
+    bands = found.where("core is not null").select("row", "start", "core", "strings", F.when(F.col("row").isNull(), 2).otherwise(1).alias("times"))
+    met = bands.groupBy("core").agg(F.sum("times").alias("n"), F.count("row").alias("open")).where("n > 1 and open > 0").select("core")
+    strings = bands.join(met, "core", "left_semi").select("row", "start", "times", F.posexplode("strings").alias("up", "string"))
+    strings = strings.where("string <> 0").withColumn("start", F.col("start") - F.col("up"))
+    often = strings.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
+    late = strings.where("row is not null").join(often, "string", "left_semi").selectExpr("row", "start", f"start + {length} as end")
     return sure.union(late)
 
 
