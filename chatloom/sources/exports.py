@@ -25,16 +25,21 @@ def read_lines(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FIL
     A file of ordinary size is numbered as one group.  A larger one (`split`) is
     read by many tasks and stays apart: its lines are numbered inside their block,
     and blocks are put one after another by their line counts.  No task ever
-    holds such a file whole, and each file is read by one of the two branches."""
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("value").alias("line"),
-        F.monotonically_increasing_id().alias("__at"),
-    )
-    usual = Ordered(raw.filter(F.col("size") <= whole_file_bytes), ("file",), ("block", "__at"))
-    huge = Ordered(raw.filter(F.col("size") > whole_file_bytes), ("file",), ("__at",), slice="block")
+    holds such a file whole.  The files' sizes are known from their listing, and each
+    branch reads its own files: the filter stands below the line numbers, where the
+    scan can take it."""
+    size = F.col("_metadata.file_size")
+
+    def raw(chosen: Column) -> DataFrame:
+        return spark.read.text(path).filter(chosen).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.col("value").alias("line"),
+            F.monotonically_increasing_id().alias("__at"),
+        )
+
+    usual = Ordered(raw(size <= whole_file_bytes), ("file",), ("block", "__at"))
+    huge = Ordered(raw(size > whole_file_bytes), ("file",), ("__at",), slice="block")
     parts = [
         rows.row_number("line_number").df.select(
             "file", "block", F.lit(split).alias("split"), "line_number", strip_mark().alias("line")
