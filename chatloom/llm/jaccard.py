@@ -5,14 +5,16 @@ global order, rare n-grams first (counts over all texts in a table of fixed size
 any order is right, a rare-first one makes short lists).  Two sets of similarity t
 share an n-gram among the first n - ceil(t n) + 1 of each, so only these prefixes
 are shuffled, by n-gram.  The length filter and the positional filter drop pairs in
-the join, the suffix filter before the sets are compared; every pair is verified
-once, on the whole sets.
+the join, and two suffix filters before the sets are compared: the parity bits of a
+set's hashes, of which two sets cannot differ in more places than they have unlike
+members, and a recursive split at common values.  Every pair left is verified once, on
+the whole sets.
 
 Equal sets are one node from the start.  A list of m texts with one n-gram may hold
 a group of near copies, so its pairs are not written out.  First only neighbours in
-each list (by size, then set) are verified: links that make large groups one
-component at a cost in proportion to the lists.  Then all remaining pairs between
-*different* components are made and verified.  Pairs within a component change
+the lists of each set's rarest n-grams (by size, then set) are verified: links that
+make large groups one component at a cost in proportion to the lists.  Then all
+remaining pairs between *different* components are made and verified.  Pairs within a component change
 nothing and are never made; no link between components is lost.
 
 Nulls and edges: words are runs without blanks, A-Z folded.  A null text or one
@@ -28,11 +30,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import (
-    SLICES, Spans, chunks, components, marks, merged, row_key, slices, slot_of, texts_of,
+    SLICES, Spans, chunks, components, marks, merged, mix, row_key, slices, slot_of, texts_of,
 )
 from chatloom.session import durable
 
@@ -40,6 +42,11 @@ from chatloom.session import durable
 COUNTS, MARKS = 1 << 20, 1 << 24
 #: Sets a task remembers so as not to emit their prefixes again.
 REMEMBERED = 500_000
+#: Places from the front of a prefix whose list neighbours are verified first.
+FIRST = 3
+#: Longs of parity bits per set; bits of an n-gram that name its list (a list of two
+#: n-grams is only longer).
+PARITY, GRAM_BITS = 16, 40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,6 +83,12 @@ def gram_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def parity(grams: np.ndarray) -> list[int]:
+    """For each of the hash's values mod 64 * PARITY, whether an odd number of members has it."""
+    odd = np.bincount((mix(grams) >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def name_of(grams: np.ndarray) -> int:
     """One number per set."""
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -96,26 +109,28 @@ def _survey(docs: DataFrame, key: str, n: int) -> DataFrame:
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([name_of(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                [key, "row", "n", "ref", "place", "counts"])
+                 pa.array([name_of(s) for s in sets], pa.int64()), pa.array(map(parity, sets), pa.list_(pa.int64())),
+                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [key, "row", "n", "ref", "odd", "place", "counts"])
         if fields is not None:
             made = slices(counts)
             m = made.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, fields), *(pa.nulls(m, pa.int64()) for _ in range(3)), made.column(0), made.column(1)],
-                [key, "row", "n", "ref", "place", "counts"])
+                [pa.nulls(m, fields), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.list_(pa.int64())),
+                 made.column(0), made.column(1)],
+                [key, "row", "n", "ref", "odd", "place", "counts"])
 
-    return docs.mapInArrow(work, f"`{key}` {kind}, row long, n long, ref long, place int, counts binary")
+    return docs.mapInArrow(work, f"`{key}` {kind}, row long, n long, ref long, odd array<long>, place int, counts binary")
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(gram, ref, size, pos) of every set's prefix."""
+    """(gram, ref, at) of every set's prefix; `at` is the set's size, then the place."""
     sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
 
     def work(batches):
         often, seen = sent.value, set()
         for batch in chunks(batches, "text"):
-            grams, refs, sizes, places = [], [], [], []
+            grams, refs, places = [], [], []
             for s in gram_sets(*texts_of(batch.column("text")), n):
                 size, ref = len(s), name_of(s)
                 if not size or ref in seen:
@@ -126,28 +141,64 @@ def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
                 prefix = size - -(-percent * size // 100) + 1
                 frequency = often[slot_of(s, COUNTS)]
                 front = np.lexsort((s, frequency))[:prefix]
-                grams.append(s[front])
+                grams.append(s[front] >> np.uint64(64 - GRAM_BITS))
                 refs += [ref] * prefix
-                sizes += [size] * prefix
-                places.append(np.arange(prefix))
+                places.append(np.arange(prefix) + (size << 32))
             if grams:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(grams).view(np.int64)), pa.array(refs, pa.int64()),
-                     pa.array(sizes, pa.int32()), pa.array(np.concatenate(places), pa.int32())],
-                    ["gram", "ref", "size", "pos"])
+                     pa.array(np.concatenate(places))], ["gram", "ref", "at"])
 
-    return docs.select("text").mapInArrow(work, "gram long, ref long, size int, pos int")
+    return docs.select("text").mapInArrow(work, "gram long, ref long, at long")
 
 
 def _near(percent: int) -> str:
     """Length filter and positional filter: pairs whose sizes and places still allow
-    an overlap of percent / (100 + percent) of both sizes together."""
+    an overlap of percent / (100 + percent) of both sizes together.  At the first n-gram
+    that two sets share, all before it in either are unlike members, which bounds the
+    sum of both places; a pair is made there, and at few n-grams besides."""
     return (
+        f"{100 + percent} * (a_pos + b_pos) <= {100 - percent} * (a_size + b_size) and "
         f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and "
         f"{100 + percent} * least(a_size - a_pos, b_size - b_pos) >= {percent} * (a_size + b_size)"
     )
 
 
+def _alike(percent: int) -> str:
+    """Suffix filter on parity bits: sets that differ in more bits than unlike members allow are apart."""
+    bits = " + ".join(f"bit_count(a_odd[{i}] ^ b_odd[{i}])" for i in range(PARITY))
+    return f"{100 + percent} * ({bits}) <= {100 - percent} * sizes"
+
+
+def _level(size: Column | str) -> Column:
+    """Sizes by their logarithm: five levels double a size."""
+    return F.floor(F.log2(size) * 5).cast("int")
+
+
+def _across(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs of (component, level) in one list that can hold a pair near enough.
+
+    Of all sets of one component, level and list it is enough to know the sizes' range
+    and the most overlap one of them has left; that bounds the sizes, so the levels, of
+    its partners.  Joining by list and level keeps sets that cannot meet apart before
+    any pair is made: of many unlike texts around one passage hardly any pair remains."""
+    parts = named.groupBy("gram", "component", "level").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos"), F.max(F.col("size") - F.col("pos")).alias("left"))
+    least = f"low * {percent / 100 - 1e-9}"
+    most = f"least(high * {100 / percent + 1e-9}, left * {(100 + percent) / percent + 1e-9} - low)"
+    parts = parts.selectExpr("*", f"{least} as least", f"{most} as most").where("most >= least and most >= 1").select(
+        "gram", "component", "level", "low", "high", "pos", "left", _level(F.greatest("least", F.lit(1.0))).alias("from"), _level("most").alias("to"))
+    side = lambda x, *more: parts.select(
+        "gram", F.col("component").alias(f"{x}_part"), *(F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "pos", "left")), *more)
+    a = side("a", F.col("level").alias("a_level"), F.explode(F.sequence("from", "to")).alias("b_level"))
+    b = side("b", F.col("level").alias("b_level"), "from", "to")
+    pairs = a.join(b, ["gram", "b_level"]).where(
+        f"a_part < b_part and a_level between `from` and `to` and "
+        f"{100 + percent} * (a_pos + b_pos) <= {100 - percent} * (a_high + b_high) and "
+        f"{100 + percent} * least(a_left, b_left) >= {percent} * (a_low + b_low)")
+    return pairs.select("gram", "a_part", "a_level", "b_part", "b_level")
+
+
 def _apart(x: np.ndarray, y: np.ndarray, most: int, low: int = 0, high: int = 1 << 64, depth: int = 0) -> int:
     """Suffix filter: a lower bound of the number of members that only one set has.
     Both are split at the same value; sizes of the parts must match up."""
@@ -164,13 +215,13 @@ def _apart(x: np.ndarray, y: np.ndarray, most: int, low: int = 0, high: int = 1
     return left + _apart(x[i:], y[j:], most - left, middle, high, depth + 1)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets_: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of set names that are similar enough.
 
     Only the sets that occur in pairs are made again from their texts; a filter of
     fixed size picks the texts, and one text stands for all with its set."""
     nodes = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).distinct()
-    chosen = rows.groupBy("ref").agg(F.min("row").alias("row")).join(nodes, "ref")
+    chosen = sets_.select("ref", "row").join(nodes, "ref")
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks(chosen.select("row"), MARKS)))
 
     def sets(batches):
@@ -214,43 +265,45 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     rows = survey.where("n is not null").select(key, "row", "n", "ref")
     counts = merged(survey.where("place is not null").select(*[c.split()[0] for c in SLICES.split(", ")]), COUNTS, np.int32)
     full = rows.where("n > 0")
+    sets = durable(survey.where("n > 0").groupBy("ref").agg(
+        F.min("row").alias("row"), F.min(key).alias("first"), F.max("odd").alias("odd")))
 
     posted = _postings(docs, counts, n, percent)
-    beside = posted.selectExpr(
-        "gram", "ref", "size", "pos",
-        "lead(struct(ref, size, pos)) over (partition by gram order by size, ref) as next",
-        "lag(ref) over (partition by gram order by size, ref) as before",
-    )
+    alone = "max(ref) over (partition by gram) = min(ref) over (partition by gram) as alone"
     # Lists of one set go; what stays is read several times.
-    lists = durable(beside.where("next.ref <> ref or before <> ref"))
+    lists = durable(posted.selectExpr("gram", "ref", "at", alone).where("not alone").select("gram", "ref", "at"))
+    lists = lists.selectExpr("gram", "ref", "cast(at >> 32 as int) as size", "cast(at & 4294967295 as int) as pos")
 
     pair = ["a", "b"]
-    beside = lists.where("next.ref <> ref").selectExpr(
-        "least(ref, next.ref) as a", "greatest(ref, next.ref) as b", "size as a_size", "pos as a_pos",
-        "next.size as b_size", "next.pos as b_pos")
-    near = durable(beside.where(_near(percent)).select(*pair).distinct())
-    links = durable(_verified(near, docs, full, n, percent))
+    odd = lambda x: sets.select(F.col("ref").alias(x), F.col("odd").alias(f"{x}_odd"))
+    beside = lists.selectExpr("*", "lead(struct(ref, size, pos)) over (partition by gram order by size, ref) as next")
+    beside = beside.where(f"next.ref <> ref and least(pos, next.pos) < {FIRST}").selectExpr(
+        "ref as a", "next.ref as b", "size as a_size", "pos as a_pos", "next.size as b_size", "next.pos as b_pos")
+    near = beside.where(_near(percent)).select(
+        F.least(*pair).alias("a"), F.greatest(*pair).alias("b"), (F.col("a_size") + F.col("b_size")).alias("sizes")).distinct()
+    near = durable(near.join(odd("a"), "a").join(odd("b"), "b").where(_alike(percent)).select(*pair))
+    links = durable(_verified(near, docs, sets, n, percent))
     groups = durable(components(links))
 
     named = lists.select("gram", "ref", "size", "pos").join(groups.withColumnRenamed("node", "ref"), "ref", "left").select(
-        "gram", F.coalesce("component", "ref").alias("component"), "ref", "size", "pos").distinct()
+        "gram", F.coalesce("component", "ref").alias("component"), "ref", "size", "pos", _level("size").alias("level")).distinct()
+    # Of each list what remains are sets of several components.
     several = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     named = durable(named.join(several.select("gram"), "gram", "left_semi"))
-    parts = named.select("gram", "component").distinct()
-    across = parts.selectExpr("gram", "component as a_part").join(
-        parts.selectExpr("gram", "component as b_part"), "gram").where("a_part < b_part")
+    across = _across(named, percent)
     side = lambda x: named.select("gram", *(F.col(c).alias(f"{x}_{d}") for c, d in
-                                            (("component", "part"), ("ref", "ref"), ("size", "size"), ("pos", "pos"))))
-    wide = across.join(side("a"), ["gram", "a_part"]).join(side("b"), ["gram", "b_part"]).where(_near(percent))
-    rest = durable(
-        wide.select(F.least("a_ref", "b_ref").alias("a"), F.greatest("a_ref", "b_ref").alias("b")).distinct()
-        .join(near, pair, "left_anti"))
+                                            (("component", "part"), ("level", "level"), ("ref", "ref"), ("size", "size"), ("pos", "pos"))))
+    wide = across.join(side("a"), ["gram", "a_part", "a_level"]).join(side("b"), ["gram", "b_part", "b_level"]).where(_near(percent))
+    rest = wide.select(F.least("a_ref", "b_ref").alias("a"), F.greatest("a_ref", "b_ref").alias("b"),
+                       (F.col("a_size") + F.col("b_size")).alias("sizes")).distinct()
+    rest = rest.join(odd("a"), "a").join(odd("b"), "b").where(_alike(percent)).select(*pair)
+    rest = durable(rest.join(near, pair, "left_anti"))
     if not rest.isEmpty():
-        more = durable(_verified(rest, docs, full, n, percent))
+        more = durable(_verified(rest, docs, sets, n, percent))
         if not more.isEmpty():
             groups = durable(components(links.union(more)))
 
-    sets = full.groupBy("ref").agg(F.min(key).alias("first")).join(groups.withColumnRenamed("node", "ref"), "ref", "left")
+    sets = sets.join(groups.withColumnRenamed("node", "ref"), "ref", "left")
     sets = sets.select("ref", "first", F.coalesce("component", "ref").alias("component"))
     smallest = sets.groupBy("component").agg(F.min("first").alias("component_id"))
     names = sets.join(smallest, "component").select("ref", "component_id")
