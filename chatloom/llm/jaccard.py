@@ -258,8 +258,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets_: DataFrame, n: int, perce
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: the key, `row` (one number per key and text), `n_shingles`, and
-    `component_id`, the smallest key that links reach."""
+    """Per row: the key, `row` (one number per key and text), `n_shingles`,
+    `component_id`, the smallest key that links reach, and `component`, a number of the
+    component that does not depend on keys (null for an empty set)."""
     docs = docs.select(F.col(key), F.col(text).alias("text"), row_key(key, text).alias("row"))
     survey = durable(_survey(docs, key, n))
     rows = survey.where("n is not null").select(key, "row", "n", "ref")
@@ -306,7 +307,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     sets = sets.join(groups.withColumnRenamed("node", "ref"), "ref", "left")
     sets = sets.select("ref", "first", F.coalesce("component", "ref").alias("component"))
     smallest = sets.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = sets.join(smallest, "component").select("ref", "component_id")
-    linked = full.join(names, "ref").select(key, "row", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select(key, "row", F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
+    names = sets.join(smallest, "component").select("ref", "component_id", "component")
+    linked = full.join(names, "ref").select(key, "row", F.col("n").alias("n_shingles"), "component_id", "component")
+    alone = rows.where("n = 0").select(
+        key, "row", F.col("n").alias("n_shingles"), F.col(key).alias("component_id"), F.lit(None).cast("long").alias("component"))
     return linked.unionByName(alone)

@@ -24,10 +24,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    linked, row = jaccard.link(docs), fresh(docs.columns, "row")
-    gone = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias(row)).distinct()
-    return docs.withColumn(row, row_key("doc_id", "text")).join(gone, row, "left_anti").select(*docs.columns)
+    """Keeps exactly one row of each group of near copies: the smallest by id (null
+    last), then by a hash of the text; of repeated rows, the smallest by all columns.
+    Rows without words are in no group and stay."""
+    from chatloom.session import durable
+
+    row = fresh(docs.columns, "row")
+    linked = durable(jaccard.link(docs).where("component is not null").select("doc_id", "row", "component"))
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = linked.join(first.select("component", "first.row", F.lit(True).alias("stays")), ["component", "row"], "left")
+    gone = gone.where("stays is null").select(F.col("row").alias(row)).distinct()
+    # Rows of equal id and text share a key; they are brought down to one by aggregation.
+    often = linked.groupBy(F.col("row").alias(row)).count().where("count > 1").select(row)
+    kept = docs.withColumn(row, row_key("doc_id", "text")).join(gone, row, "left_anti")
+    once = kept.join(often, row, "left_anti").select(*docs.columns)
+    # Cut off first, so that a hot key's rows may be split and are combined before they are dealt out.
+    repeated = durable(kept.join(often, row, "left_semi")).groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("first"))
+    return once.unionByName(repeated.select("first.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,3 +173,24 @@ def test_pipeline(spark, tmp_path):
     assert {x.doc_id for x in kept[5].collect()} == {d for d, _ in pairs[4]}
     assert kept[1].columns == kept[2].columns == kept[3].columns == kept[4].columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == kept[5].count()
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Repeated rows, one id with near copies, one id with unlike texts, null ids: one row
+    of each group stays, and the suffix stage leaves it whole."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(4, 9))) for _ in range(900)]
+    a, b, c, d, e = (" ".join(r.choice(words) for _ in range(120)) for _ in range(5))
+    given = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "r", 1), (7, a, "en", "s", 1),
+             (2, b, "en", "s", 1), (2, b + " more", "en", "s", 1), (2, c, "en", "s", 1),
+             (None, d, "en", "s", 1), (None, d, "en", "s", 1), (None, d + " more", "en", "s", 1), (None, e, "en", "s", 1), (9, e, "en", "s", 1),
+             (3, None, "en", "s", 1), (3, None, "en", "s", 1)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    rows = sorted(((x.doc_id, x.text, x.source) for x in kept.collect()), key=str)
+    assert [x for x in rows if x[0] in (1, 3, 7, 9)] == sorted([(1, a, "r"), (3, None, "s"), (3, None, "s"), (9, e, "s")], key=str)
+    of = lambda i: [t for k, t, _ in rows if k == i]
+    assert len(of(2)) == 2 and c in of(2) and len(of(None)) == 1 and of(None)[0] in (d, d + " more")
+    after = sorted(((x.doc_id, x.text or "") for x in corpus_pipeline.repeats(spark, kept, "").collect()), key=str)
+    assert after == sorted(((k, t or "") for k, t, _ in rows), key=str)
