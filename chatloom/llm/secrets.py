@@ -143,11 +143,14 @@ def unwrap(layer: _Layer) -> tuple[list[_Layer], int]:
                 starts, ends = [layer.starts[i] for i in starts], [layer.ends[i - 1] for i in ends]
             below.append(_Layer(got, starts, ends, layer.seen | {digest}))
 
-    if "%" in text:
+    # The whole layer, so that a key and its value meet over blanks and quotes; and run by run.
+    if "%" in text and (got := _unescape(text, 0, len(text), _PERCENTS, _percents)):
+        add(*got)
         for m in _PERCENT.finditer(text):
             if got := _unescape(text, m.start(), m.end(), _PERCENTS, _percents):
                 add(*got)
-    if "\\" in text:
+    if "\\" in text and (got := _unescape(text, 0, len(text), _ESCAPE, _escape)):
+        add(*got)
         for m in _ESCAPED.finditer(text):
             if got := _unescape(text, m.start(), m.end(), _ESCAPE, _escape):
                 add(*got)

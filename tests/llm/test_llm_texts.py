@@ -231,6 +231,15 @@ def test_secrets_end_on_data_that_holds_itself():
     assert secrets.scan(text)[1] == []
 
 
+@pytest.mark.parametrize("text", [
+    '{"password": "\\u0068unter2xyz"}', 'password = "%68unter2xyz"', "password%3A hunter2xyz", "%70assword = 'hunter2xyz'",
+    'password%20= "\\x68unter2xyz"'])
+def test_secrets_key_and_value_apart(text):
+    _, every, _, _ = secrets.scan("say: " + text + " end")
+    masked = secrets.redact("say: " + text + " end", every)
+    assert "unter2xyz" not in masked and masked.startswith("say: ") and masked.endswith(" end")
+
+
 # --- language ------------------------------------------------------------------
 
 def test_language(spark, empty):
