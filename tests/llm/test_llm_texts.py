@@ -233,13 +233,61 @@ def test_secrets_end_on_data_that_holds_itself():
 
 @pytest.mark.parametrize("text", [
     '{"password": "\\u0068unter2xyz"}', 'password = "%68unter2xyz"', "password%3A hunter2xyz", "%70assword = 'hunter2xyz'",
-    'password%20= "\\x68unter2xyz"'])
+    'password%20= "\\x68unter2xyz"', "%ffpassword%3A hunter2xyz"])
 def test_secrets_key_and_value_apart(text):
     _, every, _, _ = secrets.scan("say: " + text + " end")
     masked = secrets.redact("say: " + text + " end", every)
     assert "unter2xyz" not in masked and masked.startswith("say: ") and masked.endswith(" end")
 
 
+def wrapped(raw, width, end="\n"):
+    import base64
+
+    letters = base64.b64encode(raw).decode()
+    return end.join(letters[i : i + width] for i in range(0, len(letters), width))
+
+
+def hidden(text):
+    """What is left of a text, secrets masked."""
+    return secrets.redact(text, secrets.scan(text)[1])
+
+
+def test_secrets_base64_of_every_kind():
+    import base64
+    import gzip
+    import os
+
+    code = lambda raw: base64.b64encode(raw).decode()
+    short, secret = b"token=abcdef", b"password = hunter2hunter2"
+    assert hidden(f"see {code(short)} now") == "see [SECRET] now"
+    assert hidden(f"see /cb/{code(secret)} now").startswith("see /cb/[SECRET]")
+    for odd in ("\xa0:", "\ufeff", "\u200d", "\f", "\0"):
+        for coded in (code(odd.encode() + secret), code(gzip.compress(odd.encode() + secret)), code(secret + b" \xff" + odd.encode())):
+            assert "[SECRET]" in hidden(f"see {coded} now"), (odd, coded)
+    for width, end in ((4, "\n"), (16, "\r\n"), (76, "\n  "), (64, "\\n")):
+        for raw in (b"x" * 50 + b" " + secret + b" " + b"y" * 60, gzip.compress(os.urandom(90).hex().encode() + b" zz " + secret)):
+            coded = wrapped(raw, width, end)
+            got = hidden(f"head\n{coded}\nThanks")
+            assert "[SECRET]" in got and got.startswith("head") and got.endswith("Thanks"), (width, end, got)
+    members = gzip.compress(b"nothing here") + gzip.compress(b"but " + secret)
+    assert "[SECRET]" in hidden(f"see {code(members)} now")
+    packer = zlib.compressobj(wbits=-15)
+    raw = packer.compress(b"raw " + secret) + packer.flush()
+    assert hidden(f"see /cb/{code(raw)} now") == "see /cb/[SECRET] now"
+
+
+def test_secrets_in_windows(monkeypatch):
+    import base64
+    import gzip
+
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 256)
+    for before in (10, 4090, 4096 * 3 - 270, 50_000):
+        coded = base64.b64encode(gzip.compress(b"- " * (before // 2) + b"password = hunter2hunter2" + b" -" * 9000)).decode()
+        _, every, _, large = secrets.scan(f"see {coded} now")
+        assert large == 1 and secrets.redact(f"see {coded} now", every) == "see [SECRET] now"
+
+
 # --- language ------------------------------------------------------------------
 
 def test_language(spark, empty):
