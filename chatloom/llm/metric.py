@@ -12,7 +12,8 @@ of members with one block of all, and returns a count per member and a spanning
 of the links, never the pairs.  Equal vectors are one node with a weight.
 
 Nulls and edges: vectors that are null, zero, or hold null or non-finite components,
-and rows without a label, link with nothing and are components of their own.  Repeated
+and rows without a label, link with nothing and are components of their own.  Vectors
+of different lengths have no cosine; each length of a label is joined on its own.  Repeated
 ids are separate rows, linked if their vectors are.  Pairs at the threshold, to the
 last bit of the double product, link.  Other columns are not read.
 """
@@ -54,7 +55,9 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     """Per row: the key, `n_links`, `component_id`, `kept`."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
     rows = durable(rows.withColumn("row", F.xxhash64("id", "label", "v")))
-    good = valid(rows.where("label is not null"), "v").withColumn("node", F.xxhash64("label", "raw"))
+    good = valid(rows.where("label is not null"), "v", every_length=True)
+    # From here on a label is a label and a length.
+    good = good.withColumn("label", F.concat_ws(":", F.length("raw"), "label")).withColumn("node", F.xxhash64("label", "raw"))
     good = durable(good)
     nodes = durable(good.groupBy("node", "label", "raw").agg(F.count("*").alias("weight")))
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -75,14 +78,15 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     context = df.sparkSession.sparkContext
     sent = context.broadcast(pivots)
 
-    def distances(names, points):
+    def distances(names, raws):
         """Per row its label's pivots' distances; None for labels without pivots."""
         out = [None] * len(names)
         names = np.array(names, object)
         for name in set(names.tolist()):
             if name in sent.value:
                 at = np.flatnonzero(names == name)
-                d = np.sqrt(np.maximum(0, 2 - 2 * points[at] @ sent.value[name].T))
+                points = unit(matrix(raws.take(pa.array(at))))
+                d = np.sqrt(np.maximum(0, 2 - 2 * points @ sent.value[name].T))
                 for i, row in zip(at.tolist(), d, strict=True):
                     out[i] = row
         return out
@@ -90,7 +94,7 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
     def home(batches):
         for batch in batches:
             if batch.num_rows:
-                d = distances(batch.column("label").to_pylist(), unit(matrix(batch.column("raw"))))
+                d = distances(batch.column("label").to_pylist(), batch.column("raw"))
                 cell = [0 if x is None else int(x.argmin()) for x in d]
                 far = [0.0 if x is None else float(x.min()) for x in d]
                 yield pa.RecordBatch.from_arrays(
@@ -98,9 +102,11 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
 
     base = nodes.select("label", "node", "raw", "weight")
     homes = durable(base.mapInArrow(home, base.select("*").schema.add("cell", "long").add("far", "double")))
-    # As many rows as there are pivots.
-    named = F.broadcast(sizes.select("label"))
-    reach = {(r.label, r.cell): r.far for r in homes.join(named, "label").groupBy("label", "cell").agg(F.max("far").alias("far")).limit(PIVOTS * 2).collect()} if share else {}
+    # At most as many rows as there are pivots: labels without pivots are left out.
+    reach = {}
+    if share:
+        farthest = homes.join(F.broadcast(wanted.select("label")), "label").groupBy("label", "cell").agg(F.max("far").alias("far"))
+        reach = {(r.label, r.cell): r.far for r in farthest.collect()}
     reached = context.broadcast(reach)
 
     def copies(batches):
@@ -108,7 +114,7 @@ def links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label:
             if not batch.num_rows:
                 continue
             names = batch.column("label").to_pylist()
-            d = distances(names, unit(matrix(batch.column("raw"))))
+            d = distances(names, batch.column("raw"))
             at, cell = [], []
             for i, (name, own, x) in enumerate(zip(names, batch.column("cell").to_pylist(), d, strict=True)):
                 if x is None:

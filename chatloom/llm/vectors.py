@@ -8,24 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def valid(df: DataFrame, vector: str) -> DataFrame:
+def valid(df: DataFrame, vector: str, every_length: bool = False) -> DataFrame:
     """Rows whose vector is there, not zero, and finite in every component, with the
     vector as doubles in bytes (`raw`).  Negative zeros become zeros, so that equal
-    vectors have equal bytes.  Only the commonest length takes part; vectors of
-    another length have no cosine with it."""
+    vectors have equal bytes.  Vectors of different lengths have no cosine: only the
+    commonest length takes part, unless the caller keeps lengths apart."""
     finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(F.col(vector), lambda x: x != 0)
     good = df.where(F.col(vector).isNotNull()).where(finite & some)
-    sizes = good.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    good = good.where(F.size(vector) == (sizes[0]["size"] if sizes else 0)).withColumn(vector, F.col(vector).cast("array<double>"))
+    if not every_length:
+        sizes = good.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+        good = good.where(F.size(vector) == (sizes[0]["size"] if sizes else 0))
+    good = good.withColumn(vector, F.col(vector).cast("array<double>"))
     kept = [c for c in df.columns if c != vector]
 
     def pack(batches):
         for batch in batches:
             column = batch.column(vector)
-            table = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) + 0.0
+            flat = column.flatten().to_numpy(zero_copy_only=False) + 0.0
+            end = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            raws = [flat[a:b].tobytes() for a, b in zip([0, *end], end, strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array([r.tobytes() for r in table], pa.binary())], [*kept, "raw"])
+                [*(batch.column(c) for c in kept), pa.array(raws, pa.binary())], [*kept, "raw"])
 
     return good.select(*kept, vector).mapInArrow(pack, good.select(*kept).schema.add("raw", "binary"))
 

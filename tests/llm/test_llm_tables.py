@@ -88,6 +88,23 @@ def test_metric_join(vectors, monkeypatch, cell, block):
     assert metric.links(vectors.limit(0)).count() == 0
 
 
+def test_metric_join_with_many_labels_and_lengths(spark, monkeypatch):
+    """Far more labels above the size of a cell than get pivots; two lengths under a label."""
+    monkeypatch.setattr(metric, "CELL", 5)
+    monkeypatch.setattr(metric, "PIVOTS", 8)
+    arc = lambda n, label, base: [(base + i, [float(np.cos(i / 9)), float(np.sin(i / 9))], label) for i in range(n)]
+    rows = [x for n in range(4) for x in arc(28, n, 100 * n)]
+    rows += [x for n in range(4, 60) for x in arc(6, n, 100 * n)]
+    rows += [(9000 + i, [1.0, 2.0, 3.0], 1) for i in range(3)] + [(9003, [3.0, 2.0, 1.0], 1)]
+    want = {}
+    for n in range(60):
+        last = 27 if n < 4 else 5
+        want |= {100 * n + i: (min(i, 1) + min(last - i, 1), 100 * n) for i in range(last + 1)}
+    want |= {9000 + i: (2, 9000) for i in range(3)} | {9003: (0, 9003)}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in metric.links(table).collect()} == want
+
+
 def test_revisits(spark):
     header = lambda **h: [(k.replace("_", "-"), v) for k, v in h.items()]
     rows = [
