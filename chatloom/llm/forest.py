@@ -2,10 +2,13 @@
 
 The trees are grown on a bounded sample: a node splits its points by the plane
 halfway between two of them.  Every vector of the table goes to one leaf of each
-tree, by the planes alone.  A query keeps one priority queue over the nodes of *all*
+tree, by the planes alone; leaves that then hold more than `LEAF_ROWS` are split on,
+round by round, by planes between some of their own vectors, until none is left or
+no plane is found.  A query keeps one priority queue over the nodes of *all*
 trees: the margin by which it misses a node's side is the node's priority, so the
 search opens whichever leaf of whichever tree is most promising, until the leaves
-opened hold `candidates` vectors.  Candidates of the opened leaves are ranked by
+opened hold `candidates` vectors and every tree has had `LEAST` of its leaves opened, so
+that no crowded leaf ends it early.  Candidates of the opened leaves are ranked by
 their exact cosine; the best k of each leaf and query go on, and the best k of those
 are the answer.
 
@@ -22,7 +25,9 @@ own id.  Other columns are not read.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,9 @@ from chatloom.session import durable
 TREES, LEAF, SAMPLE = 12, 48, 20_000
 #: Vectors that a query's opened leaves hold, counted once per tree they are found in.
 CANDIDATES = 12_000
+#: Vectors a leaf may hold before it is split on, those that its planes are drawn from,
+#: rounds that may pass without a plane for any leaf, leaves that every tree must open.
+LEAF_ROWS, DRAWN, IDLE, LEAST = 1024, 24, 3, 4
 BLOCK = 4096
 
 
@@ -61,56 +69,112 @@ class Forest:
             out[:, t] = -1 - at
         return out
 
-    def open(self, margins: np.ndarray, held: np.ndarray, wanted: int) -> list[int]:
+    def open(self, margins: np.ndarray, held: np.ndarray, wanted: int, least: int = 0) -> list[int]:
         """The leaves to look at, best first, given a query's margin at every node."""
-        queue = [(-np.inf, root) for root in self.roots]
+        queue = [(-np.inf, root, tree) for tree, root in enumerate(self.roots)]
         heapq.heapify(queue)
-        leaves, total = [], 0
+        leaves, total, opened, lacking = [], 0, [0] * len(self.roots), len(self.roots) if least else 0
         margin, child = margins.tolist(), self.child
-        while queue and total < wanted:
-            far, node = heapq.heappop(queue)
+        while queue and (total < wanted or lacking):
+            far, node, tree = heapq.heappop(queue)
+            if total >= wanted and opened[tree] >= least:
+                continue
             while node >= 0:
                 m = margin[node]
-                heapq.heappush(queue, (max(far, abs(m)), int(child[node, 0 if m > 0 else 1])))
+                heapq.heappush(queue, (max(far, abs(m)), int(child[node, 0 if m > 0 else 1]), tree))
                 node = int(child[node, 1 if m > 0 else 0])
-            leaves.append(-1 - node)
-            total += int(held[-1 - node])
+            if size := int(held[-1 - node]):
+                leaves.append(-1 - node)
+                total += size
+                opened[tree] += 1
+                lacking -= opened[tree] == least
         return leaves
 
+    def split(self, samples: dict[int, np.ndarray], leaf: int, seed: int) -> Forest:
+        """The forest with these leaves split on, by planes between their samples.  A
+        leaf's number goes to the first of its parts."""
+        rng, numbers = np.random.default_rng(seed), count(self.leaves)
+        normal, offset, child, roots = list(self.normal), self.offset.tolist(), self.child.tolist(), list(self.roots)
+        above = {c: (i, side) for i, pair in enumerate(child) for side, c in enumerate(pair) if c < 0}
+        for name in sorted(samples):
+            top = _subtree(samples[name], np.arange(len(samples[name])), leaf, rng, normal, offset, child, chain([name], numbers))
+            if (-1 - name) in above:
+                i, side = above[-1 - name]
+                child[i][side] = top
+            else:
+                roots[roots.index(-1 - name)] = top
+        return _forest(normal, offset, child, roots, next(numbers), next(iter(samples.values())).shape[1])
 
-def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11) -> Forest:
-    rng = np.random.default_rng(seed)
-    normal, offset, child, roots = [], [], [], []
-    leaves = 0
-
-    def node(members: np.ndarray) -> int:
-        nonlocal leaves
-        for _ in range(4 if len(members) > leaf else 0):
-            a, b = sample[rng.choice(members, 2, replace=False)]
-            plane = a - b
-            if not plane.any():
-                continue
-            cut = float(plane @ (a + b)) / 2
-            side = sample[members] @ plane > cut
-            if 0.05 < side.mean() < 0.95:
-                here = len(normal)
-                size = np.linalg.norm(plane)
-                normal.append(plane / size)
-                offset.append(cut / size)
-                child.append([0, 0])
-                child[here] = [node(members[~side]), node(members[side])]
-                return here
-        leaves += 1
-        return -leaves
-
-    for _ in range(trees if len(sample) else 0):
-        roots.append(node(np.arange(len(sample))))
-    width = sample.shape[1] if sample.ndim == 2 else 0
+
+def _forest(normal, offset, child, roots, leaves: int, width: int) -> Forest:
     return Forest(
         np.array(normal).reshape(len(normal), width), np.array(offset),
         np.array(child, np.int64).reshape(len(child), 2), roots, leaves)
 
 
+def _subtree(sample: np.ndarray, members: np.ndarray, leaf: int, rng, normal, offset, child, numbers: Iterator[int]) -> int:
+    """Append the nodes that split the members, down to `leaf` of them; the top node."""
+    for _ in range(4 if len(members) > leaf else 0):
+        a, b = sample[rng.choice(members, 2, replace=False)]
+        plane = a - b
+        if not plane.any():
+            continue
+        cut = float(plane @ (a + b)) / 2
+        side = sample[members] @ plane > cut
+        if 0.05 < side.mean() < 0.95:
+            here = len(normal)
+            size = np.linalg.norm(plane)
+            normal.append(plane / size)
+            offset.append(cut / size)
+            child.append([0, 0])
+            below = [_subtree(sample, part, leaf, rng, normal, offset, child, numbers) for part in (members[~side], members[side])]
+            child[here] = below
+            return here
+    return -1 - next(numbers)
+
+
+def grow(sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11) -> Forest:
+    rng, numbers = np.random.default_rng(seed), count()
+    normal, offset, child = [], [], []
+    roots = [_subtree(sample, np.arange(len(sample)), leaf, rng, normal, offset, child, numbers) for _ in range(trees if len(sample) else 0)]
+    return _forest(normal, offset, child, roots, next(numbers), sample.shape[1] if sample.ndim == 2 else 0)
+
+
+def _bounded(nodes: DataFrame, forest: Forest) -> tuple[Forest, np.ndarray]:
+    """The forest with overfull leaves split over all rows, and what its leaves hold.  It
+    has about one plane for every LEAF_ROWS / 2 vectors and tree beyond the sample's."""
+    context = nodes.sparkSession.sparkContext
+    idle = turn = 0
+    while True:
+        sent = context.broadcast(forest)
+
+        def leaves(batches, sent=sent):
+            for batch in batches:
+                f = sent.value
+                leaf = f.place(unit(matrix(batch.column("raw")))) if batch.num_rows else np.zeros((0, len(f.roots)), np.int64)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), leaf.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), batch.column("node").take(at), batch.column("raw").take(at)], ["leaf", "node", "raw"])
+
+        placed = nodes.select("node", "raw").mapInArrow(leaves, "leaf long, node long, raw binary")
+        # One number per leaf.
+        held = np.zeros(forest.leaves + 1, np.int64)
+        for leaf, n in placed.groupBy("leaf").count().collect():
+            held[leaf] = n
+        over = np.flatnonzero(held > LEAF_ROWS).tolist()
+        if not over or idle == IDLE:
+            return forest, held
+        wanted = F.broadcast(nodes.sparkSession.createDataFrame([(i,) for i in over], "leaf long"))
+        drawn = placed.join(wanted, "leaf").withColumn("order", F.xxhash64("node", "leaf", F.lit(turn)))
+        drawn = drawn.selectExpr("leaf", "raw", "row_number() over (partition by leaf order by order, node) as place").where(F.col("place") <= DRAWN)
+        raws: dict[int, list[bytes]] = {}
+        for leaf, raw in drawn.select("leaf", "raw").collect():
+            raws.setdefault(leaf, []).append(bytes(raw))
+        samples = {leaf: unit(np.array([np.frombuffer(r) for r in sorted(own)])) for leaf, own in raws.items()}
+        before, turn = forest.leaves, turn + 1
+        forest = forest.split(samples, DRAWN // 4, turn)
+        idle = 0 if forest.leaves > before else idle + 1
+
+
 def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
            candidates: int = CANDIDATES, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, <key>, score): the k nearest other rows found for each row that asks."""
@@ -124,6 +188,7 @@ def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
     raws = sorted(bytes(r.raw) for r in picked.select("raw").limit(2 * sample).collect())
     forest = grow(unit(np.array([np.frombuffer(r) for r in raws])), trees)
     context = df.sparkSession.sparkContext
+    forest, held = _bounded(nodes, forest)
     sent = context.broadcast(forest)
 
     def index(batches):
@@ -136,10 +201,6 @@ def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
                 ["leaf", "node", "raw", "ids"])
 
     members = nodes.select("node", "raw", "ids").mapInArrow(index, "leaf long, node long, raw binary, ids array<long>")
-    # One number per leaf: the sample bounds how many there are.
-    held = np.zeros(forest.leaves + 1, np.int64)
-    for leaf, n in members.groupBy("leaf").count().collect():
-        held[leaf] = n
     counts = context.broadcast(held)
 
     def ask(batches):
@@ -149,7 +210,7 @@ def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
                 part = batch.slice(at, 64)
                 q = unit(matrix(part.column("raw")))
                 margins = q @ f.normal.T - f.offset if len(f.offset) else np.zeros((len(q), 0))
-                opened = [f.open(m, sizes, candidates) for m in margins]
+                opened = [f.open(m, sizes, candidates, LEAST) for m in margins]
                 take = np.repeat(np.arange(len(q)), [len(o) for o in opened])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for o in opened for x in o], pa.int64()),

@@ -65,6 +65,28 @@ def test_forest_opens_few_leaves_and_blocks(vectors, monkeypatch):
     assert forest.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_forest_with_a_budget_far_below_the_table(spark, monkeypatch):
+    """Trees of a small sample are split on over all rows, and no crowded leaf ends the search."""
+    monkeypatch.setattr(forest, "LEAF_ROWS", 60, raising=False)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 12))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in forest.search(table, F.col("vec_id") % 50 == 0, candidates=300, sample=100).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 3000, 50):
+        c = u @ u[i]
+        c[i] = -9
+        hits += len(got[i] & set(np.argsort(-c)[:5].tolist()))
+    assert hits / 300 > 0.9, hits / 300
+    crowded = forest.grow(u[:200], leaf=20)
+    held = np.full(crowded.leaves + 1, 10**6)
+    opened = crowded.open(crowded.normal @ u[0] - crowded.offset, held, 300, 4)
+    assert len(opened) == len(set(opened)) == 4 * forest.TREES
+
+
 @pytest.mark.parametrize(("cell", "block"), [(2000, 4096), (20, 4096), (20, 16)])
 def test_metric_join(vectors, monkeypatch, cell, block):
     monkeypatch.setattr(metric, "CELL", cell)
