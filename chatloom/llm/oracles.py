@@ -46,3 +46,36 @@ SELECT record_id, url_key, refers_to, verdict, CASE WHEN verdict = 'resolved' TH
     [x.n || ': ' || x.v FOR x IN stored IF NOT list_contains([f.n FOR f IN fresh], x.n)],
     [f.n || ': ' || f.v FOR f IN fresh])), chr(10)) END AS headers
 FROM judged"""
+
+
+def _clusters_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Every round as two steps: nearest centroid of each vector, then exact floors of means."""
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+), centre0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {clusters}
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, any_value(k.v) AS v, min({{'d': CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(k.v, m.v)]) AS BIGINT), 'c': m.c}}) AS best
+  FROM kept k CROSS JOIN centre{i} m GROUP BY vec_id
+)""")
+        if i < rounds:
+            steps.append(f"""mean{i} AS MATERIALIZED (
+  SELECT c, list(x ORDER BY place) AS v FROM (
+    SELECT c, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM (
+      SELECT best.c AS c, unnest(v) AS x, unnest(range(64)) AS place FROM near{i}) GROUP BY c, place) GROUP BY c
+), centre{i + 1} AS MATERIALIZED (
+  SELECT c, v FROM mean{i} UNION ALL SELECT c, v FROM centre{i} WHERE c NOT IN (SELECT c FROM mean{i})
+)""")
+    last = rounds
+    return "WITH " + ", ".join(steps) + f"""
+SELECT n.vec_id, CAST(n.best.c AS INTEGER) AS cluster, n.best.d AS distance,
+  CAST(sum(n.best.d) OVER (PARTITION BY n.best.c) AS BIGINT) AS cluster_inertia, CAST(sum(n.best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM near{last} n JOIN centre{last} m ON m.c = n.best.c"""
+
+
+ORACLES["op11_bit_plane_clusters"] = _clusters_sql()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import bpe, forest, jaccard, langid, metric, packing, quality, secrets, suffixes, warc
+from chatloom.llm import bestfit, bpe, forest, jaccard, langid, metric, packing, periods, planes, quality, secrets, suffixes, warc
 from chatloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,36 @@ def op9_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def planted(doc_id: int | None, text: bytes) -> list[bytes]:
+    """The words of a text; one text in ten repeats a stretch of itself from some word on."""
+    words = text.split()
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.table(table(spark, sf_dir, "documents"), cut=planted)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.*",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
