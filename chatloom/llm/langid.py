@@ -1,8 +1,8 @@
 """Language identification with Bloom filters that answer for all languages at once.
 
-Every slot of the filter holds a bit mask, one bit per language.  An n-gram's mask
-is the AND of its slots: the set of languages that list it, found in `probes` reads
-whatever the number of languages.  A text's hits per language are the popcounts of
+Every slot of the filter holds a bit mask, one bit per language, in as many words of 63
+bits as the languages need.  An n-gram's mask is the AND of its slots: the set of languages
+that list it, found in `probes` reads whatever the number of languages.  A text's hits per language are the popcounts of
 those masks; subtracting what a filter that full reports by chance leaves the
 estimate that decides.
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.common import CHUNK_BYTES, Spans, chunks, mix, texts_of
+from chatloom.session import durable
 
 #: Bytes per n-gram, slots of the filter, slots read per n-gram.
 GRAM, SLOTS, PROBES = 5, 1 << 20, 3
@@ -31,6 +32,11 @@ TRAIN_ROWS, LISTED = 20_000, 60_000
 #: least this share as likely as in the language that likes it best.
 SEEN, SHARE = 3, 0.3
 UNKNOWN = "und"
+#: Languages in one mask word.
+WORD = 63
+#: A text with at least `FEW` n-grams is in no learned language if fewer than `LEAST` of the
+#: usual share of them is listed.
+FEW, LEAST = 20, 0.35
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -40,8 +46,9 @@ _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
 @dataclass
 class Model:
     languages: list[str]
-    masks: np.ndarray  # one 64-bit mask per slot
+    masks: np.ndarray  # per word of languages, one mask per slot
     chance: np.ndarray  # per language: how often an unlisted n-gram is reported
+    usual: np.ndarray | None = None  # per language: share of its training n-grams that it lists
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,23 +94,30 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int
                     ["lang", "gram", "times"])
 
     seen = rows.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
-    seen = seen.where(F.col("times") >= SEEN)
+    # A table of the n-grams of a bounded sample, read several times below.
+    counted = durable(seen)
+    whole = counted.groupBy("lang").agg(F.sum("times").alias("whole"))
+    seen = counted.where(F.col("times") >= SEEN)
     totals = seen.groupBy("lang").agg(F.sum("times").alias("total"))
     rates = seen.join(F.broadcast(totals), "lang").withColumn("rate", F.col("times") / F.col("total"))
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"))
     kept = rates.join(best, "gram").where(F.col("rate") >= SHARE * F.col("best"))
     ranked = kept.selectExpr("lang", "gram", "row_number() over (partition by lang order by rate desc, gram) as place")
-    table = ranked.where(F.col("place") <= listed).select("lang", "gram").toPandas()
+    chosen = ranked.where(F.col("place") <= listed).select("lang", "gram")
+    table = chosen.toPandas()
     languages = sorted(table["lang"].unique().tolist())
-    if len(languages) > 63:
-        raise ValueError("a mask holds 63 languages")
-    masks = np.zeros(slots, np.int64)
+    masks = np.zeros((-(-len(languages) // WORD), slots), np.int64)
     for i, name in enumerate(languages):
         grams = table["gram"][table["lang"] == name].to_numpy(np.int64).view(np.uint64)
         for place in _slots(grams, slots):
-            masks[place] |= np.int64(1 << i)
-    filled = np.array([np.count_nonzero(masks >> i & 1) for i in range(len(languages))]) / slots
-    return Model(languages, masks, filled ** PROBES)
+            masks[i // WORD, place] |= np.int64(1 << i % WORD)
+    filled = np.array([np.count_nonzero(masks[i // WORD] >> i % WORD & 1) for i in range(len(languages))]) / slots
+    model = Model(languages, masks, filled ** PROBES)
+    # A language's usual rate follows from the counts at hand: occurrences of listed n-grams among all.
+    held = seen.join(chosen, ["lang", "gram"]).groupBy("lang").agg(F.sum("times").alias("held"))
+    rates = dict(held.join(whole, "lang").select("lang", F.col("held") / F.col("whole")).collect())
+    model.usual = np.array([rates.get(name, 0.0) for name in languages])
+    return model
 
 
 def _letters(data: np.ndarray, at: np.ndarray, column: pa.Array) -> np.ndarray:
@@ -117,10 +131,12 @@ def _letters(data: np.ndarray, at: np.ndarray, column: pa.Array) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add `lang_pred` and `score` to the rows.  The score is the winner's share of
-    all corrected hits."""
+    """Add `lang_pred`, `score`, the winner's share of all corrected hits, `rate`, its
+    corrected hits per n-gram of the text, and `fits`: whether that is at least `LEAST` of
+    what the language's own texts reach, or the text too short to judge.  Columns that have
+    one of these names, in any spelling, are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rate", "fits")]
 
     def judge(batches):
         m = sent.value
@@ -129,13 +145,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             data, at = texts_of(column)
             n = batch.num_rows
             hashes, of = _grams(data, at)
-            mask = np.full(len(hashes), -1, np.int64)
-            for place in _slots(hashes, len(m.masks)):
-                mask &= m.masks[place]
+            mask = np.full((len(m.masks), len(hashes)), -1, np.int64)
+            for place in _slots(hashes, m.masks.shape[1]):
+                mask &= m.masks[:, place]
             total = np.bincount(of, minlength=n).astype(float)
             hits = np.zeros((len(m.languages), n))
             for i in range(len(m.languages)):
-                hits[i] = np.bincount(of, weights=mask >> i & 1, minlength=n)
+                hits[i] = np.bincount(of, weights=mask[i // WORD] >> i % WORD & 1, minlength=n)
             fair = np.maximum(0, (hits - m.chance[:, None] * total) / (1 - m.chance[:, None]))
             known = _letters(data, at, column.fill_null(""))
             if len(m.languages):
@@ -143,12 +159,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 score = np.where(whole > 0, fair.max(axis=0) / np.maximum(whole, 1e-300), 0.0)
                 # Letters but no n-gram that any language lists: the first language by name.
                 names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                rate = fair.max(axis=0) / np.maximum(total, 1)
+                fits = (total < FEW) | (rate >= LEAST * m.usual[best])
             else:
                 score, names = np.zeros(n), [UNKNOWN] * n
+                rate, fits = np.zeros(n), np.zeros(n, bool)
             score = np.where(known, score, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                [*kept, "lang_pred", "score"])
+                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(np.where(known, rate, 0.0)), pa.array(fits & known)],
+                [*kept, "lang_pred", "score", "rate", "fits"])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rate", "double").add("fits", "boolean")
     return docs.select(*kept).mapInArrow(judge, schema)

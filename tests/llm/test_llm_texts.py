@@ -150,7 +150,8 @@ def cut(rows, length):
 def test_repeats(docs, monkeypatch, length, k, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     got = suffixes.remove(docs, length=length, k=k).collect()
-    assert sorted(map(tuple, got), key=str) == cut([(r.doc_id, r.text) for r in docs.collect()], length)
+    assert all(hashlib.sha256(x.kept_text.encode()).hexdigest() == x.kept_sha256 for x in got if x.kept_text.isascii())
+    assert sorted((tuple(x)[:5] for x in got), key=str) == cut([(r.doc_id, r.text) for r in docs.collect()], length)
 
 
 def test_repeats_empty(empty):
@@ -307,6 +308,45 @@ def test_language(spark, empty):
     assert got[93].lang_pred in model.languages
     none = langid.fit(empty.select("text", "row"), lang="row")
     assert none.languages == [] and {x.lang_pred for x in langid.predict(asked, none).collect()} == {"und"}
+    assert not any(x.fits for x in langid.predict(asked, none).collect())
+    assert got[0].fits and got[93].fits and not got[90].fits
+    other = spark.createDataFrame([(1, " ".join(f"wxyvq{i}jjk" for i in range(40)), "x")], "doc_id long, text string, Score string")
+    judged = langid.predict(other, model)
+    assert judged.columns == ["doc_id", "text", "lang_pred", "score", "rate", "fits"] and not judged.first().fits
+
+
+def test_more_languages_than_one_mask_word_and_exact_sets(spark):
+    """Masks hold exactly the languages that list an n-gram, false positives apart, and
+    hits are those sets' counts with the chance correction."""
+    r = random.Random(12)
+    stems = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(70)]
+    speech = {f"l{i:02d}": [stems[i], stems[i][::-1] + "a", stems[i][3:] + stems[i][:4]] for i in range(70)}
+    make = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(make(words, 30), lang) for lang, words in speech.items() for _ in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 70 and model.masks.shape[0] == 2
+    asked = [(i, make(speech[lang], 15 if i % 3 else 3000), lang) for i, lang in enumerate(speech)]
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[i].lang_pred == lang and got[i].fits for i, _, lang in asked)
+    # The same by sets: count n-grams per language, keep frequent and likely ones, count hits.
+    grams = lambda t: langid._grams(*texts_of(pa.array([t])))[0].tolist()
+    counts = defaultdict(lambda: defaultdict(int))
+    for t, lang in rows:
+        for g in grams(t):
+            counts[lang][g] += 1
+    frequent = {lang: {g: n for g, n in c.items() if n >= langid.SEEN} for lang, c in counts.items()}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in frequent.items()}
+    best = defaultdict(float)
+    for c in rate.values():
+        for g, x in c.items():
+            best[g] = max(best[g], x)
+    listed = {lang: {g for g, x in c.items() if x >= langid.SHARE * best[g]} for lang, c in rate.items()}
+    for i, t, _ in asked:
+        hits = np.array([sum(g in listed[lang] for g in grams(t)) for lang in model.languages], float)
+        total = len(grams(t))
+        fair = np.maximum(0, (hits - model.chance * total) / (1 - model.chance))
+        assert model.languages[int(fair.argmax())] == got[i].lang_pred
+        assert abs(got[i].score - fair.max() / fair.sum()) < 0.05 and abs(got[i].rate - fair.max() / total) < 0.05
 
 
 # --- quality -------------------------------------------------------------------
