@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import constants as K
+from chatloom.functions import dates
 from chatloom.functions import text as T
+from chatloom.operators import search
+from chatloom.operators.extraction import QueryRules, classify_queries, expand_keywords, validated
+from chatloom.session import durable
 
 
 def prompts(queries: DataFrame, results: DataFrame) -> DataFrame:
@@ -37,6 +41,30 @@ def prompts(queries: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def ask_questions(
+    questions: DataFrame, now: int, rules: QueryRules, synonyms: DataFrame, messages: DataFrame, sessions: DataFrame,
+    entities: DataFrame, chats: DataFrame,
+) -> DataFrame:
+    """From question texts to prompts: intent, keywords and dates of each text, synonyms, names
+    of the entities it points at, retrieval by intent, prompt.  questions: query_id, text.
+
+    Questions that read the same are searched once.  Every question gets a row: intent,
+    date_from, date_to, results, and the prompt, null where nothing was found.  A null text
+    counts as empty."""
+    named = questions.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__text_id", F.sha2("text", 256))
+    texts = named.select(F.col("__text_id").alias("query_id"), "text").distinct()
+    judged = validated(classify_queries(texts, rules))
+    dated = dates.with_date_range(judged, F.col("text"), F.lit(now)).withColumn("chat_id", F.lit(None).cast("string"))
+    # As long as the list of different questions, and read by every search below.
+    asked = durable(expand_keywords(dated, synonyms))
+    results = durable(search.routed_search(asked, messages, sessions, entities, chats))
+    many = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
+    told = asked.select("query_id", "intent", "date_from", "date_to").join(many, "query_id", "left").join(
+        prompts(asked, results), "query_id", "left")
+    return named.select("query_id", "__text_id").join(told.withColumnRenamed("query_id", "__text_id"), "__text_id").select(
+        "query_id", "intent", "date_from", "date_to", F.coalesce("results", F.lit(0)).alias("results"), "system_prompt", "user_prompt")
+
+
 def fixed_answers(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Queries nothing was found for."""
     return queries.join(results.select("query_id").distinct(), "query_id", "left_anti").select(

@@ -2,11 +2,12 @@
 
 queries: query_id, text, intent, keywords, date_from, date_to, chat_id.
 
-A keyword is a phrase whose last word may be a prefix.  Only a few combinations
-of (words in the phrase, letters in the last word) occur among the queries, the
-*shapes*.  Each document lists its word runs cut to these shapes, so matching is
-an equi-join with the phrases: no document meets a phrase it does not contain,
-and the small phrase table is the side Spark sends around."""
+A keyword is a phrase whose last word may be a prefix.  The collection is cut into words
+once and stored.  Its vocabulary, far smaller than its text, meets the asked prefixes; what
+comes out says for each term which prefixes it completes.  Only positions that hold such a
+term go on, each with as many words before it as the phrase has, and these runs meet the
+phrases by equality: no document meets a phrase it does not contain, and work grows with
+matches, not with queries times words."""
 
 from __future__ import annotations
 
@@ -36,12 +37,6 @@ def tokenized(docs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row per (document, field, position)."""
-    fielded = tokenized(docs, keys, fields).select(*keys, F.posexplode("tokens").alias("field", "__t"))
-    return fielded.select(*keys, "field", F.posexplode("__t").alias("pos", "term"))
-
-
 def vocabulary(docs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """term, documents it occurs in, occurrences.  Counting inside the document
     first keeps frequent terms from being shuffled once per occurrence."""
@@ -52,96 +47,57 @@ def vocabulary(docs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame
     )
 
 
-def refresh_postings(
-    stored: DataFrame, removed: DataFrame, added: DataFrame, keys: list[str], fields: list[str]
-) -> DataFrame:
-    """Postings after documents were deleted, inserted or (both) updated."""
-    return stored.join(removed.select(*keys).distinct(), keys, "left_anti").unionByName(
-        postings(added, keys, fields)
-    )
-
-
 def phrases(queries: DataFrame, keep_spaces: bool = True) -> DataFrame:
-    """query_id, keyword number, phrase, and its shape."""
+    """query_id, keyword number, phrase, its last word and number of words."""
     words = queries.select(
         "query_id", F.posexplode(T.clean_keywords(F.col("keywords"), keep_spaces)).alias("kw_no", "kw")
     ).withColumn("__w", T.search_tokens(F.col("kw")))
     return words.filter(F.size("__w") > 0).select(
         "query_id", "kw_no",
         F.array_join("__w", " ").alias("phrase"),
+        F.element_at("__w", -1).alias("last"),
         F.size("__w").alias("words"),
-        F.length(F.element_at("__w", -1)).alias("letters"),
     )
 
 
-def _runs(tokens: Column, shapes: Column) -> Column:
-    """All word runs of one field cut to the given shapes."""
-    def of_shape(s: Column) -> Column:
-        last = lambda p: F.element_at(tokens, p)
-        cut = lambda p: F.concat_ws(
-            " ", F.slice(tokens, p - s["words"] + 1, s["words"] - 1), F.substr(last(p), F.lit(1), s["letters"])
-        )
-        places = F.when(
-            F.size(tokens) >= s["words"], F.sequence(s["words"], F.size(tokens))
-        ).otherwise(F.array().cast("array<int>"))
-        fitting = F.filter(places, lambda p: F.length(last(p)) >= s["letters"])
-        return F.transform(fitting, cut)
-
-    return F.flatten(F.transform(shapes, of_shape))
-
-
-SHORT_PHRASE = 3
+# A table of matching terms up to this many bytes is sent to all tasks.
+SENT_BYTES = 8 * 1024 * 1024
 
 
-def _short_runs(docs: DataFrame, keys: list[str], shapes: list[tuple[int, int]]) -> DataFrame:
-    """Word runs of up to three words.  Each word comes with the words before it
-    as columns, so the runs are plain generated code."""
-    reach = max(words for words, _ in shapes)
-    fields = docs.select(*keys, "doc_length", F.explode("tokens").alias("__w"))
-    size = F.size("__w")
-    behind = [
-        F.concat(
-            F.array_repeat(F.lit(None).cast("string"), k),
-            F.slice("__w", F.lit(1), F.greatest(size - k, F.lit(0))),
-        ).alias(f"before{k}")
-        for k in range(1, reach)
-    ]
-    shifted = fields.select(*keys, "doc_length", F.col("__w").alias("word"), *behind)
-    zipped = F.arrays_zip("word", *[f"before{k}" for k in range(1, reach)])
-    placed = shifted.select(*keys, "doc_length", F.inline(zipped))
-
-    def cut(words: int, letters: int) -> Column:
-        parts = [F.col(f"before{k}") for k in range(words - 1, 0, -1)] + [F.substring("word", 1, letters)]
-        spaced = [p for part in parts for p in (F.lit(" "), part)][1:]
-        # A missing word before makes the whole run null.
-        return F.when(F.length("word") >= letters, F.concat(*spaced))
-
-    # Runs that do not exist are null and find no partner in the join.
-    runs = F.explode(F.array(*[cut(w, n) for w, n in shapes]))
-    return placed.select(*keys, "doc_length", runs.alias("phrase"))
-
-
-def _long_runs(docs: DataFrame, keys: list[str], shapes: list[tuple[int, int]]) -> DataFrame:
-    listed = F.array(*[F.struct(F.lit(w).alias("words"), F.lit(n).alias("letters")) for w, n in shapes])
-    runs = F.flatten(F.transform("tokens", lambda t: _runs(t, listed)))
-    return docs.select(*keys, "doc_length", F.explode(runs).alias("phrase"))
+def completions(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, last, words: the asked prefixes that each term completes.  terms: term;
+    asked: last, words.  Every term is cut to the few lengths that prefixes have, so
+    prefixes and vocabulary meet by equality."""
+    lengths = asked.agg(F.collect_set(F.length("last")).alias("l")).scalar()
+    fitting = F.filter("__l", lambda n: n <= F.length("term"))
+    cut = terms.withColumn("__l", lengths).withColumn("__l", F.explode(fitting))
+    return cut.select("term", F.substr(F.col("term"), F.lit(1), F.col("__l")).alias("last")).join(asked, "last")
 
 
 def phrase_hits(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """query_id, kw_no, keys, doc_length, tf: how often each phrase is in a document.
-    `docs` comes from `tokenized`.
-
-    What comes to the driver is the set of shapes: pairs of small numbers, no
-    more than the lengths that occur."""
-    wanted = wanted.select("query_id", "kw_no", "phrase", "words", "letters")
-    shapes = sorted((r.words, r.letters) for r in wanted.select("words", "letters").distinct().collect())
-    short = [s for s in shapes if s[0] <= SHORT_PHRASE]
-    long = [s for s in shapes if s[0] > SHORT_PHRASE]
-    cut = _short_runs(docs, keys, short or [(1, 1)])
-    if long:
-        cut = cut.unionByName(_long_runs(docs, keys, long))
+    `docs` comes from `tokenized` and should be stored, as it is read twice."""
+    asked = wanted.select("last", "words").distinct()
+    terms = docs.select(F.explode(F.flatten("tokens")).alias("term")).distinct()
+    # Stored, because its size decides how it meets the positions.
+    matching = durable(completions(terms, asked))
+    size = matching.agg(F.sum(F.octet_length("term") + F.octet_length("last") + 32), F.max("words")).first()
+    fields = docs.select(*keys, "doc_length", F.explode("tokens").alias("__w"))
+    placed = fields.select("*", F.posexplode("__w").alias("__pos", "term"))
+    behind = lambda words, many: F.slice(
+        words, F.greatest(F.col("__pos") - many + 2, F.lit(1)), F.least(F.col("__pos"), many - 1))
+    if (size[0] or 0) <= SENT_BYTES:
+        # Positions stay where they are; the words before are taken where the term matches.
+        found = placed.join(F.broadcast(matching), "term").withColumn("__before", behind(F.col("__w"), F.col("words")))
+    else:
+        narrow = placed.withColumn("__w", behind(F.col("__w"), F.lit(size[1])))
+        last_of = F.slice("__w", F.greatest(F.size("__w") - F.col("words") + 2, F.lit(1)), F.col("words") - 1)
+        found = narrow.join(matching, "term").withColumn("__before", last_of)
+    whole = found.filter(F.size("__before") == F.col("words") - 1)
+    phrase = F.when(F.col("words") == 1, F.col("last")).otherwise(F.concat(F.array_join("__before", " "), F.lit(" "), F.col("last")))
+    runs = whole.select(*keys, "doc_length", phrase.alias("phrase"))
     return (
-        cut.join(wanted.select("query_id", "kw_no", "phrase"), "phrase")
+        runs.join(wanted.select("query_id", "kw_no", "phrase"), "phrase")
         .groupBy("query_id", "kw_no", *keys, "doc_length")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -149,6 +105,7 @@ def phrase_hits(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFram
 
 def bm25(docs: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """query_id, keys, score of every document with at least one phrase."""
+    docs = durable(docs)
     hits = phrase_hits(docs, keys, wanted)
     # Asking for tf keeps both uses of the hits alike, so Spark computes them once.
     found_in = hits.groupBy("query_id", "kw_no").agg(F.count_if(F.col("tf") > 0).alias("df"))
@@ -320,7 +277,7 @@ def search_aggregation(
     # The same few (name, type, action) texts recur; each is matched once.
     text = ["name", "normalized_name", "type", "action"]
     texts = entities.select(*text).distinct().withColumn("__type", F.col("type"))
-    docs = tokenized(texts, text, ["name", "__type", "action"])
+    docs = durable(tokenized(texts, text, ["name", "__type", "action"]))
     # Stored, because its size is looked at before it is joined.
     matched = durable(phrase_hits(docs, text, phrases(queries)).select("query_id", *text).distinct())
     hits = entities.select("session_id", *text).join(matched, text)

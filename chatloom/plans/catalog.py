@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import constants as K
+from chatloom.functions import dates
 from chatloom.functions import text as T
 from chatloom.operators import (
     analytics, context, dashboard, extraction, parsing, people, ranges, reads, search, sessions,
     stats, store, vectors,
 )
 from chatloom.operators.ordered import Ordered
-from chatloom.plans.fixtures import Tables
+from chatloom.plans.fixtures import RULES, Tables
 from chatloom.session import spread
 from chatloom.sources import exports
 
@@ -24,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 
 FORMATS = [*K.LINE_PATTERNS, *K.REGIONAL_PATTERNS]
 NOW = 1767225600
+# When the questions are asked: a Thursday, the first of January 1998, at noon.
+ASKED_AT = 883656000
 BUDGET = 256
 EVENT_BUDGET = 40
 CHUNK_BUDGET = 200
@@ -398,25 +401,11 @@ def filtered_messages(t):
 
 # --- search ------------------------------------------------------------------------
 
-@query
-def search_postings(t):
-    return search.postings(t.messages, ["chat_id", "line_number"], ["sender", "content"])
-
-
 @query
 def search_vocabulary(t):
     return search.vocabulary(t.doc_messages, ["line_number"], ["sender", "content"])
 
 
-@query
-def refresh_postings(t):
-    keys = ["chat_id", "line_number"]
-    stored = search.postings(t.messages, keys, ["content"])
-    changed = t.messages.filter("sender = 'user'")
-    updated = changed.withColumn("content", F.concat("content", F.lit(" editado")))
-    return search.refresh_postings(stored, changed, updated, keys, ["content"])
-
-
 @query
 def search_pivots(t):
     return search.factual_pivots(t.queries, t.messages)
@@ -439,6 +428,25 @@ def search_documents(t):
     )
 
 
+def _document_queries(t: Tables) -> DataFrame:
+    """One query per document, of its own words: a phrase of one to four of them, the last
+    one cut short, and a single prefix."""
+    words = spread(t.read("documents")).select("doc_id", T.search_tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    at = (F.col("doc_id") * 7 % F.size("w") + 1).cast("int")
+    phrase = F.slice("w", at, (1 + F.col("doc_id") % 4).cast("int"))
+    cut = F.substring(F.array_join(phrase, " "), 1, 24)
+    return words.filter(F.size("w") > 0).select(
+        F.col("doc_id").cast("string").alias("query_id"), F.array(cut, F.substring(F.element_at("w", 1), 1, 6)).alias("keywords"))
+
+
+@query
+def search_many(t):
+    """As many phrase queries as there are documents, over all messages."""
+    docs = search.tokenized(t.messages, search.MESSAGE_KEY, ["sender", "content"])
+    scored = search.bm25(docs, search.MESSAGE_KEY, search.phrases(_document_queries(t)))
+    return search.top_k(scored, ["query_id"], [F.desc("score"), *search.MESSAGE_KEY], 3)
+
+
 @query
 def search_narrative(t):
     return search.search_narrative(t.queries, t.order_sessions)
@@ -635,19 +643,31 @@ def json_recovery(t):
 
 @query
 def classify_queries(t):
-    return extraction.validated(extraction.classify_queries(t.questions)).withColumn(
+    return extraction.validated(extraction.classify_queries(t.questions, RULES)).withColumn(
         "keywords", F.array_join("keywords", "|")
     )
 
 
 @query
 def expand_keywords(t):
-    asked = extraction.classify_queries(t.questions)
-    return extraction.expand_keywords(asked, extraction.synonym_table(t.spark)).select(
+    asked = extraction.classify_queries(t.questions, RULES)
+    return extraction.expand_keywords(asked, t.synonyms).select(
         "query_id", F.array_join("keywords", "|").alias("keywords")
     )
 
 
+@query
+def question_dates(t):
+    """Each question asked at a time of its own."""
+    now = F.lit(ASKED_AT) - F.col("query_id").cast("long") * 40009
+    return dates.with_date_range(t.questions, F.col("text"), now).select("query_id", "date_from", "date_to")
+
+
+@query
+def ask_questions(t):
+    return context.ask_questions(t.questions, ASKED_AT, RULES, t.synonyms, t.messages, t.order_sessions, t.entities, t.chats)
+
+
 @query
 def extract_sessions(t):
     told = sessions.transcripts(sessions.gap_segments(t.messages))

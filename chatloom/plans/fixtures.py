@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.operators.extraction import QueryRules
 from chatloom.session import pin_utc
 
 # One row per kind of question: intents, the recent mark, an empty keyword list,
@@ -27,6 +28,19 @@ QUERIES = [
 ]
 
 
+# Ways to name a time, and the cues of the questions below.
+DATES = [
+    "ontem", "Anteontem", "hoje", "na semana passada", "no mês passado", "na última semana", "neste ano", "no ano passado",
+    "nos últimos 3 dias", "nos últimos dois meses", "há duas semanas", "5 meses atrás", "na quinta-feira", "no sábado",
+    "no fim de semana", "em março", "em outubro de 1997", "10 de maio de 1997", "29 de fevereiro", "de 01/02 a 05/02", "entre 3/4 e 10/9",
+    "desde segunda", "até domingo", "antes de abril", "depois de 15/08/1996", "em 1996", "1997-02-30", "1997-12-01", "desde junho até ontem", "recentemente",
+]
+RULES = QueryRules(
+    counting=("quantas vezes", "quantos", "ranking"), telling=("aconteceu", "novidades", "resumo"), recent=("recente", "ultimamente"),
+    filler=("o", "a", "que", "de", "em", "no", "na", "nos", "ate", "entre", "e", "quantas", "vezes", "apareceu", "aconteceu", "novidades", "onde", "esta", "recentemente"),
+)
+
+
 def query_values(array: str) -> str:
     """The queries as SQL rows; `array` is the engine's form of a list, with {}."""
     def text(v):
@@ -179,13 +193,21 @@ class Tables:
 
     @cached_property
     def questions(self) -> DataFrame:
-        """A question about each document's source and language."""
+        """A question about each document's source, some of them about a time."""
+        when = ", ".join(f"'{d}'" for d in DATES)
         return self.read("documents").selectExpr(
             "CAST(doc_id AS STRING) AS query_id",
-            """CASE lang WHEN 'en' THEN concat('quantas vezes falaram sobre ', source)
-               WHEN 'fr' THEN 'o que rolou na semana passada?'
-               WHEN 'de' THEN concat('Resumo de ', source, ' ontem')
-               ELSE concat('qual a senha do ', source, ' jogos') END AS text""",
+            f"""CASE lang WHEN 'en' THEN concat('quantas vezes apareceu ', source, ' ', element_at(array({when}), CAST(doc_id % {len(DATES)} + 1 AS INT)))
+               WHEN 'fr' THEN concat('o que aconteceu ', element_at(array({when}), CAST(doc_id % {len(DATES)} + 1 AS INT)), '?')
+               WHEN 'de' THEN concat('Novidades de ', source, ' ring ', element_at(array({when}), CAST(doc_id % {len(DATES)} + 1 AS INT)))
+               ELSE concat('onde está the ', source) END AS text""",
+        )
+
+    @cached_property
+    def synonyms(self) -> DataFrame:
+        """The languages of each source stand for its name."""
+        return self.read("documents").filter("source IS NOT NULL").groupBy(F.lower("source").alias("keyword")).agg(
+            F.sort_array(F.collect_set("lang")).alias("synonyms")
         )
 
     @cached_property

@@ -7,7 +7,7 @@ from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators import analytics, extraction
 from chatloom.plans import catalog as C
-from chatloom.plans.fixtures import query_values
+from chatloom.plans.fixtures import DATES, query_values
 
 ORACLES: dict[str, str] = {}
 
@@ -124,11 +124,12 @@ VIEWS: dict[str, str] = {
             FROM decisions x JOIN pending q ON q.id = x.mention_id
             WHERE x.action IN ('create_new', 'ignore') OR x.person_id IS NOT NULL) d
         ON d.k = lower(trim(p.alias))""",
-    "questions": """SELECT CAST(doc_id AS VARCHAR) AS query_id,
-        CASE lang WHEN 'en' THEN 'quantas vezes falaram sobre ' || source
-             WHEN 'fr' THEN 'o que rolou na semana passada?'
-             WHEN 'de' THEN 'Resumo de ' || source || ' ontem'
-             ELSE 'qual a senha do ' || source || ' jogos' END AS text FROM documents""",
+    "questions": f"""SELECT CAST(doc_id AS VARCHAR) AS query_id,
+        CASE lang WHEN 'en' THEN 'quantas vezes apareceu ' || source || ' ' || said
+             WHEN 'fr' THEN 'o que aconteceu ' || said || '?'
+             WHEN 'de' THEN 'Novidades de ' || source || ' ring ' || said
+             ELSE 'onde está the ' || source END AS text
+        FROM (SELECT *, [{', '.join(lit(d) for d in DATES)}][doc_id % {len(DATES)} + 1] AS said FROM documents)""",
     "queries": query_values("[{}]").replace("AS STRING", "AS VARCHAR"),
     "gap_rows": """SELECT *, sum(cut) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS seg FROM (
         SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY chat_id ORDER BY timestamp, line_number)
@@ -502,25 +503,12 @@ def _posted(source: str, keys: str, fields: list[str]) -> str:
     return " UNION ALL ".join(one(i, f) for i, f in enumerate(fields))
 
 
-oracle(
-    "search_postings",
-    f"SELECT chat_id, line_number, field, CAST(pos AS INTEGER) AS pos, term FROM ({_posted('messages', 'chat_id, line_number', ['sender', 'content'])})",
-    "messages",
-)
 oracle(
     "search_vocabulary",
     f"""SELECT term, count(DISTINCT line_number) AS doc_count, count(*) AS occurrences
         FROM ({_posted('doc_messages', 'line_number', ['sender', 'content'])}) GROUP BY term""",
     "doc_messages",
 )
-oracle(
-    "refresh_postings",
-    f"""SELECT chat_id, line_number, field, CAST(pos AS INTEGER) AS pos, term FROM ({_posted(
-        "(SELECT chat_id, line_number, CASE WHEN sender = 'user' THEN content || ' editado' ELSE content END AS content FROM messages)",
-        'chat_id, line_number', ['content'])})""",
-    "messages",
-)
-
 
 def _matching(source: str, keys: str, fields: list[str], queries: str = "queries", drop: str = K.KEYWORD_DROP) -> dict[str, str]:
     """Phrases, word positions, hits per phrase and document, and BM25 scores."""
@@ -583,6 +571,34 @@ oracle(
     "search_documents", _top("scores", "score DESC, line_number", 10), "doc_messages", "queries",
     extra=_matching("doc_messages", "line_number", ["content"]),
 )
+# As many queries as documents: words of every document, then positions joined word by word.
+_MANY = {
+    "doc_words": f"SELECT doc_id, {terms('text')} AS w FROM documents WHERE len({terms('text')}) > 0",
+    "asked": """SELECT CAST(doc_id AS VARCHAR) AS query_id, kw_no, kw FROM (
+        SELECT doc_id, unnest([0, 1]) AS kw_no, unnest([
+          substr(array_to_string(w[doc_id * 7 % len(w) + 1 : doc_id * 7 % len(w) + 1 + doc_id % 4], ' '), 1, 24), substr(w[1], 1, 6)]) AS kw
+        FROM doc_words)""",
+    "phrases": f"SELECT query_id, kw_no, {terms('kw')} AS w FROM asked",
+    "posted": _posted("messages", _KEY, ["sender", "content"]),
+    "sized": f"SELECT {_KEY}, len({terms('sender')}) + len({terms('content')}) AS dl FROM messages",
+    "totals": "SELECT count(*) AS n, sum(dl) AS words FROM sized",
+    "vocabulary": "SELECT DISTINCT term FROM posted",
+    "lasts": "SELECT DISTINCT w[-1] AS last FROM phrases",
+    "completing": """SELECT l.last, v.term FROM lasts l JOIN (
+        SELECT term, unnest(range(1, length(term) + 1)) AS k FROM vocabulary) v ON substr(v.term, 1, v.k) = l.last AND v.k = length(l.last)""",
+    "ended": "SELECT f.query_id, f.kw_no, f.w, p.* FROM phrases f JOIN completing c ON c.last = f.w[-1] JOIN posted p ON p.term = c.term",
+    **{f"step{i}": f"""SELECT e.* FROM {'ended' if i == 1 else f'step{i - 1}'} e LEFT JOIN posted b
+        ON len(e.w) > {i} AND b.term = e.w[-{i + 1}] AND b.field = e.field AND b.pos = e.pos - {i}
+        AND b.chat_id = e.chat_id AND b.timestamp = e.timestamp AND b.line_number = e.line_number
+        WHERE len(e.w) <= {i} OR b.term IS NOT NULL""" for i in (1, 2, 3)},
+    "hits": f"SELECT query_id, kw_no, {_KEY}, count(*) AS tf FROM step3 GROUP BY query_id, kw_no, {_KEY}",
+    "found": "SELECT query_id, kw_no, count(*) AS df FROM hits GROUP BY query_id, kw_no",
+    "scores": f"""SELECT query_id, {_KEY}, round(sum(s), 12) AS score FROM (
+        SELECT h.query_id, h.chat_id, h.timestamp, h.line_number, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5)))
+          * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / words))) AS s
+        FROM hits h JOIN found f USING (query_id, kw_no) JOIN sized z USING ({_KEY}), totals) GROUP BY query_id, {_KEY}""",
+}
+oracle("search_many", _top("scores", f"score DESC, {_KEY}", 3), "messages", extra=_MANY)
 _DATED = """(coalesce(q.date_from, 0) = 0 OR s.start_time >= q.date_from)
     AND (coalesce(q.date_to, 0) = 0 OR s.end_time <= q.date_to)"""
 _TOLD = {"told": "SELECT * FROM queries WHERE NOT list_contains(keywords, '#RECENT#')"}
@@ -849,22 +865,96 @@ oracle(
        CASE WHEN lang IN ('en', 'fr', 'de') THEN source ELSE 'Sessão extraída via fallback de erro' END AS summary,
        CAST(0 AS BIGINT) AS entities FROM documents""",
 )
-_CLASSIFIED = f"""SELECT query_id, text,
-    CASE WHEN regexp_matches(lower(text), '{'|'.join(K.AGGREGATION_CUES)}') THEN 'aggregation'
-         WHEN regexp_matches(lower(text), '{'|'.join(K.NARRATIVE_CUES)}') THEN 'narrative' ELSE 'factual' END AS intent,
-    list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains([{', '.join(lit(w) for w in K.QUERY_FILLER)}], w)) AS ks
-    FROM questions"""
-_WITH_RECENT = """SELECT query_id, text, intent, CASE WHEN intent = 'narrative' AND len(ks) = 0
-    AND regexp_matches(lower(text), 'ontem|semana passada|recente') THEN ['#RECENT#'] ELSE ks END AS ks FROM classified"""
+_MONTHS = "janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
+_DAYS = "segunda|terca|quarta|quinta|sexta|sabado|domingo"
+_SOME = "([0-9]{1,3}|uma|duas|um|dois|tres|quatro|cinco|seis|sete|oito|nove|dez) (dias?|semanas?|mes|meses|anos?)"
+_SAID = (
+    r"\b((desde|ate|antes de|antes do|antes da|depois de|depois do|depois da|apos) ((o|a|os|as) )?(dia )?)?("
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}(/[0-9]{4})?|[0-9]{1,2} de (" + _MONTHS + r")( de [0-9]{4})?|(" + _MONTHS
+    + r")( de [0-9]{4})?|anteontem|ontem|hoje|(semana|mes|ano) passad[oa]|ultim[oa] (semana|mes|ano)|(nest|ness|est|ess)[ea] (semana|mes|ano)"
+    r"|fim de semana|ultim[oa]s " + _SOME + "|ha " + _SOME + "|" + _SOME + " atras|(" + _DAYS + r")(-feira| feira)?|em (19|20)[0-9]{2})\b"
+)
+_FOLDED = fold("text")
+_CORE = r"regexp_replace(m, '^(desde|ate|antes de|antes do|antes da|depois de|depois do|depois da|apos) ((o|a|os|as) )?(dia )?', '')"
+# Every mention as a row, then its first and last day, then the bounds of a question.
+_DATE_STEPS = {
+    "said": f"""SELECT query_id, CAST(make_timestamp(moment * 1000000) AS DATE) AS today, unnest(regexp_extract_all({_FOLDED}, {lit(_SAID)})) AS m FROM asked_at""",
+    "cored": f"SELECT *, {_CORE} AS c FROM said",
+    "numbered": f"""SELECT *, regexp_extract(c, '{_SOME}', 1) AS n_text, regexp_extract(c, '{_SOME}', 2) AS unit,
+        list_position(['um', 'dois', 'tres', 'quatro', 'cinco', 'seis', 'sete', 'oito', 'nove', 'dez'],
+          replace(replace(regexp_extract(c, '{_SOME}', 1), 'uma', 'um'), 'duas', 'dois')) AS n_word,
+        list_position(string_split('{_MONTHS}', '|'), regexp_extract(c, '({_MONTHS})', 1)) AS month,
+        list_position(string_split('{_DAYS}', '|'), regexp_extract(c, '^({_DAYS})', 1)) AS weekday,
+        regexp_extract(c, ' de ([0-9]{{4}})$', 1) AS named_year, regexp_extract(c, '(semana|mes|ano)', 1) AS period FROM cored""",
+    "counted_dates": """SELECT *, CASE WHEN unit IS NULL OR unit = '' THEN NULL ELSE CASE
+          WHEN starts_with(unit, 'dia') THEN today - CAST(n AS INTEGER)
+          WHEN starts_with(unit, 'semana') THEN today - CAST(7 * n AS INTEGER)
+          WHEN starts_with(unit, 'mes') THEN CAST(today - to_months(CAST(n AS INTEGER)) AS DATE)
+          ELSE CAST(today - to_months(CAST(12 * n AS INTEGER)) AS DATE) END END AS back,
+        CAST(date_trunc(CASE period WHEN 'semana' THEN 'week' WHEN 'mes' THEN 'month' ELSE 'year' END, today) AS DATE) AS opening
+        FROM (SELECT *, coalesce(try_cast(n_text AS INTEGER), n_word, 0) AS n FROM numbered)""",
+    "placed_dates": """SELECT query_id, m, CASE
+        WHEN regexp_full_match(c, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN {'a': try_cast(c AS DATE), 'b': try_cast(c AS DATE)}
+        WHEN regexp_full_match(c, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') THEN {'a': try_strptime(c, '%d/%m/%Y')::DATE, 'b': try_strptime(c, '%d/%m/%Y')::DATE}
+        WHEN regexp_full_match(c, '[0-9]{1,2}/[0-9]{1,2}') THEN (CASE WHEN try_strptime(c || '/' || year(today), '%d/%m/%Y')::DATE > today
+          THEN {'a': try_strptime(c || '/' || (year(today) - 1), '%d/%m/%Y')::DATE, 'b': try_strptime(c || '/' || (year(today) - 1), '%d/%m/%Y')::DATE}
+          ELSE {'a': try_strptime(c || '/' || year(today), '%d/%m/%Y')::DATE, 'b': try_strptime(c || '/' || year(today), '%d/%m/%Y')::DATE} END)
+        WHEN regexp_matches(c, '^[0-9]{1,2} de ') THEN (SELECT {'a': d, 'b': d} FROM (SELECT CASE WHEN named_year <> '' THEN
+            try_strptime(split_part(c, ' ', 1) || '/' || month || '/' || named_year, '%d/%m/%Y')::DATE
+          WHEN try_strptime(split_part(c, ' ', 1) || '/' || month || '/' || year(today), '%d/%m/%Y')::DATE > today
+          THEN try_strptime(split_part(c, ' ', 1) || '/' || month || '/' || (year(today) - 1), '%d/%m/%Y')::DATE
+          ELSE try_strptime(split_part(c, ' ', 1) || '/' || month || '/' || year(today), '%d/%m/%Y')::DATE END AS d))
+        WHEN month > 0 THEN (SELECT {'a': d, 'b': last_day(d)} FROM (SELECT CASE WHEN named_year <> '' THEN make_date(CAST(named_year AS BIGINT), month, 1)
+          WHEN month > month(today) THEN make_date(year(today) - 1, month, 1) ELSE make_date(year(today), month, 1) END AS d))
+        WHEN c = 'anteontem' THEN {'a': today - 2, 'b': today - 2} WHEN c = 'ontem' THEN {'a': today - 1, 'b': today - 1}
+        WHEN c = 'hoje' THEN {'a': today, 'b': today}
+        WHEN c = 'fim de semana' THEN {'a': today - CAST(isodow(today) + 1 AS INTEGER), 'b': today - CAST(isodow(today) AS INTEGER)}
+        WHEN regexp_matches(c, '^ultim[oa]s ') THEN {'a': back, 'b': today}
+        WHEN back IS NOT NULL THEN {'a': back, 'b': back}
+        WHEN regexp_matches(c, 'passad|^ultim') THEN {'a': CAST(opening - CASE period WHEN 'semana' THEN INTERVAL 7 DAY WHEN 'mes' THEN INTERVAL 1 MONTH
+          ELSE INTERVAL 1 YEAR END AS DATE), 'b': opening - 1}
+        WHEN period <> '' THEN {'a': opening, 'b': today}
+        WHEN weekday > 0 THEN {'a': today - CAST((isodow(today) - weekday - 1 + 7) % 7 + 1 AS INTEGER), 'b': today - CAST((isodow(today) - weekday - 1 + 7) % 7 + 1 AS INTEGER)}
+        WHEN regexp_matches(c, '^em [0-9]{4}$') THEN {'a': make_date(CAST(right(c, 4) AS BIGINT), 1, 1), 'b': make_date(CAST(right(c, 4) AS BIGINT), 12, 31)}
+        END AS s FROM counted_dates""",
+    "bounded_dates": """SELECT query_id,
+        min(CASE WHEN regexp_matches(m, '^(ate|antes) ') THEN NULL WHEN regexp_matches(m, '^(depois|apos) ') THEN s.b + 1 ELSE s.a END) AS a,
+        max(CASE WHEN regexp_matches(m, '^(desde|depois|apos) ') THEN NULL WHEN starts_with(m, 'antes ') THEN s.a - 1 ELSE s.b END) AS b
+        FROM placed_dates WHERE s.a IS NOT NULL GROUP BY query_id""",
+    "question_ranges": """SELECT q.query_id, coalesce(CAST(epoch(a) AS BIGINT), 0) AS date_from, coalesce(CAST(epoch(b) AS BIGINT) + 86399, 0) AS date_to
+        FROM asked_at q LEFT JOIN bounded_dates USING (query_id)""",
+}
+oracle(
+    "question_dates", "SELECT * FROM question_ranges", "questions",
+    extra={"asked_at": "SELECT query_id, text, 883656000 - CAST(query_id AS BIGINT) * 40009 AS moment FROM questions", **_DATE_STEPS},
+)
+
+
+def _classified(rows: str) -> str:
+    """Intent and keywords by the cues of the questions, written out once more."""
+    return f"""SELECT query_id, text, intent, CASE WHEN intent = 'narrative' AND len(ks) = 0
+        AND (regexp_matches({_FOLDED}, {lit(_SAID)}) OR regexp_matches({_FOLDED}, 'recente|ultimamente')) THEN ['#RECENT#'] ELSE ks END AS ks FROM (
+      SELECT query_id, text, CASE WHEN regexp_matches({_FOLDED}, 'quantas vezes|quantos|ranking') THEN 'aggregation'
+          WHEN regexp_matches({_FOLDED}, 'aconteceu|novidades|resumo') THEN 'narrative' ELSE 'factual' END AS intent,
+        list_filter(regexp_extract_all(regexp_replace({_FOLDED}, {lit(_SAID)}, ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains(
+          ['o', 'a', 'que', 'de', 'em', 'no', 'na', 'nos', 'ate', 'entre', 'e', 'quantas', 'vezes', 'apareceu', 'aconteceu', 'novidades', 'onde', 'esta', 'recentemente'], w)) AS ks
+      FROM {rows})"""
+
+
+_SYNONYMS = "SELECT lower(source) AS keyword, list(DISTINCT lang ORDER BY lang) AS more FROM documents WHERE source IS NOT NULL GROUP BY lower(source)"
+_EXPANDED = """SELECT c.query_id, list(w ORDER BY place) AS keywords FROM classified c LEFT JOIN (
+    SELECT query_id, w, min(place) AS place FROM (
+      SELECT query_id, unnest(ks) AS w, unnest(range(0, len(ks))) AS place FROM classified
+      UNION ALL SELECT k.query_id, unnest(s.more), 100 + k.place * 100 + unnest(range(0, len(s.more))) FROM (
+        SELECT query_id, unnest(ks) AS w, unnest(range(0, len(ks))) AS place FROM classified) k JOIN synonyms s ON s.keyword = k.w)
+    GROUP BY query_id, w) x ON x.query_id = c.query_id GROUP BY c.query_id"""
 oracle(
-    "classify_queries", f"SELECT query_id, text, intent, array_to_string(ks, '|') AS keywords FROM ({_WITH_RECENT})",
-    "questions", extra={"classified": _CLASSIFIED},
+    "classify_queries", "SELECT query_id, text, intent, array_to_string(ks, '|') AS keywords FROM classified",
+    "questions", extra={"classified": _classified("questions")},
 )
 oracle(
-    "expand_keywords",
-    f"""SELECT query_id, array_to_string(CASE WHEN list_contains(ks, 'jogos') THEN list_concat(ks, ['game', 'videogame', 'play'])
-        ELSE ks END, '|') AS keywords FROM ({_WITH_RECENT})""",
-    "questions", extra={"classified": _CLASSIFIED},
+    "expand_keywords", "SELECT query_id, coalesce(array_to_string(list_filter(keywords, lambda w: w IS NOT NULL), '|'), '') AS keywords FROM expanded",
+    "questions", extra={"classified": _classified("questions"), "synonyms": _SYNONYMS, "expanded": _EXPANDED},
 )
 
 
@@ -1085,6 +1175,26 @@ oracle(
         FROM results r JOIN queries q ON q.query_id = r.query_id GROUP BY r.query_id""",
     *_ROUTED_VIEWS, extra=_routed_parts(False),
 )
+_ASKED = {
+    "texts_asked": "SELECT DISTINCT sha256(text) AS query_id, text FROM questions",
+    "asked_at": "SELECT query_id, text, CAST(883656000 AS BIGINT) AS moment FROM texts_asked", **_DATE_STEPS,
+    "classified": _classified("texts_asked"), "synonyms": _SYNONYMS, "expanded": _EXPANDED,
+    "queries": """SELECT c.query_id, c.text, c.intent, list_filter(coalesce(x.keywords, []), lambda w: w IS NOT NULL) AS keywords,
+        r.date_from, r.date_to, CAST(NULL AS VARCHAR) AS chat_id
+        FROM classified c JOIN expanded x USING (query_id) JOIN question_ranges r USING (query_id)""",
+    **_routed_parts(True),
+}
+oracle(
+    "ask_questions",
+    f"""SELECT w.query_id, q.intent, q.date_from, q.date_to, coalesce(p.results, 0) AS results, p.system_prompt, p.user_prompt FROM questions w
+        JOIN queries q ON q.text = w.text LEFT JOIN (
+          SELECT r.query_id, count(*) AS results, {lit(K.SYSTEM_PROMPT)} || CASE WHEN min(start_time) IS NOT NULL THEN {lit(_RULE_HEAD)} || {day('min(start_time)')}
+              || {lit(_RULE_MIDDLE)} || {day('max(start_time)')} || {lit(_RULE_TAIL)} ELSE '' END AS system_prompt,
+            {lit(K.USER_PROMPT_HEAD)} || string_agg('[' || {_DATED_TEXT} || ' - ' || sender || ']: ' || content, chr(10) || chr(10) ORDER BY rank)
+              || {lit(K.USER_PROMPT_QUESTION)} || any_value(q.text) || {lit(K.USER_PROMPT_TAIL)} AS user_prompt
+          FROM results r JOIN queries q ON q.query_id = r.query_id GROUP BY r.query_id) p ON p.query_id = q.query_id""",
+    "messages", "chats", "entities", "order_sessions", "questions", extra=_ASKED,
+)
 oracle(
     "fixed_answers",
     f"SELECT query_id, {lit(K.NO_CONTEXT_ANSWER)} AS answer FROM queries WHERE query_id NOT IN (SELECT query_id FROM results)",

@@ -35,17 +35,28 @@ def test_batches_are_padded_and_cut(spark):
     assert got == {"s1": "a", "s2": K.EXTRACTED_SUMMARY, "s3": K.PADDED_SUMMARY, "s4": "a", "s5": K.FAILED_SUMMARY}
 
 
+RULES = E.QueryRules(
+    counting=("quantas vezes", "mais citad"), telling=("o que rolou", "falaram sobre"), recent=("recente",),
+    filler=tuple("quais mais citados na conversa o que falaram sobre rolou qual a senha do foi".split()),
+)
+
+
 def test_classification_examples(spark):
-    texts = ["quais jogos mais citados na conversa", "o que falaram sobre o projeto delta ontem?", "o que rolou na semana passada?", "qual a senha do wifi"]
+    texts = ["quais jogos mais citados na conversa", "o que falaram sobre o projeto delta ontem?", "o que rolou na semana passada?",
+             "qual a SENHA do wifi", "O que rolou de mais recente", "o que rolou", None]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string")
-    got = [(r.intent, r.keywords) for r in E.classify_queries(df).orderBy("query_id").collect()]
-    assert got == [("aggregation", ["jogos"]), ("narrative", ["projeto", "delta"]), ("narrative", ["#RECENT#"]), ("factual", ["senha", "wifi"])]
+    got = [(r.intent, r.keywords) for r in E.classify_queries(df, RULES).orderBy("query_id").collect()]
+    assert got == [("aggregation", ["jogos"]), ("narrative", ["projeto", "delta"]), ("narrative", ["#RECENT#"]), ("factual", ["wifi"]),
+                   ("narrative", ["de", "recente"]), ("narrative", []), ("factual", [])]
+    none = [(r.intent, r.keywords) for r in E.classify_queries(df.limit(1), E.QueryRules()).collect()]
+    assert none == [("factual", ["quais", "jogos", "mais", "citados", "na", "conversa"])]
 
 
 def test_expand_keywords(spark):
     df = spark.createDataFrame([("q", ["jogos", "x"]), ("r", ["x"])], "query_id string, keywords array<string>")
-    got = {r.query_id: r.keywords for r in E.expand_keywords(df, E.synonym_table(spark)).collect()}
-    assert got == {"q": ["jogos", "x", "game", "videogame", "play"], "r": ["x"]}
+    known = spark.createDataFrame([("jogos", ["game", "x", "play"]), ("other", ["y"])], "keyword string, synonyms array<string>")
+    got = {r.query_id: r.keywords for r in E.expand_keywords(df, known).collect()}
+    assert got == {"q": ["jogos", "x", "game", "play"], "r": ["x"]}
 
 
 def test_entity_defaults(spark):
