@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -674,6 +676,38 @@ def extract_sessions(t):
     return extraction.extract_sessions(told, stub_model).select("session_id", "summary", "status", "attempts")
 
 
+def moody_model(prompts: list[str]) -> list[str]:
+    """Stand-in that tells people, and by the transcript's hash raises once, answers without
+    JSON three times or always, hangs once or always."""
+    out = []
+    for p in prompts:
+        told, _, notes = p.removeprefix(extraction.SESSION_TASK).partition(extraction.NOTE)
+        failures = p.count(extraction.NOTE)
+        mark = hashlib.md5(told.encode()).hexdigest()
+        if mark[0] == "0" and not failures:
+            raise ValueError("no connection")
+        if mark.startswith("40") or (mark.startswith("20") and not failures):
+            time.sleep(30)
+        if mark[0] == "3" or (mark[0] == "1" and failures < 3):
+            out.append("I cannot do that")
+            continue
+        person = {"name": f"Pessoa {mark[1:3]}", "type": "person", "context": mark[:4], "is_participant": mark[0] == "5"}
+        out.append(json.dumps({"summary": f"len {len(told)}", "mentioned_entities": [person] * (1 + int(mark[3] == "7"))}))
+    return out
+
+
+def _moody_results(t: Tables) -> DataFrame:
+    told = sessions.transcripts(sessions.gap_segments(t.messages))
+    return extraction.extract_until_settled(told, moody_model, rounds=2, most=4, deadline=3.0, width=16)
+
+
+@query
+def extraction_queue(t):
+    """Every session until it is answered or given up."""
+    return _moody_results(t).select(
+        "session_id", "summary", F.size("mentioned_entities").cast("long").alias("entities"), "attempts", "status", F.col("pass").alias("pass_no"))
+
+
 @query
 def batch_extract(t):
     told = sessions.transcripts(sessions.gap_segments(t.messages))

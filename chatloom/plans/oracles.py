@@ -977,6 +977,23 @@ oracle(
         CAST(CASE WHEN text_count < 3 THEN 0 ELSE 1 END AS INTEGER) AS attempts FROM ({_gap_transcripts()})""",
     "gap_rows",
 )
+# By the transcript's hash: raises once, no JSON three times or always, hangs once or always.
+_MOODY = f"""SELECT *, md5(transcript) AS mark, CASE WHEN text_count < 3 THEN 'trivial' WHEN md5(transcript) LIKE '0%' THEN 'raises'
+    WHEN md5(transcript) LIKE '1%' THEN 'late' WHEN md5(transcript) LIKE '20%' THEN 'hangs' WHEN md5(transcript) LIKE '3%' THEN 'never'
+    WHEN md5(transcript) LIKE '40%' THEN 'stuck' ELSE 'good' END AS mood FROM ({_gap_transcripts()})"""
+oracle(
+    "extraction_queue",
+    """SELECT session_id, CASE WHEN text_count = 0 THEN 'Sessão sem mensagens de texto.'
+          WHEN mood = 'trivial' THEN 'Sessão breve com ' || message_count || ' mensagens.'
+          WHEN mood = 'never' THEN 'Sessão extraída via fallback de erro' WHEN mood = 'stuck' THEN 'Sessão extraída via fallback de timeout'
+          ELSE 'len ' || length(transcript) END AS summary,
+        CAST(CASE WHEN mood IN ('trivial', 'never', 'stuck') THEN 0 WHEN mark[4] = '7' THEN 2 ELSE 1 END AS BIGINT) AS entities,
+        CAST(CASE mood WHEN 'trivial' THEN 0 WHEN 'good' THEN 1 WHEN 'raises' THEN 2 WHEN 'hangs' THEN 2 ELSE 4 END AS INTEGER) AS attempts,
+        CASE mood WHEN 'trivial' THEN 'trivial' WHEN 'never' THEN 'failed' WHEN 'stuck' THEN 'timeout' ELSE 'ok' END AS status,
+        CAST(CASE mood WHEN 'trivial' THEN 0 WHEN 'good' THEN 1 WHEN 'raises' THEN 1 WHEN 'stuck' THEN 4 ELSE 2 END AS INTEGER) AS pass_no
+      FROM moody""",
+    "gap_rows", extra={"moody": _MOODY},
+)
 oracle(
     "batch_extract",
     f"""SELECT session_id, CASE WHEN n = 1 THEN 'len ' || CAST({_TASKS['batch']} +

@@ -198,3 +198,26 @@ def knowledge_stream(
         arriving.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
+
+
+def extraction_stream(
+    prompts: DataFrame, model, tables: str, checkpoint: str, rounds: int = 2, most: int = 6,
+    deadline: float | None = None, width: int = 4, every: str | None = None,
+):
+    """Results of arriving prompts (session_id, prompt).  What fails or hangs waits under
+    `tables`/extraction_queue and is asked again with the next batch; each batch reads only
+    the queue that the batch before left, so a batch's cost does not grow with history."""
+    def handle(batch: DataFrame, number: int) -> None:
+        folder = f"{tables}/extraction_queue"
+        waiting = None
+        if number:
+            waiting = batch.sparkSession.read.schema(extraction.QUEUE).parquet(f"{folder}/batch={number - 1}")
+        settled, rest = extraction.extraction_pass(batch, waiting, model, rounds, most, deadline, width)
+        _write(settled, f"{tables}/extracted", number)
+        _write(rest, folder, number)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        prompts.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
