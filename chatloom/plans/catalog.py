@@ -21,6 +21,7 @@ from chatloom.operators.ordered import Ordered
 from chatloom.plans.fixtures import RULES, Tables
 from chatloom.session import spread
 from chatloom.sources import exports
+from chatloom.streaming.catalog import work_folder
 
 Query = Callable[[Tables], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +99,23 @@ def read_lines(t):
     return exports.split_lines(t.read("documents"), "doc_id", "text")
 
 
+@query
+def export_files(t):
+    """All chats written as files and read back from them."""
+    folder = work_folder(t.spark)
+    exports.write_exports(t.messages, folder, "android_es")
+    return exports.read_exports(t.spark, folder, regional=True).select("chat_id", "sender", "content", "timestamp", "type", "line_number")
+
+
+@query
+def file_lines(t):
+    """Lines of all export files, by the chat that their folder names."""
+    folder = work_folder(t.spark)
+    exports.write_exports(t.messages, folder)
+    return exports.read_lines(t.spark, folder).groupBy(exports.chat_of(F.col("file")).alias("chat_id")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("letters"))
+
+
 @query
 def detect_formats(t):
     rows = [_export_lines(t, f).withColumn("file", F.concat(F.lit(f + ":"), "file")) for f in FORMATS]

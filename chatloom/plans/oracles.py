@@ -172,6 +172,28 @@ for _fmt in C.FORMATS:
         "messages",
     )
 
+_PER_MINUTE = f"SELECT *, timestamp // 60 * 60 AS minute, {message_type('content', 'sender')} AS kind FROM messages"
+oracle(
+    "export_files",
+    """SELECT chat_id, sender, content, minute AS timestamp, kind AS type,
+        row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS line_number FROM timed""",
+    "messages", extra={"timed": _PER_MINUTE},
+)
+oracle(
+    "file_lines",
+    r"""SELECT chat_id, sum(len(parts)) :: BIGINT AS lines, sum(list_sum([length(p) FOR p IN parts])) :: BIGINT AS letters FROM (
+        SELECT chat_id, string_split(strftime(make_timestamp(timestamp * 1000000), '%d/%m/%Y %H:%M') || ' - ' || sender || ': ' || content, chr(10)) AS parts
+        FROM messages) GROUP BY chat_id""",
+    "messages",
+)
+oracle(
+    "stream_import",
+    """SELECT chat_id AS name, CAST(count(DISTINCT sender) AS INTEGER) AS participant_count, CAST(count(*) AS INTEGER) AS message_count,
+        min(minute) AS first_message_at, max(minute) AS last_message_at, count(DISTINCT (minute, sender, content)) AS stored
+        FROM timed GROUP BY chat_id""",
+    "messages", extra={"timed": _PER_MINUTE},
+)
+
 _DOC_LINES = {
     "doc_lines": r"""SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_number, unnest(parts) AS line FROM (
         SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') AS parts

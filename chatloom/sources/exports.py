@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
+from chatloom.operators import parsing
 from chatloom.operators.ordered import Ordered
 from chatloom.session import spread
 
@@ -19,7 +20,7 @@ LINE_BREAK = "\r\n|\n|\r"
 WHOLE_FILE_BYTES = 128 * 1024 * 1024
 
 
-def read_lines(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Lines of text files with 1-based numbers: file, block, split, line_number, line.
 
     A file of ordinary size is numbered as one group.  A larger one (`split`) is
@@ -131,13 +132,34 @@ def render_lines(messages: DataFrame, fmt: str) -> DataFrame:
     )
 
 
-def write_exports(messages: DataFrame, path: str, fmt: str = "android_br") -> None:
-    """One folder per chat; files inside are ordered by time.  Range
-    partitioning spreads a huge chat over several files."""
+FOLDER = "chat_id="
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def chat_of(file: Column) -> Column:
+    """The chat that a file belongs to: the one its folder names, as `write_exports` lays
+    files out, else its own base name."""
+    plus = lambda c: F.replace(c, F.lit("+"), F.lit("%2B"))
+    folder = F.regexp_extract(F.url_decode(plus(file)), FOLDER + "([^/]*)/[^/]*$", 1)
+    # A folder's name is escaped once more than its path.
+    return F.when(folder == NO_NAME, F.lit(None)).when(folder != "", F.url_decode(plus(folder))).otherwise(T.chat_name(file))
+
+
+def read_exports(spark: SparkSession, path: str, regional: bool = False) -> DataFrame:
+    """Messages of written exports, numbered inside their chat.  All files of a chat's folder
+    are that chat, in the order of their names, which is the order of time."""
+    messages = parsing.parse_lines(read_lines(spark, path), regional).withColumnsRenamed({"chat_id": "__file", "line_number": "__line"})
+    named = messages.withColumn("chat_id", chat_of(F.col("__file")))
+    return Ordered.over(named, ["chat_id"], ["__file", "__line"]).row_number("line_number").result().drop("__file", "__line")
+
+
+def write_exports(messages: DataFrame, path: str, fmt: str = "android_br", split: bool = True) -> None:
+    """One folder per chat; files inside are ordered by time.  Range partitioning spreads a
+    huge chat over several files; without `split` every chat is one file."""
     lines = render_lines(messages, fmt)
+    dealt = lines.repartitionByRange("chat_id", "timestamp", "line_number") if split else lines.repartition("chat_id")
     (
-        lines.repartitionByRange("chat_id", "timestamp", "line_number")
-        .sortWithinPartitions("chat_id", "timestamp", "line_number")
+        dealt.sortWithinPartitions("chat_id", "timestamp", "line_number")
         .select("chat_id", "text")
         .write.partitionBy("chat_id").mode("overwrite").text(path)
     )

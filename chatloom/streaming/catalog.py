@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.plans.fixtures import Tables
+from chatloom.sources import exports
 from chatloom.streaming import jobs
 
 
@@ -115,14 +116,26 @@ def stream_knowledge(t: Tables) -> DataFrame:
         "o_orderpriority AS context", "o_orderstatus = 'F' AS processed",
     )
     jobs.knowledge_stream(arriving, t.order_sessions, stub_model, f"{folder}/tables", f"{folder}/state").awaitTermination()
+    jobs.tag_stream(t.spark, f"{folder}/tables", f"{folder}/tag-state").awaitTermination()
     tags = t.spark.read.parquet(f"{folder}/tables/person_tags")
     return tags.select("person_id", "tag", "source")
 
 
+def stream_import(t: Tables) -> DataFrame:
+    """All chats as files, each of them twice, in two rounds of arrival."""
+    folder = work_folder(t.spark)
+    for place, chosen in (("a", "CAST(chat_id AS LONG) % 2 = 0"), ("b", "CAST(chat_id AS LONG) % 3 > 0"), ("c", "true")):
+        exports.write_exports(t.messages.filter(chosen), f"{folder}/in/{place}", split=False)
+        jobs.import_stream(t.spark, f"{folder}/in", f"{folder}/tables", f"{folder}/state").awaitTermination()
+    chats = t.spark.read.parquet(f"{folder}/tables/chats")
+    stored = t.spark.read.parquet(f"{folder}/tables/messages").groupBy(F.col("chat_id").alias("id")).agg(F.count(F.lit(1)).alias("stored"))
+    return chats.join(stored, "id").select("name", "participant_count", "message_count", "first_message_at", "last_message_at", "stored")
+
+
 STREAM_QUERIES = {
     f.__name__: f
     for f in [
         stream_gap_sessions, stream_budget_sessions, stream_window_counts, stream_sliding_counts,
-        stream_distinct_messages, stream_pending_feed, stream_knowledge,
+        stream_distinct_messages, stream_pending_feed, stream_knowledge, stream_import,
     ]
 }

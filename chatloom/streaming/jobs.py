@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 import pandas as pd
@@ -13,20 +14,11 @@ from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators import extraction, parsing, people, store
 from chatloom.session import durable
-from chatloom.sources.exports import split_lines
+from chatloom.sources.exports import chat_of, read_lines
 
 DELAY = "1 hour"
 FILE = "path string, modificationTime timestamp, length long, content binary"
-
-
-def _table(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
-    """Rows earlier batches wrote.  A batch that is run again does not see itself."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch") < before_batch)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+MESSAGES = "chat_id string, sender string, content string, timestamp long, type string, line_number long"
 
 
 def _write(df: DataFrame, path: str, batch: int) -> None:
@@ -34,29 +26,51 @@ def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def import_stream(spark: SparkSession, incoming: str, tables: str, checkpoint: str):
-    """New export files into chats and messages under `tables`.  Files whose hash
-    is known are skipped; messages already stored are ignored."""
-    files = spark.readStream.format("binaryFile").schema(FILE).load(incoming)
+def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of a stream's rows the first of every key, ever: what was seen is kept as state per
+    key, so a batch costs what it brings, whatever came before.  Among rows of one batch the
+    first by `order` counts."""
+    def first(key, batches, state: GroupState):
+        best = None
+        for part in batches:
+            if not state.exists:
+                best = pd.concat([best, part]).sort_values(order, kind="stable", na_position="first")[:1]
+        if best is not None:
+            state.update((True,))
+            yield best
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(*keys).applyInPandasWithState(first, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def import_stream(spark: SparkSession, incoming: str, tables: str, checkpoint: str, files_per_batch: int = 500):
+    """New export files into chats and messages under `tables`.  A file is hashed once;
+    files whose hash came before, in any batch, are skipped.  Chosen files are then read
+    line by line in splits.  The hash names the chat, so messages of different files never
+    meet, and nothing stored is read again."""
+    files = (
+        spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch).load(incoming)
+        .select("path", F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("file_hash"))
+    )
 
     def load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        named = batch.select(
-            F.col("path").alias("file"), T.chat_name(F.col("path")).alias("name"),
-            F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("text"),
-        )
-        known = _table(session, f"{tables}/chats", number)
-        fresh = store.new_files(named, known)
-        chosen = named.join(fresh, ["file", "file_hash"], "left_semi")
-        names = chosen.select(F.col("file_hash").alias("chat_id"), "name", "file_hash")
-        # The hash of the file names its chat.
-        messages = durable(parsing.parse_lines(split_lines(chosen, "file_hash", "text")))
+        chosen = durable(batch)
+        # At most `files_per_batch` names.
+        paths = [r["path"] for r in chosen.select("path").collect()]
+        names = chosen.select(chat_of(F.col("file")).alias("name"), "file", "file_hash", F.col("file_hash").alias("chat_id"))
+        if paths:
+            lines = read_lines(session, [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+            lines = lines.join(F.broadcast(names.select("file", "file_hash")), "file").drop("file").withColumnRenamed("file_hash", "file")
+            messages = durable(parsing.parse_lines(lines))
+        else:
+            messages = session.createDataFrame([], MESSAGES)
         _write(store.chat_rows(messages, names), f"{tables}/chats", number)
-        stored = _table(session, f"{tables}/messages", number)
-        _write(store.insert_messages(stored, messages), f"{tables}/messages", number)
+        _write(store.insert_messages(None, messages), f"{tables}/messages", number)
 
     return (
-        files.writeStream.foreachBatch(load)
+        first_seen(files, ["file_hash"], ["file"]).writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -180,24 +194,35 @@ def knowledge_pass(
     }
 
 
+TAGS = "id string, person_id string, tag string, source string, created_at long"
+
+
 def knowledge_stream(
     arriving: DataFrame, sessions: DataFrame, model, tables: str, checkpoint: str, every: str | None = None
 ):
     """The pass over each micro-batch of new mentions.  `every` repeats it, e.g.
-    '60 seconds'; without it what is there is handled once."""
+    '60 seconds'; without it what is there is handled once.  Tags go to
+    `tables`/offered_tags, from which `tag_stream` takes the new ones."""
     def handle(batch: DataFrame, number: int) -> None:
-        out = knowledge_pass(
-            durable(batch), sessions, _table(batch.sparkSession, f"{tables}/person_tags", number), model, number
-        )
-        _write(out["tags"], f"{tables}/person_tags", number)
+        out = knowledge_pass(durable(batch), sessions, None, model, number)
+        _write(out["tags"], f"{tables}/offered_tags", number)
         _write(out["memories"], f"{tables}/person_key_memories", number)
         _write(out["mentions"], f"{tables}/person_mentions", number)
 
+    return _started(arriving.writeStream.foreachBatch(handle), checkpoint, every)
+
+
+def tag_stream(spark: SparkSession, tables: str, checkpoint: str, every: str | None = None):
+    """Offered tags into `tables`/person_tags, each (person, tag) once; what is known is
+    state per pair, and no stored tag is read again."""
+    offered = spark.readStream.schema(TAGS).parquet(f"{tables}/offered_tags")
+    new = first_seen(offered, ["person_id", "tag"], ["created_at", "id"])
+    return _started(new.writeStream.foreachBatch(lambda batch, number: _write(batch, f"{tables}/person_tags", number)), checkpoint, every)
+
+
+def _started(writer, checkpoint: str, every: str | None):
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
-        arriving.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def extraction_stream(
@@ -216,8 +241,4 @@ def extraction_stream(
         _write(settled, f"{tables}/extracted", number)
         _write(rest, folder, number)
 
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
-        prompts.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
+    return _started(prompts.writeStream.foreachBatch(handle), checkpoint, every)

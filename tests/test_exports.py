@@ -45,6 +45,22 @@ def test_write_and_read_back(spark, tmp_path, messages):
     assert sorted((r.sender, r.content, r.timestamp) for r in back) == sorted((r[1], r[2], r[3]) for r in rows)
 
 
+def test_a_chat_of_several_files_is_one_chat(spark, tmp_path, messages):
+    names = ["a b", "c/d%20+", "é=1", None]
+    rows = [(names[i % 4], f"S{i % 3}", f"m{i}\nx", 1714573800 + 60 * (i // 2), "text", i) for i in range(400)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "30")
+    try:
+        X.write_exports(messages(rows), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    back = X.read_exports(spark, str(tmp_path / "out")).collect()
+    want, place = [], {}
+    for c, s, t, at, k, _ in rows:
+        place[c] = place.get(c, 0) + 1
+        want.append((c, s, t, at, k, place[c]))
+    assert sorted(((r.chat_id, r.sender, r.content, r.timestamp, r.type, r.line_number) for r in back), key=str) == sorted(want, key=str)
+
+
 def test_hashes_and_duplicates(spark, tmp_path):
     for name, body in [("a.txt", "um"), ("b.txt", "um"), ("c.txt", "dois")]:
         (tmp_path / name).write_text(body)

@@ -47,6 +47,47 @@ def test_import_stream_skips_known_files_and_messages(spark, tmp_path):
     assert spark.read.parquet(f"{tables}/messages").count() == 3
 
 
+def test_import_stream_equals_batch_over_shuffled_files(spark, tmp_path):
+    """Files arrive in several batches, some again under other names, one with odd letters in its name."""
+    import random
+
+    from chatloom.operators import parsing, store
+    from chatloom.sources import exports
+
+    r = random.Random(3)
+    texts = ["".join(f"01/05/2024 14:{i % 60:02d} - P{r.randint(0, 3)}: m{r.randint(0, 9)}\nmais\n" for i in range(r.randint(1, 40))) for _ in range(12)]
+    arrivals = [(f"f{i}.txt", t) for i, t in enumerate(texts)] + [(f"again {i} [x]+%.txt", texts[i]) for i in range(0, 12, 2)]
+    r.shuffle(arrivals)
+    incoming, tables, state = tmp_path / "in", str(tmp_path / "tables"), str(tmp_path / "state")
+    incoming.mkdir()
+    for a in range(0, len(arrivals), 5):
+        for name, text in arrivals[a : a + 5]:
+            (incoming / name).write_text(text)
+        jobs.import_stream(spark, str(incoming), tables, state, files_per_batch=2).awaitTermination()
+    whole = parsing.parse_lines(exports.split_lines(spark.createDataFrame(list(enumerate(texts)), "file int, text string"), "file", "text"))
+    want = store.insert_messages(None, whole).select("sender", "content", "timestamp", "line_number")
+    got = spark.read.parquet(f"{tables}/messages")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(f"{tables}/chats").count() == len(set(texts)) == got.select("chat_id").distinct().count()
+
+
+def test_tags_are_taken_once_over_batches(spark, tmp_path):
+    def model(prompts):
+        return ['{"tags": ["pai", "gamer"], "memories": []}' for _ in prompts]
+
+    sessions = spark.createDataFrame([("s1", "resumo")], "id string, summary string")
+    schema = "session_id string, person_id string, context string, processed boolean"
+    folder, tables = str(tmp_path / "in"), str(tmp_path / "t")
+    for i, person in enumerate(["p1", "p2", "p1"]):
+        spark.createDataFrame([(f"s{i}", person, "c", False)], schema).coalesce(1).write.mode("append").json(folder)
+        arriving = spark.readStream.schema(schema).json(folder)
+        jobs.knowledge_stream(arriving, sessions, model, tables, str(tmp_path / "k")).awaitTermination()
+        jobs.tag_stream(spark, tables, str(tmp_path / "g")).awaitTermination()
+    rows = spark.read.parquet(f"{tables}/person_tags").collect()
+    assert sorted((r.person_id, r.tag, r.batch) for r in rows) == [("p1", "gamer", 0), ("p1", "pai", 0), ("p2", "gamer", 1), ("p2", "pai", 1)]
+    assert spark.read.parquet(f"{tables}/offered_tags").count() == 6
+
+
 def test_knowledge_pass_marks_everything(spark):
     mentions = spark.createDataFrame([("s1", "p1", "c", False), ("s2", "p1", None, False), ("s3", "p2", None, False), ("s4", "p1", "old", True)], "session_id string, person_id string, context string, processed boolean")
     sessions = spark.createDataFrame([("s1", "resumo")], "id string, summary string")
