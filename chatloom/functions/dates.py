@@ -140,3 +140,12 @@ def with_date_range(df: DataFrame, text: Column, now: Column) -> DataFrame:
         "date_from": F.coalesce(seconds(first), F.lit(0).cast("long")),
         "date_to": F.coalesce(seconds(last) + 86399, F.lit(0).cast("long")),
     }).drop("__today", "__said", "__spans")
+
+
+def mentioned_days(df: DataFrame, text: Column, now: Column) -> DataFrame:
+    """A row per mention with its first_day and last_day; words that leave a side open are
+    not looked at."""
+    found = df.withColumn("__today", F.to_date(F.timestamp_seconds(now))).withColumn("__said", mentions(text))
+    spans = F.transform("__said", lambda m: _span(m, F.col("__today")))
+    rows = found.withColumn("__span", F.explode(spans)).filter(F.col("__span.first").isNotNull())
+    return rows.withColumns({"first_day": F.col("__span.first"), "last_day": F.col("__span.last")}).drop("__today", "__said", "__span")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.functions import dates
 from chatloom.functions import text as T
 from chatloom.operators.ordered import Ordered, join_null_safe
 from chatloom.session import durable
@@ -36,23 +37,71 @@ def activity_rollup(messages: DataFrame) -> DataFrame:
 
 # --- relations ---------------------------------------------------------------
 
+# People of a context whose pairs one task may make; a larger context is a grid of blocks.
+CONTEXT_BLOCK = 1000
+
+
+def shared_contexts(memberships: DataFrame, context: str = "context_id", person: str = "person_id") -> DataFrame:
+    """Person pairs (source_id < target_id) by number of shared contexts.
+
+    People repeated in a context are first made one.  Small contexts pair up as a whole.  A
+    context of more than `CONTEXT_BLOCK` people is cut into blocks by a hash of the person;
+    its pairs are those of each block with itself and with every later block, a cell of that
+    triangle being one group, so no context lands in one task, and each cell's counts are
+    combined before they are shuffled."""
+    once = durable(memberships.select(F.col(context).alias("c"), F.col(person).alias("p")).filter("c is not null and p is not null").distinct())
+    sizes = once.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CONTEXT_BLOCK)
+    heavy = durable(sizes.select("c", F.ceil(F.col("n") / CONTEXT_BLOCK).cast("int").alias("blocks")))
+    light = once.join(heavy, "c", "left_anti")
+    pairs = light.select("c", F.col("p").alias("a")).join(light.select("c", F.col("p").alias("b")), "c").filter("a < b").select("a", "b")
+    dealt = once.join(heavy, "c").withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
+    rows = dealt.select("c", F.col("p").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    columns = dealt.select("c", F.col("p").alias("b"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    cells = rows.join(columns, ["c", "i", "j"]).filter("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(cells).groupBy(F.col("a").alias("source_id"), F.col("b").alias("target_id")).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def relations(memberships: DataFrame, context: str = "context_id", person: str = "person_id") -> DataFrame:
-    """Person pairs by number of shared contexts; strength relative to the
-    strongest pair.  The result is the pair table itself, so a context of p
-    people does contribute its pairs; people repeated in a context are first
-    made one, and contexts should be narrow (a chat and a time window).  The pairs are
-    stored, since the strongest one is asked for as well."""
-    once = memberships.select(F.col(context).alias("c"), F.col(person).alias("p")).distinct()
-    left = once.select("c", F.col("p").alias("source_id"))
-    right = once.select("c", F.col("p").alias("target_id"))
-    pairs = durable(
-        left.join(right, "c").filter(F.col("source_id") < F.col("target_id"))
-        .groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("shared"))
-    )
+    """Person pairs by number of shared contexts; strength relative to the strongest pair.
+    The result is the pair table itself, so a context of p people does contribute its
+    pairs.  They are stored, since the strongest one is asked for as well."""
+    pairs = durable(shared_contexts(memberships, context, person))
     strongest = pairs.agg(F.max("shared")).scalar()
     return pairs.withColumn("strength", F.round(F.col("shared") / strongest, 6))
 
 
+def running_relations(memberships: DataFrame, bucket: str = "bucket") -> DataFrame:
+    """Pairs with the contexts they shared up to each time bucket in which they met: `upto`
+    holds from `bucket` until before `until` (null: for good).  memberships: context_id,
+    person_id, bucket, a number that grows with time; a context lies in one bucket."""
+    # The bucket joins the context's name, so that pairs are counted per bucket.
+    keyed = memberships.select(F.struct(F.col(bucket).alias("bucket"), F.col("context_id")).alias("context_id"), "person_id").distinct()
+    left = keyed.select("context_id", F.col("person_id").alias("source_id"))
+    right = keyed.select("context_id", F.col("person_id").alias("target_id"))
+    met = left.join(right, "context_id").filter("source_id < target_id").groupBy(
+        "source_id", "target_id", F.col("context_id.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # A pair has at most one row per bucket.
+    order = Window.partitionBy("source_id", "target_id").orderBy("bucket")
+    return met.select(
+        "source_id", "target_id", "bucket", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
+        F.lead("bucket").over(order).alias("until"))
+
+
+def relations_in_period(running: DataFrame, first: int, last: int, people: DataFrame | None = None) -> DataFrame:
+    """Pairs that shared contexts in the buckets from `first` to `last`: the difference of two
+    rows of `running_relations` per pair, whatever the period's length.  With `people`
+    (person_id), only pairs of two of them; strength relative to the strongest pair left."""
+    at = lambda bucket, name: running.filter((F.col("bucket") <= bucket) & (F.col("until").isNull() | (F.col("until") > bucket))).select(
+        "source_id", "target_id", F.col("upto").alias(name))
+    both = at(last, "later").join(at(first - 1, "earlier"), ["source_id", "target_id"], "left")
+    pairs = both.withColumn("shared", F.col("later") - F.coalesce("earlier", F.lit(0))).filter("shared > 0").drop("later", "earlier")
+    if people is not None:
+        for end in ("source_id", "target_id"):
+            pairs = pairs.join(people.select(F.col("person_id").alias(end)).distinct(), end, "left_semi")
+    pairs = durable(pairs.select("source_id", "target_id", "shared"))
+    return pairs.withColumn("strength", F.round(F.col("shared") / pairs.agg(F.max("shared")).scalar(), 6))
+
+
 def strong_edges(edges: DataFrame, least: float) -> DataFrame:
     """Edges of at least `least` strength, and how many of them each end has."""
     kept = edges.filter(F.col("strength") >= least)
@@ -90,19 +139,56 @@ def _deletions(name):
     return F.array_distinct(F.concat(F.array(name), one, two))
 
 
+# Names that may share one segment at one place before they meet by deletions instead.
+HOT_SEGMENT = 200
+
+
+def _segments(size):
+    """(place, length) of three nearly equal pieces of a name of the given length."""
+    base, more = F.floor(size / 3).cast("int"), size % 3
+    return [(i * base + F.greatest(F.lit(0), more - 3 + i), base + (F.lit(i) >= 3 - more).cast("int")) for i in range(3)]
+
+
+def _own_segments(name):
+    size = F.length(name)
+    return F.array(*[
+        F.struct(size.alias("size"), F.lit(i).alias("i"), F.substr(name, at + 1, many).alias("piece")) for i, (at, many) in enumerate(_segments(size))])
+
+
+def _offered_segments(name):
+    """Pieces of a name that a name up to two letters shorter may have as a segment: at a
+    shift by which the lengths before and behind it differ by two letters at most in all."""
+    size, out = F.length(name), []
+    for less in range(3):
+        for i, (at, many) in enumerate(_segments(size - less)):
+            for shift in range(-2, 3):
+                if abs(shift) + abs(less - shift) > 2:
+                    continue
+                fits = (size > less) & (at + shift >= 0) & (at + shift + many <= size)
+                out.append(F.when(fits, F.struct(
+                    (size - less).alias("size"), F.lit(i).alias("i"), F.substr(name, at + shift + 1, many).alias("piece"))))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
 def name_variants(names: DataFrame, name: str = "name") -> DataFrame:
-    """Pairs of different normalised names at edit distance 1 or 2.  Equal names
-    are made one first; names meet only when they share a deletion variant, and
-    the exact distance decides."""
-    once = names.select(T.fold(T.js_trim(F.col(name))).alias("n")).filter("n <> ''").distinct()
-    keyed = once.select("n", F.explode(_deletions(F.col("n"))).alias("v"))
-    left = keyed.select(F.col("n").alias("name_a"), "v")
-    right = keyed.select(F.col("n").alias("name_b"), "v")
-    near = (
-        left.join(right, "v")
-        .filter((F.col("name_a") < F.col("name_b")) & (F.abs(F.length("name_a") - F.length("name_b")) <= 2))
-        .select("name_a", "name_b").distinct()
-    )
+    """Pairs of different normalised names at edit distance 1 or 2.
+
+    Of three segments of a name two edits leave one untouched, so a name meets another when
+    one of its segments stands in the other at a place the edits allow: a few keys per name.
+    Names that share a segment with many, as with a common prefix, meet only when they also
+    share a form with up to two letters deleted.  The exact distance decides."""
+    once = durable(names.select(T.fold(T.js_trim(F.col(name))).alias("n")).filter("n <> ''").distinct())
+    own = once.select("n", F.inline(_own_segments(F.col("n"))))
+    key = ["size", "i", "piece"]
+    hot = durable(own.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_SEGMENT).drop("__n"))
+    offered = once.select("n", F.inline(_offered_segments(F.col("n"))))
+    some = own.join(hot, key, "left_anti").withColumnRenamed("n", "a").join(offered.withColumnRenamed("n", "b"), key).select("a", "b")
+    # Both names of a pair that meets in a hot segment have it.
+    crowded = own.join(hot, key, "left_semi").select("n").union(offered.join(hot, key, "left_semi").select("n")).distinct()
+    keyed = crowded.select("n", F.explode(_deletions(F.col("n"))).alias("v"))
+    alike = keyed.withColumnRenamed("n", "a").join(keyed.withColumnRenamed("n", "b"), "v").select("a", "b")
+    near = some.unionByName(alike).filter((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
+    near = near.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b")).distinct()
     return near.withColumn("distance", F.levenshtein("name_a", "name_b").cast("long")).filter("distance <= 2")
 
 
@@ -158,6 +244,23 @@ def extracted_items(messages: DataFrame, keys: list[str], text: str = "content")
     return messages.select(*keys, F.inline(items))
 
 
+def event_timeline(mentions: DataFrame, event: str, text: str, now: str) -> DataFrame:
+    """When each event is said to happen: written dates become days, counted from the time of
+    the mention (`now`, seconds), and mentions of one event whose days overlap or touch become
+    one interval: event, first_day, last_day, mentions.
+
+    Equal days of an event are counted first, so an event has as many rows as different
+    spans of days, however often it is mentioned."""
+    spans = dates.mentioned_days(mentions.filter(F.col(event).isNotNull()), F.col(text), F.col(now)).groupBy(
+        F.col(event).alias("event"), "first_day", "last_day").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("event").orderBy("first_day", "last_day")
+    reached = F.max("last_day").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("new", (reached.isNull() | (F.col("first_day") > F.date_add(reached, 1))).cast("int"))
+    numbered = opened.withColumn("island", F.sum("new").over(order))
+    return numbered.groupBy("event", "island").agg(
+        F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("n").alias("mentions")).drop("island")
+
+
 # --- blocks ----------------------------------------------------------------------
 
 def block_rows(messages: DataFrame, size: int = 50) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as T
+from chatloom.operators.ordered import join_null_safe
+from chatloom.session import durable
 
 MESSAGE_KEY = ["chat_id", "timestamp", "sender", "content"]
 
@@ -113,6 +115,29 @@ def delete_rows(table: DataFrame, doomed: DataFrame, on: str, key: str = "id") -
     return table.join(doomed.select(F.col(key).alias(on)).distinct(), on, "left_anti")
 
 
+def replay(changes: DataFrame, keys: list[str], order: list[str], scope: list[str]) -> DataFrame:
+    """The rows of a table after a log of changes.  changes: op (`put`, `delete`, `clear`),
+    scope and key columns, order columns, and the row's other columns.
+
+    Of every key the last change counts: a put is the row, a delete a tombstone.  A clear
+    wipes all rows of its scope that were put before it; its key columns do not matter.
+    Changes of one place in the order count as clear, delete, put.  One aggregation keeps the
+    last change per key and per scope's clears, both combined before the shuffle; scopes'
+    last clears then meet the keys."""
+    rank = F.when(F.col("op") == "clear", 0).when(F.col("op") == "delete", 1).otherwise(2)
+    clears = F.col("op") == "clear"
+    # A clear is a row of its scope without a key.
+    keyed = changes.select(
+        *scope, *[F.when(~clears, F.col(k)).alias(k) for k in keys if k not in scope], clears.alias("__clear"),
+        F.struct(*order, rank.alias("rank")).alias("__at"), F.struct(*[c for c in changes.columns if c not in (*scope, *keys)]).alias("__row"))
+    names = list(dict.fromkeys([*scope, *keys]))
+    last = durable(keyed.groupBy(*names, "__clear").agg(F.max("__at").alias("__at"), F.max_by("__row", "__at").alias("__row")))
+    wiped = last.filter("__clear").groupBy(*scope).agg(F.max("__at").alias("__wiped"))
+    alive = last.filter("not __clear and __row.op = 'put'")
+    kept = join_null_safe(alive, wiped, scope, "left").filter(F.col("__wiped").isNull() | (F.col("__at") > F.col("__wiped")))
+    return kept.select(*names, "__row.*").drop("op").select(*[c for c in changes.columns if c != "op"])
+
+
 def delete_chats(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """Delete chats with all that hangs on them.  doomed: id.  Memories stay but
     lose the session they came from."""

@@ -989,6 +989,61 @@ def name_variants(t):
     return analytics.name_variants(t.read("supplier"), "s_name")
 
 
+@query
+def label_variants(t):
+    """Part names, few of which are alike, by their letters without blanks."""
+    return analytics.name_variants(t.read("part").select(F.replace("p_name", F.lit(" ")).alias("name")))
+
+
+@query
+def relations_in_period(t):
+    """Suppliers that met in orders of 1995 and 1996, both from the same two regions."""
+    orders = t.read("orders").selectExpr("o_orderkey AS context_id", "year(o_orderdate) * 12 + month(o_orderdate) - 1 AS bucket")
+    met = t.read("lineitem").selectExpr("l_orderkey AS context_id", "l_suppkey AS person_id").join(orders, "context_id")
+    tags = t.read("supplier").join(t.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey AS person_id", "n_regionkey AS tag")
+    return analytics.relations_in_period(analytics.running_relations(met), 1995 * 12, 1996 * 12 + 11, tags.filter("tag in (1, 3)"))
+
+
+@query
+def event_timeline(t):
+    """Each source is an event, each question about it a mention at a time of its own."""
+    told = t.questions.join(t.read("documents").select(F.col("doc_id").cast("string").alias("query_id"), "source"), "query_id")
+    told = told.withColumn("at", F.lit(ASKED_AT) - F.col("query_id").cast("long") * 40009)
+    return analytics.event_timeline(told, "source", "text", "at").select(
+        "event", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "mentions")
+
+
+@query
+def inbox_after_changes(t):
+    """Mentions are put, some of them removed a day later; a customer's inbox is cleared by
+    each urgent order."""
+    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    orders = t.read("orders")
+    put = orders.select(
+        F.lit("put").alias("op"), F.col("o_custkey").alias("chat_id"), (F.col("o_orderkey") % 50).alias("mention"), at.alias("moment"),
+        F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("alias"))
+    removed = put.filter("line % 3 = 0").withColumns({"op": F.lit("delete"), "moment": F.col("moment") + 86400})
+    cleared = put.filter("alias = '1-URGENT' and line % 7 = 0").withColumns({"op": F.lit("clear"), "mention": F.lit(None).cast("long")})
+    return store.replay(put.unionByName(removed).unionByName(cleared), ["mention"], ["moment", "line"], ["chat_id"])
+
+
+@query
+def profile_tables_after_changes(t):
+    """Facts, block summaries and profiles as one log: kind and contact are the scope."""
+    parts = t.read("lineitem")
+    rows = parts.selectExpr(
+        "CASE WHEN l_linestatus = 'F' AND l_quantity > 45 THEN 'clear' WHEN l_returnflag = 'R' THEN 'delete' ELSE 'put' END AS op",
+        "element_at(array('fact', 'block', 'profile'), CAST(l_linenumber % 3 + 1 AS INT)) AS kind",
+        "l_suppkey AS contact_id", "l_linenumber AS place", "l_orderkey AS moment", "CAST(CAST(l_shipdate AS DATE) AS STRING) AS text")
+    return store.replay(rows, ["place"], ["moment"], ["kind", "contact_id"])
+
+
+@query
+def session_topics(t):
+    told = sessions.transcripts(sessions.gap_segments(t.messages))
+    return stats.session_topics(told, 0.3).select("session_id", "topic", "label", F.round("score", 6).alias("score"))
+
+
 @query
 def unify_names(t):
     variants = t.entities.select("normalized_name").distinct().select(

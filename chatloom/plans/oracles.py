@@ -1350,6 +1350,77 @@ oracle(
        ON a.n < b.n AND levenshtein(a.n, b.n) <= 2""",
     extra={"names": "SELECT DISTINCT lower(s_name) AS n FROM supplier"},
 )
+oracle(
+    "label_variants",
+    """SELECT a.n AS name_a, b.n AS name_b, levenshtein(a.n, b.n) AS distance FROM names a JOIN names b
+       ON a.n < b.n AND abs(length(a.n) - length(b.n)) <= 2 AND levenshtein(a.n, b.n) <= 2""",
+    extra={"names": "SELECT DISTINCT lower(replace(p_name, ' ', '')) AS n FROM part"},
+)
+oracle(
+    "relations_in_period",
+    """SELECT source_id, target_id, shared, round(shared / max(shared) OVER (), 6) AS strength FROM (
+        SELECT a.l_suppkey AS source_id, b.l_suppkey AS target_id, count(DISTINCT a.l_orderkey) AS shared FROM inside a JOIN inside b
+        ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL)""",
+    extra={"inside": """SELECT l_orderkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
+        JOIN nation ON n_nationkey = s_nationkey WHERE year(o_orderdate) IN (1995, 1996) AND n_regionkey IN (1, 3)"""},
+)
+oracle(
+    "event_timeline",
+    """SELECT event, CAST(min(a) AS VARCHAR) AS first_day, CAST(max(b) AS VARCHAR) AS last_day, count(*) AS mentions FROM (
+        SELECT *, sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY event ORDER BY a, b, n) AS island FROM (
+          SELECT *, max(b) OVER (PARTITION BY event ORDER BY a, b, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+            SELECT source AS event, s.a AS a, s.b AS b, row_number() OVER () AS n
+            FROM placed_dates JOIN documents ON CAST(doc_id AS VARCHAR) = query_id WHERE s.a IS NOT NULL AND source IS NOT NULL)))
+      GROUP BY event, island""",
+    "questions", extra={"asked_at": "SELECT query_id, text, 883656000 - CAST(query_id AS BIGINT) * 40009 AS moment FROM questions", **_DATE_STEPS},
+)
+oracle(
+    "inbox_after_changes",
+    """SELECT chat_id, mention, moment, line, alias FROM log l WHERE op = 2
+        AND NOT EXISTS (SELECT 1 FROM log x WHERE x.op > 0 AND x.chat_id = l.chat_id AND x.mention = l.mention AND (x.moment, x.line, x.op) > (l.moment, l.line, l.op))
+        AND NOT EXISTS (SELECT 1 FROM log x WHERE x.op = 0 AND x.chat_id = l.chat_id AND (x.moment, x.line, x.op) > (l.moment, l.line, l.op))""",
+    extra={
+        "puts": "SELECT o_custkey AS chat_id, o_orderkey % 50 AS mention, CAST(epoch(o_orderdate) AS BIGINT) AS moment, o_orderkey AS line, o_orderpriority AS alias FROM orders",
+        "log": """SELECT 2 AS op, * FROM puts UNION ALL SELECT 1, chat_id, mention, moment + 86400, line, alias FROM puts WHERE line % 3 = 0
+            UNION ALL SELECT 0, chat_id, mention, moment, line, alias FROM puts WHERE alias = '1-URGENT' AND line % 7 = 0""",
+    },
+)
+oracle(
+    "profile_tables_after_changes",
+    """SELECT kind, contact_id, place, moment, text FROM (
+        SELECT *, max(CASE WHEN op = 0 THEN moment END) OVER (PARTITION BY kind, contact_id) AS wiped,
+          row_number() OVER (PARTITION BY kind, contact_id, place, op = 0 ORDER BY moment DESC, op DESC) AS n FROM log)
+      WHERE op = 2 AND n = 1 AND (wiped IS NULL OR (moment, op) > (wiped, 0))""",
+    extra={"log": """SELECT CASE WHEN l_linestatus = 'F' AND l_quantity > 45 THEN 0 WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS op,
+        ['fact', 'block', 'profile'][l_linenumber % 3 + 1] AS kind, l_suppkey AS contact_id, l_linenumber AS place, l_orderkey AS moment, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS text FROM lineitem"""},
+)
+_PROBED = " UNION ALL ".join(
+    f"SELECT {i} AS topic_order, {lit(topic)} AS topic, {lit(label)} AS label, {lit(probe)} AS probe" for i, (topic, label, probes) in enumerate(K.TOPICS) for probe in probes)
+
+
+def _hashed(rows: str, keys: str, text: str) -> str:
+    """Unit vectors of letter runs by their hash, one row per filled dimension."""
+    return f"""SELECT {keys}, slot, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS x FROM (
+        SELECT {keys}, CAST('0x' || substr(md5(run), 1, 4) AS INTEGER) % 64 AS slot, CAST(count(*) AS DOUBLE) AS n FROM (
+          SELECT {keys}, substr(t, unnest(range(1, length(t) - 1)), 3) AS run FROM (
+            SELECT {keys}, ' ' || array_to_string({terms(text)}, ' ') || ' ' AS t FROM {rows})) GROUP BY ALL)"""
+
+
+oracle(
+    "session_topics",
+    """SELECT session_id, CASE WHEN best.s >= 0.3 THEN topic END AS topic, CASE WHEN best.s >= 0.3 THEN label END AS label, round(best.s, 6) AS score FROM (
+        SELECT session_id, max({'s': score, 'o': -topic_order}) AS best FROM (
+          SELECT session_id, topic_order, round(sum(t.x * c.x) / any_value(c.size), 12) AS score FROM told t JOIN sized_centers c USING (slot) GROUP BY session_id, topic_order)
+        GROUP BY session_id) JOIN (SELECT DISTINCT topic_order, topic, label FROM probes) ON topic_order = -best.o""",
+    "gap_rows",
+    extra={
+        "probes": _PROBED, "transcripts": _gap_transcripts(), "probe_vectors": _hashed("probes", "topic_order, probe", "probe"),
+        "topic_centers": """SELECT topic_order, slot, sum(x) / (SELECT count(*) FROM probes q WHERE q.topic_order = v.topic_order) AS x
+            FROM probe_vectors v GROUP BY topic_order, slot""",
+        "sized_centers": "SELECT *, sqrt(sum(x * x) OVER (PARTITION BY topic_order)) AS size FROM topic_centers",
+        "told": _hashed("transcripts", "session_id", "transcript"),
+    },
+)
 oracle(
     "unify_names",
     """SELECT CASE WHEN split_part(normalized_name, ' ', 1) IN ('hot', 'cold') THEN split_part(normalized_name, ' ', 1)
