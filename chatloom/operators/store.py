@@ -98,6 +98,20 @@ def update_summaries(sessions: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
+def update_sessions(sessions: DataFrame, entities: DataFrame | None, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and entities after extraction results (session_id, summary,
+    mentioned_entities): summaries are replaced, entities come on top of those stored; the
+    same result twice adds nothing, as an entity's id names its session and place."""
+    from chatloom.operators.people import entity_rows
+
+    new = entity_rows(results.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi"))
+    new = insert_or_ignore(entities, new, ["id"], ["session_id"])
+    if entities is not None:
+        new = entities.unionByName(new)
+    once = first_per_key(results.select("session_id", "summary"), ["session_id"], ["summary"])
+    return update_summaries(sessions, once), new
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """Stored and new rows together, the latest version per key."""
     return latest_per_key(stored.unionByName(new), keys, version)

@@ -14,7 +14,7 @@ from chatloom.functions import constants as K
 from chatloom.functions import dates
 from chatloom.functions import text as T
 from chatloom.operators import (
-    analytics, context, dashboard, extraction, parsing, people, ranges, reads, search, sessions,
+    analytics, context, dashboard, extraction, imports, parsing, people, ranges, reads, search, sessions,
     stats, store, vectors,
 )
 from chatloom.operators.ordered import Ordered
@@ -116,6 +116,33 @@ def file_lines(t):
         F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("letters"))
 
 
+@query
+def import_chain(t):
+    """Export files to chats, sessions, entities, links and inbox: what each chat brought."""
+    folder = work_folder(t.spark)
+    exports.write_exports(t.messages, folder)
+    known = t.read("supplier").select(F.concat(F.lit("PESSOA "), F.format_string("%02X", F.col("s_suppkey") % 200)).alias("name")).distinct()
+    known = known.select(F.lower("name").alias("id"), "name", F.lit(1).cast("long").alias("message_count"))
+    made = imports.import_chats(exports.read_exports(t.spark, folder), known, moody_model, gap_only=True, rounds=2, most=4, deadline=3.0, width=16)
+    of = made["sessions"].select(F.col("id").alias("session_id"), "chat_id")
+    per = lambda name, table: table.join(of, "session_id").groupBy("chat_id").agg(F.count(F.lit(1)).alias(name))
+    out = made["chats"].select(F.col("id").alias("chat_id"), "participant_count", "message_count")
+    waiting = made["sessions"].groupBy("chat_id").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("summary").startswith("len ")).alias("told"))
+    for part in (waiting, per("entities", made["entities"]), per("mentions", made["mentions"]), per("pending", made["pending"])):
+        out = out.join(part, "chat_id", "left")
+    return out.na.fill(0, ["entities", "mentions", "pending"])
+
+
+@query
+def session_updates(t):
+    """Sessions and entities after results came in twice, on top of stored entities."""
+    results = t.extracted.withColumn("summary", F.concat(F.lit("new "), "session_id"))
+    stored = people.entity_rows(results.filter("CAST(session_id AS LONG) % 3 = 0"))
+    rows, entities = store.update_sessions(t.order_sessions.filter("CAST(id AS LONG) % 2 = 0"), stored, results.unionByName(results))
+    counts = entities.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("entities"), F.max("normalized_name").alias("name"))
+    return rows.join(counts, "id", "full_outer").select("id", "summary", "entities", "name")
+
+
 @query
 def detect_formats(t):
     rows = [_export_lines(t, f).withColumn("file", F.concat(F.lit(f + ":"), "file")) for f in FORMATS]
@@ -1038,6 +1065,36 @@ def profile_tables_after_changes(t):
     return store.replay(rows, ["place"], ["moment"], ["kind", "contact_id"])
 
 
+@query
+def mean_extraction(t):
+    """Calls and attempts per status; the milliseconds differ from run to run and must only be there."""
+    done = _moody_results(t)
+    return done.groupBy("status").agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("attempts").alias("attempts"),
+        (F.min(F.when(F.col("attempts") > 0, F.col("elapsed_ms"))) > 0).alias("took_time"))
+
+
+@query
+def text_embeddings(t):
+    """The embedding helper with a small model: shares of five letters, averaged over pieces."""
+    model = lambda texts: [[x.count(c) for c in "aeiou"] for x in texts]
+    rows = vectors.embed(t.read("documents").select("doc_id", "text"), "text", model, 5, piece=10**9)
+    return rows.select("doc_id", *[F.round(F.get("embedding", F.lit(i)), 6).alias(c) for i, c in enumerate("aeiou")])
+
+
+@query
+def facts_by_evidence(t):
+    facts = t.read("part").selectExpr("p_brand AS contact_id", "p_name AS text", "CAST(p_size AS BIGINT) AS evidence")
+    ordered = reads.facts_by_evidence(facts)
+    return ordered.select("contact_id", "evidence", "text")
+
+
+@query
+def unknown_formats(t):
+    files = t.read("documents").selectExpr("CAST(doc_id AS STRING) AS file", "CASE lang WHEN 'en' THEN 'android_en' WHEN 'de' THEN 'ios_en' ELSE lang END AS format")
+    return parsing.unknown_formats(files)
+
+
 @query
 def session_topics(t):
     told = sessions.transcripts(sessions.gap_segments(t.messages))

@@ -1016,6 +1016,48 @@ oracle(
       FROM moody""",
     "gap_rows", extra={"moody": _MOODY},
 )
+_CHAIN = {
+    # Files do not say what type a message had; it follows from its text again.
+    "typed_gap_rows": f"SELECT * REPLACE ({message_type('content', 'sender')} AS type) FROM gap_rows",
+    "moody": _MOODY.replace("gap_rows", "typed_gap_rows"),
+    "told": """SELECT *, lower(upper('Pessoa ' || substr(mark, 2, 2))) AS who, CASE WHEN mood IN ('trivial', 'never', 'stuck') THEN 0 WHEN mark[4] = '7' THEN 2 ELSE 1 END AS n,
+        mark[1] = '5' AS own FROM moody""",
+    "known": "SELECT DISTINCT 'pessoa ' || lower(printf('%02X', s_suppkey % 200)) AS name FROM supplier",
+}
+oracle(
+    "import_chain",
+    """SELECT c.id AS chat_id, participant_count, message_count, sessions, told, entities, mentions, pending FROM chats c JOIN (
+        SELECT chat_id, count(*) AS sessions, count(*) FILTER (mood NOT IN ('trivial', 'never', 'stuck')) AS told, CAST(sum(n) AS BIGINT) AS entities,
+          count(*) FILTER (n > 0 AND NOT own AND who IN (SELECT name FROM known)) AS mentions,
+          CAST(coalesce(sum(n) FILTER (NOT own AND who NOT IN (SELECT name FROM known)), 0) AS BIGINT) AS pending
+        FROM told GROUP BY chat_id) x ON x.chat_id = c.id""",
+    "messages", "chats", "gap_rows", extra=_CHAIN,
+)
+oracle(
+    "mean_extraction",
+    """SELECT CASE mood WHEN 'trivial' THEN 'trivial' WHEN 'never' THEN 'failed' WHEN 'stuck' THEN 'timeout' ELSE 'ok' END AS status, count(*) AS sessions,
+        CAST(sum(CASE mood WHEN 'trivial' THEN 0 WHEN 'good' THEN 1 WHEN 'raises' THEN 2 WHEN 'hangs' THEN 2 ELSE 4 END) AS BIGINT) AS attempts,
+        CASE WHEN any_value(mood) <> 'trivial' THEN true END AS took_time FROM moody GROUP BY 1""",
+    "gap_rows", extra={"moody": _MOODY},
+)
+oracle(
+    "text_embeddings",
+    "SELECT doc_id, " + ", ".join(f"CASE WHEN size > 0 THEN round({c} / size, 6) ELSE 0.0::DOUBLE END AS {c}" for c in "aeiou") + """ FROM (
+        SELECT *, sqrt(a * a + e * e + i * i + o * o + u * u) AS size FROM (SELECT doc_id, """
+    + ", ".join(f"coalesce(CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE), 0) AS {c}" for c in "aeiou") + " FROM documents))",
+)
+oracle("facts_by_evidence", "SELECT p_brand AS contact_id, CAST(p_size AS BIGINT) AS evidence, p_name AS text FROM part")
+oracle(
+    "unknown_formats",
+    "SELECT CAST(doc_id AS VARCHAR) AS file, lang AS format FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de')",
+)
+oracle(
+    "session_updates",
+    """SELECT coalesce(s.id, e.id) AS id, 'new ' || s.id AS summary, e.entities, e.name FROM (SELECT id FROM order_sessions WHERE CAST(id AS BIGINT) % 2 = 0) s
+        FULL JOIN (SELECT session_id AS id, 1::BIGINT AS entities, lower(name) AS name FROM extracted
+          WHERE CAST(session_id AS BIGINT) % 2 = 0 OR CAST(session_id AS BIGINT) % 3 = 0) e ON e.id = s.id""",
+    "order_sessions", "extracted",
+)
 oracle(
     "batch_extract",
     f"""SELECT session_id, CASE WHEN n = 1 THEN 'len ' || CAST({_TASKS['batch']} +
