@@ -137,3 +137,29 @@ def test_durable_uses_the_named_folder(spark, tmp_path):
     df = durable(spark.range(3))
     assert spark.sparkContext.getCheckpointDir() is not None
     assert df.count() == 3
+
+
+def test_import_from_files_to_inbox(spark, tmp_path, messages):
+    """Files to chats, sessions with summaries, entities, links and inbox; a second import of the same adds nothing."""
+    from chatloom.operators import imports
+    from chatloom.sources import exports
+
+    rows = [("c1", s, f"oi {i}", 1714573800 + 60 * i, "text", i) for i, s in enumerate(["Ana", "Bia"] * 4)]
+    rows += [("c1", "Ana", f"tarde {i}", 1714673800 + 60 * i, "text", 20 + i) for i in range(4)]
+    rows += [("c2", "Caio", "x", 1714573800, "text", 0)]
+    exports.write_exports(messages(rows), str(tmp_path))
+
+    def model(prompts):
+        names = [{"name": "bia", "type": "person"}, {"name": "Zoe", "type": "person", "context": "x"}, {"name": "Ana", "type": "person", "is_participant": True}, {"name": ""}]
+        return [json.dumps({"summary": f"resumo {p.count('oi')}", "mentioned_entities": names}) for p in prompts]
+
+    known = spark.createDataFrame([("p0", "BIA", 5)], "id string, name string, message_count long")
+    parsed = exports.read_exports(spark, str(tmp_path))
+    got = imports.import_chats(parsed, known, model)
+    assert sorted((r.id, r.message_count) for r in got["chats"].collect()) == [("c1", 12), ("c2", 1)]
+    assert sorted(r.summary for r in got["sessions"].collect()) == ["Sessão breve com 1 mensagens.", "resumo 0", "resumo 8"]
+    assert sorted((r.name, r.message_count) for r in got["people"].collect()) == [("Ana", 8), ("BIA", 9), ("Caio", 1)]
+    assert {(r.person_id, r.processed) for r in got["mentions"].collect()} == {("p0", False)} and got["mentions"].count() == 2
+    assert [r.alias for r in got["pending"].collect()] == ["Zoe"] * 2 and got["entities"].count() == 6
+    again = imports.import_chats(parsed, got["people"], model, stored=got["messages"])
+    assert all(again[name].count() == 0 for name in ("messages", "chats", "sessions", "entities", "mentions", "pending"))
