@@ -116,6 +116,23 @@ def file_lines(t):
         F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("letters"))
 
 
+@query
+def file_roots(t):
+    """Hash trees of all export files, with few children per node."""
+    folder = work_folder(t.spark)
+    exports.write_exports(t.messages, folder, split=False)
+    found = exports.file_roots(t.spark, f"{folder}/*/*.txt", fan=3)
+    return found.select(exports.chat_of(F.col("file")).alias("chat_id"), "size", "root")
+
+
+@query
+def json_chats(t):
+    """All chats as JSON documents and back."""
+    folder = work_folder(t.spark)
+    exports.write_json_chats(t.messages, folder)
+    return exports.read_json_chats(t.spark, f"{folder}/*/*.txt").select("chat_id", "sender", "content", "timestamp", "type", "line_number")
+
+
 @query
 def import_chain(t):
     """Export files to chats, sessions, entities, links and inbox: what each chat brought."""

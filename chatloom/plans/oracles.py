@@ -186,6 +186,26 @@ oracle(
         FROM messages) GROUP BY chat_id""",
     "messages",
 )
+_TREE = {
+    "file_lines": """SELECT chat_id, row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number, sub) AS n, line FROM (
+        SELECT chat_id, timestamp, line_number, unnest(parts) AS line, unnest(range(len(parts))) AS sub FROM (
+          SELECT *, string_split(strftime(make_timestamp(timestamp * 1000000), '%d/%m/%Y %H:%M') || ' - ' || sender || ': ' || content, chr(10)) AS parts FROM messages))""",
+    "sizes": "SELECT chat_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS size, max(n) AS lines FROM file_lines GROUP BY chat_id",
+    "level0": "SELECT chat_id, (n - 1) // 3 + 1 AS n, sha256(string_agg(sha256(line), '' ORDER BY n)) AS d FROM file_lines GROUP BY chat_id, (n - 1) // 3",
+    # Levels are built for all files until the longest one has a single node.
+    **{f"level{i}": f"""SELECT chat_id, (n - 1) // 3 + 1 AS n, sha256(string_agg(d, '' ORDER BY n)) AS d FROM level{i - 1}
+        WHERE (SELECT max(n) FROM level{i - 1}) > 1 GROUP BY chat_id, (n - 1) // 3
+        UNION ALL SELECT * FROM level{i - 1} WHERE (SELECT max(n) FROM level{i - 1}) = 1""" for i in range(1, 9)},
+}
+oracle(
+    "file_roots", "SELECT chat_id, size, sha256(size || ':' || d) AS root FROM level8 JOIN sizes USING (chat_id)", "messages", extra=_TREE,
+)
+oracle(
+    "json_chats",
+    f"""SELECT chat_id, {trim('sender')} AS sender, {trim('content')} AS content, timestamp, {message_type('content', 'sender')} AS type,
+        row_number() OVER (PARTITION BY chat_id ORDER BY timestamp, line_number) AS line_number FROM messages""",
+    "messages",
+)
 oracle(
     "stream_import",
     """SELECT chat_id AS name, CAST(count(DISTINCT sender) AS INTEGER) AS participant_count, CAST(count(*) AS INTEGER) AS message_count,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.operators import parsing
 from chatloom.operators.ordered import Ordered
-from chatloom.session import spread
+from chatloom.session import durable, spread
 
 LINE_BREAK = "\r\n|\n|\r"
 
@@ -78,6 +78,35 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Children of a node in the hash tree of a file.
+FAN = 4096
+
+
+def file_roots(spark: SparkSession, path: str, fan: int = FAN, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """file, size, root: a hash of each text file that needs no task to hold the file.
+
+    The leaves are the digests of `fan` lines each, every level above digests `fan` nodes, and
+    the root digests the file's size with the top.  Files of any size are read in splits and
+    numbered by block; equal files have equal roots, whatever splits they were read in.  Line
+    ends count through the size only.  Empty files have no root, as Spark does not read them."""
+    def level(rows: DataFrame, number: str, digest: str) -> DataFrame:
+        parts = rows.groupBy("file", F.floor((F.col(number) - 1) / fan).cast("long").alias("__n")).agg(
+            F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(digest).alias("d")))).alias("__l"))
+        joined = F.array_join(F.transform("__l", lambda x: x["d"]), "")
+        return parts.select("file", (F.col("__n") + 1).alias("n"), F.sha2(joined, 256).alias("d"))
+
+    lines = read_lines(spark, path, whole_file_bytes).select("file", F.col("line_number").alias("n"), F.sha2("line", 256).alias("d"))
+    top = durable(level(lines, "n", "d"))
+    # One number: how many levels the longest file needs.
+    most = top.agg(F.max("n")).first()[0] or 1
+    while most > 1:
+        top = level(top, "n", "d")
+        most = -(-most // fan)
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"))
+    root = F.sha2(F.concat_ws(":", F.col("size").cast("string"), F.coalesce("d", F.lit(""))), 256)
+    return files.join(top, "file", "left").select("file", "size", root.alias("root"))
+
+
 def unzip_exports(spark: SparkSession, path: str) -> DataFrame:
     """Zip exports: the first .txt member outside __MACOSX, as (file, text)."""
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -115,6 +144,16 @@ def read_json_chats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_json_chats(messages: DataFrame, path: str) -> None:
+    """One JSON document per chat, as `read_json_chats` takes them."""
+    one = F.struct(
+        F.col("timestamp").alias("t"), F.col("line_number").alias("l"),
+        F.struct(F.col("sender").alias("from"), T.iso_instant(F.col("timestamp")).alias("date"), F.col("content").alias("text")).alias("m"))
+    chats = messages.groupBy("chat_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"]).alias("messages"))
+    body = F.to_json(F.struct(F.col("chat_id").alias("name"), "messages"))
+    chats.select("chat_id", body.alias("text")).write.partitionBy("chat_id").mode("overwrite").text(path)
+
+
 def render_lines(messages: DataFrame, fmt: str) -> DataFrame:
     """Messages as export lines: chat_id, timestamp, line_number, text."""
     at = F.timestamp_seconds("timestamp")

@@ -70,6 +70,27 @@ def test_hashes_and_duplicates(spark, tmp_path):
     assert [r.file.split("/")[-1] for r in store.new_files(files, known).collect()] == ["a.txt"]
 
 
+def test_roots_of_files_of_any_size(spark, tmp_path):
+    """Equal files have equal roots in whatever splits they are read; one byte, one line end or one line more is another root."""
+    text = "".join(f"linha {i} {'x' * (i % 9)}\n" for i in range(1, 700))
+    bodies = {"a.txt": text, "copy.txt": text, "byte.txt": text.replace("linha 350", "linha 35O"), "less.txt": text[:-1], "more.txt": text + "\n",
+              "crlf.txt": text.replace("\n", "\r\n"), "small.txt": "um", "empty.txt": ""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body.encode())
+    seen = []
+    for split, whole in ((1 << 20, 1 << 30), (900, 1000), (333, 1)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        try:
+            got = {r.file.split("/")[-1]: (r.size, r.root) for r in X.file_roots(spark, str(tmp_path), fan=7, whole_file_bytes=whole).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2]
+    roots = {n: r for n, (_, r) in seen[0].items()}
+    assert roots["a.txt"] == roots["copy.txt"] and len(set(roots.values())) == 6
+    assert {n: s for n, (s, _) in seen[0].items()} == {n: len(b.encode()) for n, b in bodies.items() if b}
+
+
 def test_unzip_takes_the_first_text_member(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("__MACOSX/._chat.txt", "no")
