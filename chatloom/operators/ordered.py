@@ -21,7 +21,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.session import durable, has_hot_group
+from chatloom.session import durable, slices_for_hot_groups
 
 SLICE = "__slice"
 # A number per row once rows are sliced, so that rows of equal place stay apart.
@@ -47,9 +47,9 @@ class Ordered:
 
     @staticmethod
     def over(df: DataFrame, keys: list[str], order: list[str]) -> "Ordered":
-        if not has_hot_group(df, keys):
+        parts = slices_for_hot_groups(df, keys)
+        if not parts:
             return Ordered(df, tuple(keys), tuple(order))
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = df.repartitionByRange(parts, *keys, *order)
         sliced = durable(ranged.withColumns({SLICE: F.spark_partition_id(), ROW: F.monotonically_increasing_id()}))
         return Ordered(sliced, tuple(keys), (*order, ROW), SLICE, True)

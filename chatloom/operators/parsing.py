@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import constants as K
 from chatloom.functions import text as T
 from chatloom.operators.ordered import Ordered
-from chatloom.session import has_hot_group
+from chatloom.session import slices_for_hot_groups
 
 
 def patterns_for(regional: bool = False) -> dict[str, str]:
@@ -109,7 +109,7 @@ def _numbered(lines: DataFrame, regional: bool) -> list[DataFrame]:
             _number_whole(lines.filter(~F.col("split")), regional),
             _number_split(lines.filter("split"), regional),
         ]
-    elif has_hot_group(lines, ["file"]):
+    elif slices_for_hot_groups(lines, ["file"]):
         parts = [_number_split(lines, regional)]
     else:
         parts = [_number_whole(lines, regional)]

@@ -7,10 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Inputs the optimizer expects to be below this many bytes cannot hold a group
-# too big for one task; anything larger is measured before it is trusted.
+# Inputs the optimizer expects to be below this many bytes, a few million rows even
+# if they are packed well, cannot hold a group too big for one task; anything larger is
+# measured before it is trusted.
 SMALL_INPUT_BYTES = "chatloom.smallInputBytes"
-SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
+SMALL_INPUT_DEFAULT = 8 * 1024 * 1024
+# Inputs of few files up to this size are dealt out before costly work on their rows.
+SPREAD_BYTES = 64 * 1024 * 1024
 # The largest number of rows one task may be asked to hold in order.
 HOT_GROUP_ROWS = "chatloom.hotGroupRows"
 HOT_GROUP_DEFAULT = 500_000
@@ -59,22 +62,26 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def has_hot_group(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some group of `keys` is too large for one task.  Small inputs are
-    answered from the estimate; larger ones by one map-side combined count, of
-    which a single number comes back."""
+def slices_for_hot_groups(df: DataFrame, keys: list[str]) -> int:
+    """0 if every group of `keys` fits one task, else into how many slices the rows go so
+    that each holds no more than a task should.  Small inputs are answered from the
+    estimate; larger ones by one map-side combined count, of which two numbers come back."""
     conf = df.sparkSession.conf
     if estimated_bytes(df) <= int(conf.get(SMALL_INPUT_BYTES, str(SMALL_INPUT_DEFAULT))):
-        return False
+        return 0
     limit = int(conf.get(HOT_GROUP_ROWS, str(HOT_GROUP_DEFAULT)))
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > limit
+    largest, rows = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) <= limit:
+        return 0
+    least = int(conf.get("spark.sql.shuffle.partitions"))
+    # A limit set below any sensible one, as in tests, does not make a slice per row.
+    return max(least, -(-rows // max(limit, 10_000)))
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal out a small input, which Spark would read in one task or a few, ahead of
     work on its texts that costs far more than reading them.  Small means a fixed
     size, whatever the cluster: larger inputs are never shuffled for this."""
-    if estimated_bytes(df) > SMALL_INPUT_DEFAULT:
+    if estimated_bytes(df) > SPREAD_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
