@@ -270,14 +270,23 @@ def search_narrative(
     return ranked.drop("date_from", "date_to", "only_chat")
 
 
+ENTITY_TEXT = ["name", "normalized_name", "type", "action"]
+
+
+def entity_texts(entities: DataFrame) -> DataFrame:
+    """The different texts of entities, cut into words and stored: the same few (name, type,
+    action) recur, and each is matched once."""
+    texts = entities.select(*ENTITY_TEXT).distinct().withColumn("__type", F.col("type"))
+    return durable(tokenized(texts, ENTITY_TEXT, ["name", "__type", "action"]))
+
+
 def search_aggregation(
-    queries: DataFrame, entities: DataFrame, sessions: DataFrame, limit: int = K.AGGREGATION_LIMIT
+    queries: DataFrame, entities: DataFrame, sessions: DataFrame, limit: int = K.AGGREGATION_LIMIT, texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Entities counted by (normalized_name, type): query_id, rank, name, type, count."""
-    # The same few (name, type, action) texts recur; each is matched once.
-    text = ["name", "normalized_name", "type", "action"]
-    texts = entities.select(*text).distinct().withColumn("__type", F.col("type"))
-    docs = durable(tokenized(texts, text, ["name", "__type", "action"]))
+    """Entities counted by (normalized_name, type): query_id, rank, name, type, count.
+    `texts` comes from `entity_texts`, if several searches share it."""
+    text = ENTITY_TEXT
+    docs = entity_texts(entities) if texts is None else texts
     # Stored, because its size is looked at before it is joined.
     matched = durable(phrase_hits(docs, text, phrases(queries)).select("query_id", *text).distinct())
     hits = entities.select("session_id", *text).join(matched, text)
@@ -294,10 +303,10 @@ def search_aggregation(
 
 
 def entity_hop(
-    queries: DataFrame, entities: DataFrame, sessions: DataFrame, limit: int = K.HOP_LIMIT
+    queries: DataFrame, entities: DataFrame, sessions: DataFrame, limit: int = K.HOP_LIMIT, texts: DataFrame | None = None
 ) -> DataFrame:
     """Queries whose keywords gained the names of the entities they point at."""
-    names = search_aggregation(queries, entities, sessions, limit).groupBy("query_id").agg(
+    names = search_aggregation(queries, entities, sessions, limit, texts).groupBy("query_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]
         ).alias("__names")
@@ -315,12 +324,13 @@ def routed_search(
 ) -> DataFrame:
     """Each query by its intent, all in one result table."""
     asked = queries.withColumn("keywords", T.keywords_or_text(F.col("keywords"), F.col("text")))
+    texts = entity_texts(entities)
     if hop:
         # The hop searches all entities; its result is only as long as the query
         # table and feeds every branch below.
-        asked = durable(entity_hop(asked, entities, sessions))
+        asked = durable(entity_hop(asked, entities, sessions, texts=texts))
     intent = F.col("intent")
-    counts = search_aggregation(asked.filter(intent == "aggregation"), entities, sessions)
+    counts = search_aggregation(asked.filter(intent == "aggregation"), entities, sessions, texts=texts)
     item = F.concat(
         F.lit("- Entity: "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(") | Count: "),
         F.col("count").cast("string"), F.lit("\n"),

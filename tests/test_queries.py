@@ -8,7 +8,7 @@ from chatloom.plans import catalog
 from chatloom.plans.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events documents embeddings benchmark conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark conversations".split()
 
 
 @pytest.fixture(scope="module")
