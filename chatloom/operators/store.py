@@ -135,7 +135,8 @@ def replay(changes: DataFrame, keys: list[str], order: list[str], scope: list[st
 
     Of every key the last change counts: a put is the row, a delete a tombstone.  A clear
     wipes all rows of its scope that were put before it; its key columns do not matter.
-    Changes of one place in the order count as clear, delete, put.  One aggregation keeps the
+    Changes of one place in the order count as clear, delete, put, of equal ones the row that
+    is greatest by its columns.  One aggregation keeps the
     last change per key and per scope's clears, both combined before the shuffle; scopes'
     last clears then meet the keys."""
     rank = F.when(F.col("op") == "clear", 0).when(F.col("op") == "delete", 1).otherwise(2)
@@ -145,7 +146,7 @@ def replay(changes: DataFrame, keys: list[str], order: list[str], scope: list[st
         *scope, *[F.when(~clears, F.col(k)).alias(k) for k in keys if k not in scope], clears.alias("__clear"),
         F.struct(*order, rank.alias("rank")).alias("__at"), F.struct(*[c for c in changes.columns if c not in (*scope, *keys)]).alias("__row"))
     names = list(dict.fromkeys([*scope, *keys]))
-    last = durable(keyed.groupBy(*names, "__clear").agg(F.max("__at").alias("__at"), F.max_by("__row", "__at").alias("__row")))
+    last = durable(keyed.groupBy(*names, "__clear").agg(F.max("__at").alias("__at"), F.max_by("__row", F.struct("__at", "__row")).alias("__row")))
     wiped = last.filter("__clear").groupBy(*scope).agg(F.max("__at").alias("__wiped"))
     alive = last.filter("not __clear and __row.op = 'put'")
     kept = join_null_safe(alive, wiped, scope, "left").filter(F.col("__wiped").isNull() | (F.col("__at") > F.col("__wiped")))

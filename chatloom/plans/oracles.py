@@ -1451,7 +1451,7 @@ oracle(
     "profile_tables_after_changes",
     """SELECT kind, contact_id, place, moment, text FROM (
         SELECT *, max(CASE WHEN op = 0 THEN moment END) OVER (PARTITION BY kind, contact_id) AS wiped,
-          row_number() OVER (PARTITION BY kind, contact_id, place, op = 0 ORDER BY moment DESC, op DESC) AS n FROM log)
+          row_number() OVER (PARTITION BY kind, contact_id, place, op = 0 ORDER BY moment DESC, op DESC, text DESC) AS n FROM log)
       WHERE op = 2 AND n = 1 AND (wiped IS NULL OR (moment, op) > (wiped, 0))""",
     extra={"log": """SELECT CASE WHEN l_linestatus = 'F' AND l_quantity > 45 THEN 0 WHEN l_returnflag = 'R' THEN 1 ELSE 2 END AS op,
         ['fact', 'block', 'profile'][l_linenumber % 3 + 1] AS kind, l_suppkey AS contact_id, l_linenumber AS place, l_orderkey AS moment, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS text FROM lineitem"""},
