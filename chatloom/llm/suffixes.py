@@ -48,7 +48,7 @@ LENGTH, ANCHOR = 400, 64
 #: Slots of the filters of repeated k-grams, of hot ones, and of changed texts.
 SHARED, HOT_SLOTS, CHANGED = 1 << 24, 1 << 20, 1 << 24
 #: Blocks above this many suffixes are dealt out; suffixes per range; those that set splitters.
-HOT, RANGE, SAMPLE = 50_000, 40_000, 20_000
+HOT, RANGE, SAMPLE = 40_000, 20_000, 20_000
 #: Neighbouring strings that go on together.
 BAND = 8
 #: Bytes of keys that a run may hold before it is sorted and sent.
@@ -520,14 +520,14 @@ def _apply(docs: DataFrame, columns: list[str], text: str, length: int, k: int,
 
     def split(wanted):
         def work(batches):
-            for batch in batches:
+            for batch in chunks(batches, text):
                 keep = sent.value(batch.column(row).to_numpy().view(np.uint64))
                 part = batch.filter(pa.array(keep if wanted else ~keep))
                 yield part if wanted else change(part, [[]] * part.num_rows)
         return work
 
     def joined(batches):
-        for batch in batches:
+        for batch in chunks(batches, text):
             cuts = [_merged((p["start"], p["end"]) for p in v or ()) for v in batch.column(pieces).to_pylist()]
             yield change(batch.drop_columns([pieces]), cuts)
 
@@ -538,24 +538,26 @@ def _apply(docs: DataFrame, columns: list[str], text: str, length: int, k: int,
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """Per row: the key, its text's size in bytes, how many are repeated, in how many
-    pieces, and the digest of what is left."""
+    pieces, the digest of what is left, and what is left as text (without the rests of
+    characters that were cut apart)."""
     from pyspark.sql.types import StructType
 
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def change(batch, pieces):
         out = []
         for value, cut in zip(batch.column(text), pieces, strict=True):
             raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-            out.append((len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(_cut(raw, cut)).hexdigest()))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            left = _cut(raw, cut)
+            out.append((len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column(key), *map(pa.array, columns, kinds)], [key, *names])
 
     schema = StructType([docs.schema[key]])
     for name in names[:3]:
         schema = schema.add(name, "long")
-    return _apply(docs, [key, text], text, length, k, change, schema.add("kept_sha256", "string"))
+    return _apply(docs, [key, text], text, length, k, change, schema.add("kept_sha256", "string").add("kept_text", "string"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
