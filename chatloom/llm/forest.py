@@ -7,7 +7,7 @@ round by round, by planes between some of their own vectors, until none is left
 no plane is found.  A query keeps one priority queue over the nodes of *all*
 trees: the margin by which it misses a node's side is the node's priority, so the
 search opens whichever leaf of whichever tree is most promising, until the leaves
-opened hold `candidates` vectors and every tree has had `LEAST` of its leaves opened, so
+opened hold `candidates` vectors, more of them in larger tables, and every tree has had `LEAST` of its leaves opened, so
 that no crowded leaf ends it early.  Candidates of the opened leaves are ranked by
 their exact cosine; the best k of each leaf and query go on, and the best k of those
 are the answer.
@@ -17,7 +17,8 @@ answer, and no leaf can be full of equals.  Leaves and the queries at a leaf are
 into blocks of bounded size; only best-k lists leave a block.
 
 Nulls and edges: vectors that are null, zero, or hold null or non-finite components
-neither ask nor answer.  Equal scores go to the smaller id.  With fewer than k other
+neither ask nor answer.  Vectors of different lengths have no cosine; each length, of which
+a table has few, is searched on its own.  Equal scores go to the smaller id.  With fewer than k other
 vectors all are returned.  Repeated ids are separate rows; a query skips rows of its
 own id.  Other columns are not read.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain, count
 
 import numpy as np
@@ -38,8 +40,9 @@ from chatloom.llm.vectors import matrix, unit, valid
 from chatloom.session import durable
 
 TREES, LEAF, SAMPLE = 12, 48, 20_000
-#: Vectors that a query's opened leaves hold, counted once per tree they are found in.
-CANDIDATES = 12_000
+#: Vectors that a query's opened leaves hold, counted once per tree they are found in, in a
+#: table of `USUAL` vectors or fewer; beyond, the number grows with this power of the table.
+CANDIDATES, USUAL, GROWTH = 12_000, 20_000, 0.75
 #: Vectors a leaf may hold before it is split on, those that its planes are drawn from,
 #: rounds that may pass without a plane for any leaf, leaves that every tree must open.
 LEAF_ROWS, DRAWN, IDLE, LEAST = 1024, 24, 3, 4
@@ -178,7 +181,15 @@ def _bounded(nodes: DataFrame, forest: Forest) -> tuple[Forest, np.ndarray]:
 def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
            candidates: int = CANDIDATES, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, <key>, score): the k nearest other rows found for each row that asks."""
-    rows = valid(df.select(F.col(key).cast("long").alias("id"), asks.alias("asks"), F.col(vector).alias("v")), "v")
+    given = df.select(F.col(key).cast("long").alias("id"), asks.alias("asks"), F.col(vector).alias("v"))
+    sizes = sorted(r[0] for r in given.where("v is not null and size(v) > 0").select(F.size("v")).distinct().collect())
+    found = [_search(given.where(F.size("v") == n), k, key, candidates, trees, sample) for n in sizes or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(given: DataFrame, k: int, key: str, candidates: int, trees: int, sample: int) -> DataFrame:
+    """The same among vectors of one length: id, asks, v."""
+    rows = valid(given, "v", every_length=True)
     rows = durable(rows.withColumn("node", F.xxhash64("raw")))
     # Of equal vectors the k + 1 smallest ids can be in an answer.
     few = rows.selectExpr("node", "raw", "id", "row_number() over (partition by node, raw order by id) as place").where(F.col("place") <= k + 1)
@@ -187,7 +198,8 @@ def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
     picked = nodes if there <= sample else nodes.where(F.pmod("node", F.lit(1_000_000)) < int(1_000_000 * sample / there))
     raws = sorted(bytes(r.raw) for r in picked.select("raw").limit(2 * sample).collect())
     forest = grow(unit(np.array([np.frombuffer(r) for r in raws])), trees)
-    context = df.sparkSession.sparkContext
+    context = given.sparkSession.sparkContext
+    budget = int(candidates * max(1.0, there / USUAL) ** GROWTH)
     forest, held = _bounded(nodes, forest)
     sent = context.broadcast(forest)
 
@@ -210,7 +222,7 @@ def search(df: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector:
                 part = batch.slice(at, 64)
                 q = unit(matrix(part.column("raw")))
                 margins = q @ f.normal.T - f.offset if len(f.offset) else np.zeros((len(q), 0))
-                opened = [f.open(m, sizes, candidates, LEAST) for m in margins]
+                opened = [f.open(m, sizes, budget, LEAST) for m in margins]
                 take = np.repeat(np.arange(len(q)), [len(o) for o in opened])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for o in opened for x in o], pa.int64()),

@@ -65,6 +65,15 @@ def test_forest_opens_few_leaves_and_blocks(vectors, monkeypatch):
     assert forest.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_forest_of_several_lengths(spark):
+    rows = [(i, [1.0, i / 7]) for i in range(8)] + [(100 + i, [1.0, 0.0, i / 5]) for i in range(6)] + [(200, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in forest.search(table, F.col("vec_id") % 50 == 0, k=2).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    assert {q: sorted(v) for q, v in got.items()} == {0: [(1, 1), (2, 2)], 100: [(1, 101), (2, 102)]}
+
+
 def test_forest_with_a_budget_far_below_the_table(spark, monkeypatch):
     """Trees of a small sample are split on over all rows, and no crowded leaf ends the search."""
     monkeypatch.setattr(forest, "LEAF_ROWS", 60, raising=False)
@@ -205,7 +214,7 @@ def test_pipeline(spark, tmp_path):
     pairs = [[(x.doc_id, x.text) for x in k.select("doc_id", "text").orderBy("doc_id").collect()] for k in kept[:5]]
     assert [d for d, _ in pairs[1]] == [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)]
     assert [d for d, _ in pairs[2]] == sorted(d for d, _, c in linked(pairs[1]) if d == c)
-    sizes = {d: (n - gone) for d, n, gone, _, _ in cut(pairs[2], 400)}
+    sizes = {d: (n - gone) for d, n, gone, _, _ in cut(pairs[2], corpus_pipeline.PASSAGE)}
     assert {d: len(t.encode()) for d, t in pairs[3]} == sizes and sum(sizes.values()) < sum(len(t) for _, t in pairs[2])
     assert all(t == secrets.redact(b, secrets.scan(b)[1]) for (_, t), (_, b) in zip(pairs[4], pairs[3], strict=True))
     assert "[SECRET]" in dict(pairs[4])[len(texts) - 1]
