@@ -205,3 +205,11 @@ def relative_time(epoch: Column, now: Column) -> Column:
         .when(days < 7, F.concat(days.cast("string"), F.lit("d atrás")))
         .otherwise(day_and_month(epoch))
     )
+
+
+def fill(template: str, **parts: Column | str) -> Column:
+    """A text template with {name} places as a column."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    named = [F.col(parts[p]) if isinstance(parts[p], str) else parts[p] for p in pieces[1::2]]
+    texts = [F.lit(p) for p in pieces[::2]]
+    return F.concat(*[c for pair in zip(texts, [*named, F.lit("")]) for c in pair])
