@@ -236,11 +236,20 @@ def mark_processed(mentions: DataFrame, done: DataFrame) -> DataFrame:
     )
 
 
-def pass_metrics(people: DataFrame, offered_tags: DataFrame, inserted_tags: DataFrame, memories: DataFrame) -> DataFrame:
-    """One row: people handled, tags offered and inserted, memories."""
+def pass_metrics(
+    answers: DataFrame, offered_tags: DataFrame, inserted_tags: DataFrame, memories: DataFrame, now: int = 0
+) -> DataFrame:
+    """One row: people handled, tags offered and inserted, memories, people without an
+    answer, one of their errors (null if none), and when the pass ran.  answers: person_id,
+    status, errors."""
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n)).scalar().alias(n)
-    counted = people.agg(F.count_distinct("person_id").alias("people_processed"))
+    bad = F.col("status") != "ok"
+    counted = answers.agg(
+        F.count_distinct(F.when(~bad, F.col("person_id"))).alias("people_processed"),
+        F.count_distinct(F.when(bad, F.col("person_id"))).alias("people_failed"),
+        F.max(F.when(bad, F.try_element_at("errors", F.lit(-1)))).alias("last_error"),
+    )
     return counted.select(
         "people_processed", one(offered_tags, "tags_offered"), one(inserted_tags, "tags_inserted"),
-        one(memories, "memories_inserted"),
+        one(memories, "memories_inserted"), "people_failed", "last_error", F.lit(now).cast("long").alias("last_run"),
     )

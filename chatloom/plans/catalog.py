@@ -743,7 +743,7 @@ def moody_model(prompts: list[str]) -> list[str]:
     JSON three times or always, hangs once or always."""
     out = []
     for p in prompts:
-        told, _, notes = p.removeprefix(extraction.SESSION_TASK).partition(extraction.NOTE)
+        told = p.removeprefix(extraction.SESSION_TASK).split(extraction.NOTE)[0]
         failures = p.count(extraction.NOTE)
         mark = hashlib.md5(told.encode()).hexdigest()
         if mark[0] == "0" and not failures:

@@ -1103,7 +1103,8 @@ oracle(
 oracle(
     "knowledge_metrics",
     f"""SELECT count(DISTINCT person_id) AS people_processed, count(*) AS tags_offered,
-        count(DISTINCT (person_id, size % 7)) AS tags_inserted, count(*) AS memories_inserted FROM ({_KNOWN})""",
+        count(DISTINCT (person_id, size % 7)) AS tags_inserted, count(*) AS memories_inserted, CAST(0 AS BIGINT) AS people_failed,
+        CAST(NULL AS VARCHAR) AS last_error, CAST(0 AS BIGINT) AS last_run FROM ({_KNOWN})""",
     "mentions", "order_sessions",
 )
 

@@ -185,12 +185,11 @@ def knowledge_pass(
         )
     )
     inserted = people.insert_tags(tags, offered)
-    done = known.filter("status = 'ok'").select("person_id")
     return {
         "tags": inserted,
         "memories": memories,
         "mentions": people.mark_processed(mentions, open_mentions),
-        "metrics": people.pass_metrics(done, offered, inserted, memories),
+        "metrics": people.pass_metrics(known, offered, inserted, memories, now),
     }
 
 

@@ -100,7 +100,9 @@ def test_knowledge_pass_marks_everything(spark):
     assert [r.tag for r in out["tags"].collect()] == ["gamer"]
     assert [(r.memory, r.session_id) for r in out["memories"].collect()] == [("Viajou", "s1")]
     assert all(r.processed for r in out["mentions"].collect())
-    assert tuple(out["metrics"].first()) == (1, 2, 1, 1)
+    assert tuple(out["metrics"].first()) == (1, 2, 1, 1, 0, None, 0)
+    broken = jobs.knowledge_pass(mentions, sessions, tags, lambda prompts: ["no"] * len(prompts), now=7)["metrics"].first()
+    assert (broken.people_processed, broken.people_failed, broken.last_run) == (0, 1, 7) and "Expecting value" in broken.last_error
 
 
 def test_budget_stream_equals_batch_whatever_the_files(spark, tmp_path):
