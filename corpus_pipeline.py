@@ -9,18 +9,19 @@ from chatloom.llm import jaccard, langid, packing, secrets, suffixes
 from chatloom.llm.common import fold, fresh, row_key, table
 from chatloom.llm.queries import tokenizer
 
-#: A text is in no learned language if its best language has less than this share of
-#: its hits.  Four languages that tie would have 0.25 each.
-LEAST_SHARE = 0.28
+#: Bytes of a passage that counts as repeated: a little below fifty short words.
+PASSAGE = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without text, without letters, or in no learned language.  The
-    model is learned from the given table, not from what is left of it."""
+    """Drops documents without text, without letters, or in no learned language: those
+    that list far fewer of their n-grams than the language's own texts do, whatever the
+    number of languages.  Texts too short to judge stay.  The model is learned from the
+    given table, not from what is left of it."""
     given = table(spark, sf_dir, "documents")
     model = langid.fit(given.where(fold() != 1).select("text", "lang"))
     judged = langid.predict(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & F.col("fits")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +45,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages that also stand elsewhere.  A document whose whole text goes
-    stays, as an empty text."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Cuts out passages of `PASSAGE` bytes or more that also stand elsewhere.  A document
+    whose whole text goes stays, as an empty text; null texts stay null."""
+    return suffixes.without_repeats(docs, length=PASSAGE).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets, also encoded ones."""
+    """Masks secrets, also encoded ones.  Null texts stay null, empty ones empty."""
     return secrets.redact_table(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences; a null or empty text is one closing id."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
