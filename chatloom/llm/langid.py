@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import CHUNK_BYTES, Spans, chunks, mix, texts_of
+from chatloom.llm.common import Spans, chunks, mix, texts_of
 from chatloom.session import durable
 
 #: Bytes per n-gram, slots of the filter, slots read per n-gram.
@@ -84,7 +84,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * train_rows / there))
 
     def count(batches):
-        for batch in chunks(batches, "text", 3 * CHUNK_BYTES):
+        for batch in chunks(batches, "text"):
             hashes, of = _grams(*texts_of(batch.column("text")))
             names, code = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
             for i, name in enumerate(names):
