@@ -39,6 +39,8 @@ def activity_rollup(messages: DataFrame) -> DataFrame:
 
 # People of a context whose pairs one task may make; a larger context is a grid of blocks.
 CONTEXT_BLOCK = 1000
+# Pairs that one task makes and counts, about.
+TASK_PAIRS = 1_000_000
 
 
 def shared_contexts(memberships: DataFrame, context: str = "context_id", person: str = "person_id") -> DataFrame:
@@ -48,16 +50,22 @@ def shared_contexts(memberships: DataFrame, context: str = "context_id", person:
     context of more than `CONTEXT_BLOCK` people is cut into blocks by a hash of the person;
     its pairs are those of each block with itself and with every later block, a cell of that
     triangle being one group, so no context lands in one task, and each cell's counts are
-    combined before they are shuffled."""
+    combined before they are shuffled.  Contexts are dealt to as many tasks as their pairs
+    need, so that a task counts about `TASK_PAIRS` of them, however many there are."""
     once = durable(memberships.select(F.col(context).alias("c"), F.col(person).alias("p")).filter("c is not null and p is not null").distinct())
-    sizes = once.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CONTEXT_BLOCK)
-    heavy = durable(sizes.select("c", F.ceil(F.col("n") / CONTEXT_BLOCK).cast("int").alias("blocks")))
-    light = once.join(heavy, "c", "left_anti")
+    sizes = once.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    heavy = durable(sizes.filter(F.col("n") > CONTEXT_BLOCK).select("c", F.ceil(F.col("n") / CONTEXT_BLOCK).cast("int").alias("blocks")))
+    # Two numbers: the pairs of contexts that are whole, and of cells.
+    many = F.col("n") * F.col("n") / 2
+    small, large = sizes.agg(F.sum(F.when(F.col("n") <= CONTEXT_BLOCK, many)), F.sum(F.when(F.col("n") > CONTEXT_BLOCK, many))).first()
+    tasks = lambda made: max(once.sparkSession.sparkContext.defaultParallelism, int((made or 0) // TASK_PAIRS) + 1)
+    light = once.join(heavy, "c", "left_anti").repartition(tasks(small), "c")
     pairs = light.select("c", F.col("p").alias("a")).join(light.select("c", F.col("p").alias("b")), "c").filter("a < b").select("a", "b")
     dealt = once.join(heavy, "c").withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
     rows = dealt.select("c", F.col("p").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
     columns = dealt.select("c", F.col("p").alias("b"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
-    cells = rows.join(columns, ["c", "i", "j"]).filter("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cell = ["c", "i", "j"]
+    cells = rows.repartition(tasks(large), *cell).join(columns.repartition(tasks(large), *cell), cell).filter("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(cells).groupBy(F.col("a").alias("source_id"), F.col("b").alias("target_id")).agg(F.count(F.lit(1)).alias("shared"))
 
 

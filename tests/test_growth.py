@@ -1,6 +1,10 @@
 """Work that makes far more rows than it reads is dealt to tasks by what it makes."""
 
-from chatloom.operators import stats
+from itertools import combinations
+
+import pytest
+
+from chatloom.operators import analytics, stats
 from chatloom.session import dealt
 
 MESSAGE = "chat_id string, sender string, content string, timestamp long, type string, line_number long"
@@ -33,3 +37,18 @@ def test_tasks_follow_the_bytes(spark):
     few = dealt(spark.range(100), "id").rdd.getNumPartitions()
     many = dealt(spark.range(100), "id", size=10).rdd.getNumPartitions()
     assert few == spark.sparkContext.defaultParallelism and many > few
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_contexts_are_dealt_by_their_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(analytics, "CONTEXT_BLOCK", block)
+    monkeypatch.setattr(analytics, "TASK_PAIRS", 2)
+    members = {c: list(range(c, c + size)) for c, size in ((1, 2), (2, 5), (3, 11))}
+    rows = spark.createDataFrame([(c, p) for c, people in members.items() for p in people] + [(None, 1), (1, None)], "context_id int, person_id int")
+    shared = analytics.shared_contexts(rows)
+    wanted = {}
+    for people in members.values():
+        for pair in combinations(people, 2):
+            wanted[pair] = wanted.get(pair, 0) + 1
+    assert {(r.source_id, r.target_id): r.shared for r in shared.collect()} == wanted
+    assert "REPARTITION_BY_NUM" in plan(shared)
