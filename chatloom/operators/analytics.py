@@ -149,6 +149,8 @@ def _deletions(name):
 
 # Names that may share one segment at one place before they meet by deletions instead.
 HOT_SEGMENT = 200
+# Names whose forms one task makes, and whose share of the forms one task compares.
+TASK_NAMES = 500
 
 
 def _segments(size):
@@ -186,18 +188,27 @@ def name_variants(names: DataFrame, name: str = "name") -> DataFrame:
     Names that share a segment with many, as with a common prefix, meet only when they also
     share a form with up to two letters deleted.  The exact distance decides."""
     once = durable(names.select(T.fold(T.js_trim(F.col(name))).alias("n")).filter("n <> ''").distinct())
+    # A name is a few bytes and becomes hundreds of forms and pairs, which its size does not
+    # tell: the number of names says into how many tasks the forms go.
+    tasks = max(once.sparkSession.sparkContext.defaultParallelism, once.count() // TASK_NAMES + 1)
+    once = once.repartition(tasks, "n")
     own = once.select("n", F.inline(_own_segments(F.col("n"))))
     key = ["size", "i", "piece"]
     hot = durable(own.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_SEGMENT).drop("__n"))
     offered = once.select("n", F.inline(_offered_segments(F.col("n"))))
-    some = own.join(hot, key, "left_anti").withColumnRenamed("n", "a").join(offered.withColumnRenamed("n", "b"), key).select("a", "b")
+    dealt_out = lambda rows, *by: rows.repartition(tasks, *by).hint("merge")
+    some = dealt_out(own.join(hot, key, "left_anti").withColumnRenamed("n", "a"), *key).join(
+        dealt_out(offered.withColumnRenamed("n", "b"), *key), key).select("a", "b")
     # Both names of a pair that meets in a hot segment have it.
     crowded = own.join(hot, key, "left_semi").select("n").union(offered.join(hot, key, "left_semi").select("n")).distinct()
-    keyed = crowded.select("n", F.explode(_deletions(F.col("n"))).alias("v"))
-    alike = keyed.withColumnRenamed("n", "a").join(keyed.withColumnRenamed("n", "b"), "v").select("a", "b")
-    near = some.unionByName(alike).filter((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2))
-    near = near.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b")).distinct()
-    return near.withColumn("distance", F.levenshtein("name_a", "name_b").cast("long")).filter("distance <= 2")
+    keyed = crowded.repartition(tasks, "n").select("n", F.explode(_deletions(F.col("n"))).alias("v"))
+    alike = dealt_out(keyed.withColumnRenamed("n", "a"), "v").join(dealt_out(keyed.withColumnRenamed("n", "b"), "v"), "v").filter("a < b").select("a", "b")
+    # Names that meet are compared at once: far more meet, and meet several times, than are
+    # near, and only those that are near are shuffled to be told once.
+    near = some.filter(F.col("a") != F.col("b")).unionByName(alike).filter(F.abs(F.length("a") - F.length("b")) <= 2)
+    near = near.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"))
+    near = near.withColumn("distance", F.levenshtein("name_a", "name_b", 2).cast("long")).filter("distance between 1 and 2")
+    return near.distinct()
 
 
 def unify_names(rows: DataFrame, variants: DataFrame, name: str = "normalized_name") -> DataFrame:

@@ -52,3 +52,24 @@ def test_contexts_are_dealt_by_their_pairs(spark, monkeypatch, block):
             wanted[pair] = wanted.get(pair, 0) + 1
     assert {(r.source_id, r.target_id): r.shared for r in shared.collect()} == wanted
     assert "REPARTITION_BY_NUM" in plan(shared)
+
+
+def test_names_with_a_common_prefix_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(analytics, "HOT_SEGMENT", 3)
+    monkeypatch.setattr(analytics, "TASK_NAMES", 5)
+    names = [f"member#000{i:03d}" for i in range(0, 90, 3)] + ["ana", "anna", "hanna", "a", "", "bob"]
+    found = analytics.name_variants(spark.createDataFrame([(n,) for n in names * 2], "name string"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    told = sorted({n for n in names if n})
+    wanted = {(a, b, distance(a, b)) for a, b in combinations(told, 2) if distance(a, b) <= 2}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert "REPARTITION_BY_NUM" in plan(found)
