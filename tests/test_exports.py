@@ -108,3 +108,20 @@ def test_json_chats(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps(chat, indent=1))
     rows = X.read_json_chats(spark, str(tmp_path)).orderBy("line_number").collect()
     assert [(r.sender, r.content, r.timestamp, r.type) for r in rows] == [("A", "oi", 1714573800, "text"), ("", "", None, "system")]
+
+
+def test_folders_of_small_files_are_listed_by_few_tasks(spark, tmp_path, messages):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.unset(key)
+    X.write_exports(messages([(f"c{i}", "A", "um", 1714573800, "text", 1) for i in range(40)]), str(tmp_path / "out"))
+    lines = X.read_lines(spark, str(tmp_path / "out"))
+    assert int(spark.conf.get(key)) <= max(32, 4 * spark.sparkContext.defaultParallelism)
+    assert lines.columns == ["file", "block", "split", "line_number", "line"] and lines.count() == 40
+
+
+def test_writing_has_a_task_per_core(spark, tmp_path, messages):
+    rows = messages([(f"c{i:02d}", "A", "um", 1714573800 + i, "text", i) for i in range(64)])
+    for split in (True, False):
+        X.write_exports(rows, str(tmp_path / f"{split}"), split=split)
+        parts = {f.name.split("-")[1] for f in (tmp_path / f"{split}").glob("*/*.txt")}
+        assert len(parts) > 1
