@@ -11,11 +11,12 @@ members, and a recursive split at common values.  Every pair left is verified on
 the whole sets.
 
 Equal sets are one node from the start.  A list of m texts with one n-gram may hold
-a group of near copies, so its pairs are not written out.  First only neighbours in
-the lists of each set's rarest n-grams (by size, then set) are verified: links that
-make large groups one component at a cost in proportion to the lists.  Then all
-remaining pairs between *different* components are made and verified.  Pairs within a component change
-nothing and are never made; no link between components is lost.
+a group of near copies, so its pairs are not written out.  First every set is verified only with
+the next one in each list (by size, then set) and with the list's set of least place, the
+one with fewest rare n-grams of its own: mostly the text that the others were copied
+from.  These links make large groups one component at a cost in proportion to the lists.
+Then all remaining pairs between *different* components are made and verified.  Pairs
+within a component change nothing and are never made; no link between components is lost.
 
 Nulls and edges: words are runs without blanks, A-Z folded.  A null text or one
 without words has an empty set and is linked with nothing.  A text of fewer words
@@ -39,11 +40,11 @@ from chatloom.llm.common import (
 from chatloom.session import durable
 
 #: Slots of the count table and of the filter of texts to be compared.
-COUNTS, MARKS = 1 << 20, 1 << 24
+COUNTS, MARKS = 1 << 23, 1 << 24
+#: Places a task notes before it counts them, and the most that a count tells.
+NOTED, MOST = 1 << 21, 65535
 #: Sets a task remembers so as not to emit their prefixes again.
 REMEMBERED = 500_000
-#: Places from the front of a prefix whose list neighbours are verified first.
-FIRST = 3
 #: Longs of parity bits per set; bits of an n-gram that name its list (a list of two
 #: n-grams is only longer).
 PARITY, GRAM_BITS = 16, 40
@@ -94,18 +95,32 @@ def name_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of counts, no larger than a count may be."""
+    return np.minimum(x.astype(np.uint32) + y, MOST).astype(np.uint16)
+
+
 def _survey(docs: DataFrame, key: str, n: int) -> DataFrame:
     """Per row its set's size and name; and per task the counts of its n-grams."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
-        counts = np.zeros(COUNTS, np.int32)
-        fields = None
+        counts = np.zeros(COUNTS, np.uint16)
+        noted, fields = [], None
+
+        def count():
+            nonlocal counts
+            if noted:
+                slot, times = np.unique(np.concatenate(noted), return_counts=True)
+                counts[slot] = _plus(counts[slot], np.minimum(times, MOST))
+                noted.clear()
+
         for batch in chunks(batches, "text"):
             fields = batch.schema.field(key).type
             sets = gram_sets(*texts_of(batch.column("text")), n)
-            if any(map(len, sets)):
-                counts += np.bincount(slot_of(np.concatenate(sets), COUNTS), minlength=COUNTS).astype(np.int32)
+            noted.append(slot_of(np.concatenate(sets), COUNTS).astype(np.uint32))
+            if sum(map(len, noted)) > NOTED:
+                count()
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
@@ -113,6 +128,7 @@ def _survey(docs: DataFrame, key: str, n: int) -> DataFrame:
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 [key, "row", "n", "ref", "odd", "place", "counts"])
         if fields is not None:
+            count()
             made = slices(counts)
             m = made.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -125,7 +141,7 @@ def _survey(docs: DataFrame, key: str, n: int) -> DataFrame:
 
 def _postings(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
     """(gram, ref, at) of every set's prefix; `at` is the set's size, then the place."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches):
         often, seen = sent.value, set()
@@ -264,7 +280,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
     docs = docs.select(F.col(key), F.col(text).alias("text"), row_key(key, text).alias("row"))
     survey = durable(_survey(docs, key, n))
     rows = survey.where("n is not null").select(key, "row", "n", "ref")
-    counts = merged(survey.where("place is not null").select(*[c.split()[0] for c in SLICES.split(", ")]), COUNTS, np.int32)
+    counts = merged(survey.where("place is not null").select(*[c.split()[0] for c in SLICES.split(", ")]), COUNTS, np.uint16, _plus)
     full = rows.where("n > 0")
     sets = durable(survey.where("n > 0").groupBy("ref").agg(
         F.min("row").alias("row"), F.min(key).alias("first"), F.max("odd").alias("odd")))
@@ -277,8 +293,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
 
     pair = ["a", "b"]
     odd = lambda x: sets.select(F.col("ref").alias(x), F.col("odd").alias(f"{x}_odd"))
-    beside = lists.selectExpr("*", "lead(struct(ref, size, pos)) over (partition by gram order by size, ref) as next")
-    beside = beside.where(f"next.ref <> ref and least(pos, next.pos) < {FIRST}").selectExpr(
+    beside = lists.selectExpr(
+        "*", "array(lead(struct(ref, size, pos)) over (partition by gram order by size, ref), "
+             "min_by(struct(ref, size, pos), struct(pos, size, ref)) over (partition by gram)) as others")
+    beside = beside.select("*", F.explode("others").alias("next")).where("next.ref <> ref").selectExpr(
         "ref as a", "next.ref as b", "size as a_size", "pos as a_pos", "next.size as b_size", "next.pos as b_pos")
     near = beside.where(_near(percent)).select(
         F.least(*pair).alias("a"), F.greatest(*pair).alias("b"), (F.col("a_size") + F.col("b_size")).alias("sizes")).distinct()

@@ -102,6 +102,26 @@ def test_jaccard_borders(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == linked(rows)
 
 
+def test_jaccard_copies_meet_their_original_first(spark, monkeypatch):
+    """Copies with a change each are hardly near each other, only the original is near all:
+    no pair of copies is left to be made."""
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda i: [f"x{i}" if j == i else f"y{i}" if j == i + 1 else w for j, w in enumerate(words)]
+    rows = [(0, " ".join(words)), *((1 + i, " ".join(changed(5 + 2 * i))) for i in range(40))]
+    made = []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: made.append(pairs.count()) or verified(pairs, *more))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    # In proportion to the rows, not to their square, and at once.
+    assert len(made) == 1 and made[0] < 4 * len(rows)
+
+
+def test_jaccard_counts_stop_at_the_most(spark):
+    got = jaccard._plus(np.array([1, jaccard.MOST, 40000], np.uint16), np.array([2, 1, 40000], np.uint16))
+    assert got.dtype == np.uint16 and got.tolist() == [3, jaccard.MOST, jaccard.MOST]
+
+
 def test_jaccard_empty(empty):
     assert jaccard.link(empty).count() == 0
 
