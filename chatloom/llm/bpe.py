@@ -22,12 +22,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from chatloom.llm.common import chunks
+
 #: Entries of the table of short pieces that a task remembers.
 REMEMBERED = 700_000
 SHORT = 48
@@ -119,13 +122,14 @@ class Merges:
             self._known[a, b] = known
         return known
 
-    def spell(self, raw: bytes) -> list[int]:
+    def spell(self, raw: bytes, last: list[int] | None = None) -> list[int]:
         """The tokens of a piece that is shorter than the lookahead: the transducer's
-        steps with the whole piece as its window."""
+        steps with the whole piece as its window.  `last` holds the last tokens of the
+        prefixes that are known from another piece, and gets those of the others."""
         find, known, tails, fits = self.by_bytes.get, self._known.get, self.tails.get, self.fits
         n = len(raw)
-        last = [0] * (n + 1)
-        for end in range(1, n + 1):
+        last = [0] if last is None else last
+        for end in range(len(last), n + 1):
             far = tails(raw[end - 3 if end > 3 else 0 : end], self.longest)
             for start in range(end - far if end > far else 0, end):
                 token = find(raw[start:end])
@@ -135,14 +139,28 @@ class Merges:
                     apart = known((last[start], token))
                     if not (fits(last[start], token) if apart is None else apart):
                         continue
-                last[end] = token
+                last.append(token)
                 break
+            else:
+                raise ValueError("the merge list cannot spell this byte")
         out, size = [], self.bytes_of
         while n:
             out.append(last[n])
             n -= len(size[last[n]])
         return out[::-1]
 
+    def spell_all(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """The tokens of sorted pieces.  The last token of a prefix depends on nothing
+        after it, so pieces that begin alike share those steps."""
+        before, last = b"", [0]
+        for raw in pieces:
+            same, most = 0, min(len(raw), len(before))
+            while same < most and raw[same] == before[same]:
+                same += 1
+            del last[same + 1 :]
+            yield self.spell(raw, last)
+            before = raw
+
     def _lookahead(self) -> int:
         """Bytes after a token's end that can still change it.  reach(rule) is how far
         from its own start a rule's use depends on the text: its length, or through a
@@ -274,19 +292,36 @@ class Coder(dict):
             got = tuple(machine.feed(raw) + machine.finish())
         return got
 
-    def encode(self, text: str) -> list[int]:
+    def cut(self, text: str) -> list[tuple[bool, list[str]]]:
+        """The text's pieces in order, special tokens marked and apart."""
+        parts = self.split.split(text) if self.split and "<" in text else [text]
+        return [(True, [part]) if i % 2 else (False, (_PLAIN if part.isascii() else _WIDE).findall(part))
+                for i, part in enumerate(parts) if part]
+
+    def learn(self, texts: list[list[tuple[bool, list[str]]]]) -> None:
+        """Spell the short pieces of cut texts that are not known yet, in their order."""
         if len(self) > REMEMBERED:
             self.clear()
-        parts = self.split.split(text) if self.split and "<" in text else [text]
+        new = {p for parts in texts for special, pieces in parts if not special for p in pieces}.difference(self)
+        # By code point is by UTF-8 byte.
+        short = sorted(p for p in new if len(p) <= SHORT)
+        for piece, ids in zip(short, self.merges.spell_all([p.encode() for p in short]), strict=True):
+            self[piece] = tuple(ids)
+
+    def spelled(self, parts: list[tuple[bool, list[str]]]) -> list[int]:
         out: list[int] = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(self.merges.special[part])
-            elif part:
-                pieces = (_PLAIN if part.isascii() else _WIDE).findall(part)
+        for special, pieces in parts:
+            if special:
+                out.append(self.merges.special[pieces[0]])
+            else:
                 out.extend(chain.from_iterable(map(self.__getitem__, pieces)))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return self.spelled(self.cut(text))
+
     def decode(self, ids: list[int], step: int = 1 << 16) -> str:
         machine, out = ByteText(), []
         for at in range(0, len(ids), step):
@@ -312,10 +347,12 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def work(batches):
         c = coder(path)
-        for batch in batches:
+        for batch in chunks(batches, text):
             out = []
-            for value in batch.column(text):
-                ids = c.encode(value.as_py() or "")
+            texts = [c.cut(value or "") for value in batch.column(text).to_pylist()]
+            c.learn(texts)
+            for parts in texts:
+                ids = c.spelled(parts)
                 shown = ",".join(map(c.shown.__getitem__, ids))
                 out.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(),
                             hashlib.sha256(c.decode(ids).encode()).hexdigest()))

@@ -417,6 +417,16 @@ def odd_texts(n=300):
     return out
 
 
+def test_bpe_pieces_that_begin_alike_share_steps(monkeypatch):
+    merges = bpe.coder(public.path("byte_bpe_50k.json")).merges
+    pieces = sorted({p.encode() for t in odd_texts(40) for p in bpe._WIDE.findall(t)[:20] if len(p) <= bpe.SHORT})
+    steps = []
+    spell = merges.spell
+    monkeypatch.setattr(merges, "spell", lambda raw, last=None: steps.append(len(raw) + 1 - len(last)) or spell(raw, last))
+    assert list(merges.spell_all(pieces)) == [spell(p) for p in pieces]
+    assert sum(steps) < sum(map(len, pieces))
+
+
 def test_bpe_is_the_library_s(docs, empty):
     path = public.path("byte_bpe_50k.json")
     coder, library = bpe.Coder(path), tokenizers.Tokenizer.from_file(path)
