@@ -252,7 +252,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets_: DataFrame, n: int, perce
 
     # Rows that pass the filter by chance go here; of equal rows one stays.
     made = docs.select("row", "text").mapInArrow(sets, "row long, ref long, grams binary")
-    made = durable(made.join(chosen, ["row", "ref"], "left_semi").dropDuplicates(["ref"]).select("ref", "grams"))
+    made = durable(made.join(chosen, ["row", "ref"], "left_semi").dropDuplicates(["row", "ref"]).select("ref", "grams"))
     a = made.select(F.col("ref").alias("a"), F.col("grams").alias("a_grams"))
     b = made.select(F.col("ref").alias("b"), F.col("grams").alias("b_grams"))
 
@@ -287,12 +287,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
 
     posted = _postings(docs, counts, n, percent)
     alone = "max(ref) over (partition by gram) = min(ref) over (partition by gram) as alone"
-    # Lists of one set go; what stays is read several times.
-    lists = durable(posted.selectExpr("gram", "ref", "at", alone).where("not alone").select("gram", "ref", "at"))
+    # Lists of one set go; what stays is read several times.  Sets that several tasks gave are one.
+    lists = durable(posted.selectExpr("gram", "ref", "at", alone).where("not alone").select("gram", "ref", "at").distinct())
     lists = lists.selectExpr("gram", "ref", "cast(at >> 32 as int) as size", "cast(at & 4294967295 as int) as pos")
 
     pair = ["a", "b"]
-    odd = lambda x: sets.select(F.col("ref").alias(x), F.col("odd").alias(f"{x}_odd"))
+
+    def alike(pairs):
+        """Those pairs that the parity bits leave; only the bits of their sets are dealt out."""
+        pairs = durable(pairs)
+        nodes = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).distinct()
+        bits = durable(sets.select("ref", "odd").join(nodes, "ref", "left_semi"))
+        odd = lambda x: bits.select(F.col("ref").alias(x), F.col("odd").alias(f"{x}_odd"))
+        return durable(pairs.join(odd("a"), "a").join(odd("b"), "b").where(_alike(percent)).select(*pair))
+
     beside = lists.selectExpr(
         "*", "array(lead(struct(ref, size, pos)) over (partition by gram order by size, ref), "
              "min_by(struct(ref, size, pos), struct(pos, size, ref)) over (partition by gram)) as others")
@@ -300,23 +308,22 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, p
         "ref as a", "next.ref as b", "size as a_size", "pos as a_pos", "next.size as b_size", "next.pos as b_pos")
     near = beside.where(_near(percent)).select(
         F.least(*pair).alias("a"), F.greatest(*pair).alias("b"), (F.col("a_size") + F.col("b_size")).alias("sizes")).distinct()
-    near = durable(near.join(odd("a"), "a").join(odd("b"), "b").where(_alike(percent)).select(*pair))
+    near = alike(near)
     links = durable(_verified(near, docs, sets, n, percent))
     groups = durable(components(links))
 
     named = lists.select("gram", "ref", "size", "pos").join(groups.withColumnRenamed("node", "ref"), "ref", "left").select(
-        "gram", F.coalesce("component", "ref").alias("component"), "ref", "size", "pos", _level("size").alias("level")).distinct()
+        "gram", F.coalesce("component", "ref").alias("component"), "ref", "size", "pos", _level("size").alias("level"))
     # Of each list what remains are sets of several components.
-    several = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    named = durable(named.join(several.select("gram"), "gram", "left_semi"))
+    several = "min(component) over (partition by gram) < max(component) over (partition by gram) as several"
+    named = durable(named.selectExpr("*", several).where("several").drop("several"))
     across = _across(named, percent)
     side = lambda x: named.select("gram", *(F.col(c).alias(f"{x}_{d}") for c, d in
                                             (("component", "part"), ("level", "level"), ("ref", "ref"), ("size", "size"), ("pos", "pos"))))
     wide = across.join(side("a"), ["gram", "a_part", "a_level"]).join(side("b"), ["gram", "b_part", "b_level"]).where(_near(percent))
     rest = wide.select(F.least("a_ref", "b_ref").alias("a"), F.greatest("a_ref", "b_ref").alias("b"),
                        (F.col("a_size") + F.col("b_size")).alias("sizes")).distinct()
-    rest = rest.join(odd("a"), "a").join(odd("b"), "b").where(_alike(percent)).select(*pair)
-    rest = durable(rest.join(near, pair, "left_anti"))
+    rest = alike(rest.join(near, pair, "left_anti"))
     if not rest.isEmpty():
         more = durable(_verified(rest, docs, sets, n, percent))
         if not more.isEmpty():
