@@ -222,6 +222,37 @@ def test_blocks_small_and_large_agree(monkeypatch):
     assert answers[0] == answers[1]
 
 
+def test_large_blocks_look_at_many_strings_at_once(monkeypatch):
+    r = random.Random(9)
+    length, width = 60, 12
+    keys = sorted({r.choice([b"K" * 20, b"K" * 40 + b"x" * 20]).ljust(length, b"m") + bytes(r.choice(b"ab") for _ in range(r.randint(0, 40)))
+                   for _ in range(300)})
+    block, before = suffixes.Block(length), b""
+    for i, key in enumerate(keys):
+        for copy in range(1 + (i % 9 == 0)):
+            block.add(suffixes.common(before, key), key, length - i % 3, i, copy)
+            before = key
+    sorts = []
+    argsort = np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    monkeypatch.setattr(suffixes.np, "unique", None)
+    valid, found = block.settled()
+    assert len(sorts) == 1 and found.any() and not found.all()
+    m = len(block.keys)
+    right, left = block.right().tolist(), [k[length:] for k in block.keys]
+    for i in range(0, m, width):
+        for l in range(valid.shape[1]):  # noqa: E741
+            if not valid[i, l]:
+                assert not found[i, l]
+                continue
+            alike = [j for j in range(m) if j != i and valid[j, l] and left[j][:l] == left[i][:l]
+                     and all(x >= length - l for x in right[min(i, j) + 1 : max(i, j) + 1])]
+            assert found[i, l] == bool(alike or len(block.owners[i]) > 1)
+    for cells in (1, 1000):
+        monkeypatch.setattr(suffixes, "CELLS", cells)
+        assert (block.settled()[1] == found).all()
+
+
 # --- secrets -------------------------------------------------------------------
 
 def test_secrets_layers(docs, empty):
