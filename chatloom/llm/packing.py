@@ -18,8 +18,6 @@ ids and repeated rows are packed like any other row.  Other columns are not read
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -29,9 +27,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Open sequences per task; pieces a worker remembers; texts encoded at a time.
-OPEN, REMEMBERED, TEXTS = 64, 1_200_000, 128
-ID_BYTES = 4
+from chatloom.llm.wordids import ID_BYTES, WordIds
+
+#: Open sequences per task; texts encoded at a time.
+OPEN, TEXTS = 64, 128
 
 
 @dataclass
@@ -147,66 +146,12 @@ class Packer:
             now = later
 
 
-# How the vocabulary's tokenizer cuts Latin-1 text in small letters; fixed by its file.
-_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-
-
-def is_latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-class Words:
-    """Ids, as bytes, of the pieces of texts.  The vocabulary drops blanks and ends
-    every piece with a token of its own kind, so unknown pieces are encoded side by
-    side and their ids told apart again."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.known: dict[str, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
-
-    def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            raw = ids.tobytes()
-            start = 0
-            for piece, end in zip(some, ends, strict=True):
-                self.known[piece] = raw[start * ID_BYTES : end * ID_BYTES]
-                start = end
+class Words(WordIds):
+    """The ids, as bytes, of texts."""
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut, new = [], set()
-        for text in texts:
-            low = text.lower()
-            # Other letters have case and composition rules of their own: the library sees those texts whole.
-            pieces = _LATIN.findall(low) if "<|" not in low and is_latin(low) else None
-            cut.append(pieces)
-            if pieces:
-                new.update(set(pieces).difference(self.known))
-        if new:
-            self.learn(list(new))
-        return [
-            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if pieces is None
-            else b"".join(map(self.known.__getitem__, pieces))
-            for text, pieces in zip(texts, cut, strict=True)
-        ]
+    @property
+    def tokenizer(self):
+        return self.library
 
 
 _words: dict[str, Words] = {}

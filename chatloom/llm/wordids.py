@@ -11,15 +11,28 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
 from chatloom.llm.bpe import byte_letters
-from chatloom.llm.packing import _LATIN, ID_BYTES, is_latin
 
 #: Words a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
 ODD = "\x1c\x1d\x1e\x1f"
+ID_BYTES = 4
+
+# How the vocabulary's tokenizer cuts Latin-1 text in small letters; fixed by its file.
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Pairs:
@@ -119,7 +132,8 @@ class WordIds:
         return ids[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=n)
 
     def learn(self, words: list[str]) -> None:
-        pieces = [_LATIN.findall(w) for w in words]
+        # Mostly a word is one piece.
+        pieces = [[w] if w.isascii() and w.isalpha() else _LATIN.findall(w) for w in words]
         ids, counts = self.spell([p.encode() for found in pieces for p in found])
         raw, ends = ids.tobytes(), (np.concatenate(([0], np.cumsum(counts))) * ID_BYTES).tolist()
         at = 0

@@ -517,3 +517,11 @@ def test_packed_words_are_the_library_s():
     texts_ = odd_texts()
     for text, got in zip(texts_, words_.ids(texts_), strict=True):
         assert got == np.array(words_.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_packing_spells_new_words_itself(monkeypatch):
+    words_ = packing.Words(public.path("word_bpe_49k.json"))
+    text = "The réunion isn't over, 3rd of them"
+    want = np.array(words_.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(words_, "library", None)
+    assert words_.ids([text, "", text]) == [want, b"", want]
