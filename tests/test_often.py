@@ -60,3 +60,14 @@ def test_hashes_are_counted_without_a_row_for_each(spark, monkeypatch):
     assert made[0][0].count() == 1
     # Sums of a sender are dealt by term as they are.
     assert "REPARTITION_BY_COL" in plan(told)
+
+
+def test_only_texts_of_listed_places_are_grouped(spark):
+    """Before, the texts of all messages were."""
+    messages = talk(spark)
+    terms = stats.ranked_terms(stats.term_stats(messages), 2)
+    found = stats.sample_messages(messages, terms)
+    assert "LeftSemi" in plan(found)
+    said = {(r.chat_id, f"[{r.sender}]: {r.content}") for r in messages.collect()}
+    rows = found.collect()
+    assert rows and all((r.chat_id, r.sample) in said and r.term in r.sample for r in rows)
