@@ -71,3 +71,10 @@ def test_only_texts_of_listed_places_are_grouped(spark):
     said = {(r.chat_id, f"[{r.sender}]: {r.content}") for r in messages.collect()}
     rows = found.collect()
     assert rows and all((r.chat_id, r.sample) in said and r.term in r.sample for r in rows)
+
+
+def test_a_short_list_is_sent_to_the_messages(spark):
+    """Before, all messages went to their chat's task with all their terms."""
+    messages = talk(spark)
+    told = stats.cooccurrences(messages, stats.term_stats(messages))
+    assert "rightHint=(strategy=broadcast)" in plan(told) and told.count()
