@@ -78,3 +78,5 @@ def test_a_short_list_is_sent_to_the_messages(spark):
     messages = talk(spark)
     told = stats.cooccurrences(messages, stats.term_stats(messages))
     assert "rightHint=(strategy=broadcast)" in plan(told) and told.count()
+    facts = stats.profile_facts(messages, messages.select("chat_id").distinct().withColumn("contact_name", stats.F.upper("chat_id")))
+    assert {r.category for r in facts.collect()} == {"frequent_term", "co_occurrence"}
