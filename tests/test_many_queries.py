@@ -26,3 +26,24 @@ def test_first_of_many_queries_are_those_of_each_alone(spark, monkeypatch, most)
     shared = Q.bm25(docs, ["chat", "at", "line"], wanted, most)
     assert first(shared) == alone and shared.count() == len(alone)
     assert matched[0].count() < wanted.count() / 2
+
+
+def test_slices_of_documents_give_the_same_first_ones(spark, monkeypatch):
+    """Before, every document that fits a question was shuffled for it."""
+    draw = random.Random(9)
+    words = ["the", "then", "of", "gato", "gata", "rio"]
+    say = lambda n: " ".join(draw.choices(words, [9, 3, 6, 2, 1, 1], k=n))
+    said = [(draw.choice(["a", "b", None]), draw.randrange(4), i % 5, say(draw.randrange(1, 6))) for i in range(90)]
+    keys = ["chat", "at", "line"]
+    docs = Q.tokenized(spark.createDataFrame(said + said[:30], "chat string, at long, line long, a string"), keys, ["a"])
+    asked = [(f"q{i}", [say(draw.randrange(1, 3)), draw.choice(["th", "the", "ga", "o"]), say(1)]) for i in range(20)]
+    wanted = Q.phrases(spark.createDataFrame(asked, "query_id string, keywords array<string>"))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    alone = rows(Q.top_k(Q.bm25(docs, keys, wanted), ["query_id"], [Q.F.desc("score"), *keys], 2).drop("rank"))
+    # Cells are few scores and few parts; a filter that all pass.
+    monkeypatch.setattr(Q, "SLICE_SCORES", 40)
+    monkeypatch.setattr(Q, "SLICE_PARTS", 9)
+    monkeypatch.setattr(Q, "MOST_SLOTS", 64)
+    shared = Q.bm25(docs, keys, wanted, 2)
+    assert rows(shared) == alone and len(alone) > 30
+    assert "FlatMapCoGroupsInArrow" in shared._jdf.queryExecution().toString()
